@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SALT = "__salt"
+# What the optimizer reports for a frame of unknown size.
+_UNKNOWN = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ class JoinLimits:
 
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 << 20
-    # A lookup side estimated above this is not worth measuring.
+    # A lookup side that reads more than this is not worth measuring.
     measure_bytes: int = 64 << 30
     # A key is hot when it has this many rows and 1/share of all rows.
     hot_rows: int = 2_000_000
@@ -46,6 +48,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files ``df`` reads. Frames made on the driver have no known size and are
+    small; joins inside ``df`` do not multiply here, as they do in the optimizer's estimate."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN)
+
+
 def _spark_threshold(df: DataFrame) -> int:
     session = df.sparkSession._jsparkSession
     return int(session.sessionState().conf().autoBroadcastJoinThreshold())
@@ -53,7 +63,7 @@ def _spark_threshold(df: DataFrame) -> int:
 
 def fits_broadcast(df: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> bool:
     """Measure ``df``: true when it is proven to have few enough rows and bytes."""
-    if estimated_bytes(df) > limits.measure_bytes:
+    if input_bytes(df) > limits.measure_bytes:
         return False
     size: Column = F.lit(0).cast("bigint")
     for field in df.schema.fields:

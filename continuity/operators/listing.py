@@ -49,7 +49,7 @@ def copy_candidates(
     formats: Sequence[str] | None = None,
 ) -> DataFrame:
     """Tables to copy: by type, by kind of catalog and, if asked for, by file format."""
-    kept = user_tables(tables, *table_types)
+    kept = user_tables(tables).filter(F.col("table_type").isin(list(table_types)))
     if formats is not None:
         kept = kept.filter(F.col("format").isin(*formats))
     return in_catalogs(kept, catalogs, *catalog_types)

@@ -102,6 +102,7 @@ def _by_ancestor(
         lambda depth: F.array_join(F.slice(steps, 1, depth), "/"),
     )
     spread = tables.select(*key, F.explode(ancestors).alias("url"))
-    hits = keyed_join(spread, pairs, ["url"], "inner", spread_by=list(key), limits=limits)
-    best = hits.groupBy(*key).agg(F.max(_entry()).alias("__found"))
+    entries = pairs.select("url", _entry().alias("__entry"))
+    hits = keyed_join(spread, entries, ["url"], "inner", spread_by=list(key), limits=limits)
+    best = hits.groupBy(*key).agg(F.max("__entry").alias("__found"))
     return tables.join(best, list(key), "left")

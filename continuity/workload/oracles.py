@@ -77,6 +77,9 @@ def _sync_run() -> str:
     UNION ALL SELECT 'volumes', 'after', 'held', count(*) FROM (
       SELECT name FROM ext UNION SELECT name FROM known)
     UNION ALL SELECT 'grants_table', 'all', 'SUCCESS', 1
+    UNION ALL SELECT 'grants_volume', 'all', 'NotFound', count(*) FROM src_vol
+      WHERE volume_type <> 'EXTERNAL' AND name NOT IN (SELECT name FROM known)
+      HAVING count(*) > 0
     UNION ALL SELECT 'grants', 'after', 'held', count(*) FROM (
       SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)
     {" ".join(copied)}"""

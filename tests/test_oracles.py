@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from continuity.workload.oracles import ORACLES
 from continuity.workload.queries import QUERIES
 from tests.compare import connect, differences
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
