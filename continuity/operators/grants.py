@@ -128,23 +128,24 @@ def grant_changes(diff: DataFrame) -> DataFrame:
 def grant_status(
     diff: DataFrame, source_securables: DataFrame, target_securables: DataFrame
 ) -> DataFrame:
-    """One row per source securable: SUCCESS (changed), NotFound, or null (nothing to do)."""
-    changed = (
-        diff.filter(F.col("change") != SAME)
-        .select(*SECURABLE)
-        .distinct()
-        .withColumn("changed", F.lit(True))
-    )
-    found = target_securables.select(*SECURABLE).distinct().withColumn("found", F.lit(True))
-    status = F.when(F.col("found").isNull(), "NotFound").when(
-        F.col("changed").isNotNull(), "SUCCESS"
-    )
-    return (
-        source_securables.select(*SECURABLE)
-        .join(found, SECURABLE, "left")
-        .join(changed, SECURABLE, "left")
-        .select(*SECURABLE, status.alias("status"))
+    """One row per source securable: SUCCESS (changed), NotFound, or null (nothing to do).
+
+    One aggregate over the three inputs, each with its own flag; ``diff`` need not be cut
+    down to common securables for this, which saves its semi join.
+    """
+
+    def flag(df: DataFrame, name: str) -> DataFrame:
+        flags = [F.lit(name == other).alias(other) for other in ("ours", "theirs", "changed")]
+        return df.select(*SECURABLE, *flags)
+
+    rows = (
+        flag(source_securables, "ours")
+        .unionByName(flag(target_securables, "theirs"))
+        .unionByName(flag(diff.filter(F.col("change") != SAME), "changed"))
     )
+    seen = rows.groupBy(*SECURABLE).agg(*[F.max(c).alias(c) for c in ("ours", "theirs", "changed")])
+    status = F.when(~F.col("theirs"), "NotFound").when(F.col("changed"), "SUCCESS")
+    return seen.filter("ours").select(*SECURABLE, status.alias("status"))
 
 
 def grants_after(

@@ -84,7 +84,8 @@ def hot_keys(
     ``hot_share`` entries.
     """
     hashed = df.select(F.xxhash64(*on).alias("h"))
-    sketch = f"approx_top_k(h, {limits.hot_share}, {100 * limits.hot_share})"
+    tracked = min(1_000_000, 100 * limits.hot_share)
+    sketch = f"approx_top_k(h, {limits.hot_share}, {tracked})"
     total, top = hashed.agg(F.count(F.lit(1)), F.expr(sketch)).first()
     bound = max(limits.hot_rows, total / limits.hot_share)
     found = {entry["item"]: entry["count"] for entry in top or [] if entry["count"] >= bound}

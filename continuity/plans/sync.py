@@ -125,7 +125,8 @@ def run_sync(
     if options.effective:
         have, want = effective_grants(theirs, have), effective_grants(ours, want)
     diff = grant_diff(want, have, (ours, theirs))
-    named_status = grant_status(diff, ours, theirs).join(ours, ["securable_type", "full_name"])
+    statuses = grant_status(grant_diff(want, have), ours, theirs)
+    named_status = statuses.join(ours, ["securable_type", "full_name"])
     log.add_frame(
         stamped(
             named_status.select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from continuity.operators.joins import keyed_join
 from continuity.schemas import flight_schema
 
 
@@ -193,11 +194,10 @@ def direct_grants(part: DataFrame, lineitem: DataFrame) -> DataFrame:
         _text("t_", "p_partkey").alias("full_name"),
         F.concat(_catalog(), F.lit("."), _schema(), F.lit("."), _text("t_", "p_partkey")).alias("dotted"),
     )
-    own = (
-        source_grants(lineitem)
-        .join(names, "full_name")
-        .select("securable_type", F.col("dotted").alias("full_name"), "principal", "privilege")
-    )
+    given = source_grants(lineitem)
+    own = keyed_join(
+        given.distinct(), names, ["full_name"], spread_by=["principal", "privilege"], keys_of=given
+    ).select("securable_type", F.col("dotted").alias("full_name"), "principal", "privilege")
     return cats.unionByName(schemas).unionByName(own)
 
 

@@ -412,7 +412,7 @@ def grant_change_kind(spark, sf_dir):
 @query
 def grant_status(spark, sf_dir):
     sides, objects = _grant_sides(spark, sf_dir)
-    return G.grant_status(G.grant_diff(*sides, objects), *objects)
+    return G.grant_status(G.grant_diff(*sides), *objects)
 
 
 @query
