@@ -1,0 +1,14 @@
+from __future__ import annotations
+
+from collections import Counter
+
+from pyspark.sql import DataFrame
+
+
+def rows(df: DataFrame) -> Counter:
+    """The rows as a multiset."""
+    return Counter(tuple(r) for r in df.collect())
+
+
+def plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().toString()
