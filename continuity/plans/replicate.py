@@ -90,50 +90,64 @@ def publish(
 ) -> None:
     """Point ``target`` at a verified version folder.
 
-    An earlier copy with the same columns and layout is switched in place. Anything else of
-    that name is replaced, except a view.
+    An unpartitioned copy with the same columns is switched in place, in one step. Otherwise
+    a complete new entry is made next to the old one and takes its name: partitions of two
+    versions are never mixed. Anything else of that name is replaced, except a view.
     """
+    if not _table_exists(spark, target):
+        _create(spark, df, target, version, fmt, facts)
+        return
+    existing = describe_table(spark, target)
+    if existing["type"] == "VIEW":
+        raise RuntimeError(f"{target} is a view and is not replaced by a table")
+    same = (
+        KIND in (existing.get("table_properties") or {})
+        and not facts.partition_by
+        and not existing.get("partition_columns")
+        and spark.table(target).schema.simpleString() == df.schema.simpleString()
+        and existing.get("provider") == fmt
+    )
+    if same:
+        comment = text_literal(facts.comment) if facts.comment else "NULL"
+        spark.sql(f"ALTER TABLE {target} SET LOCATION {text_literal(version)}")
+        spark.sql(f"ALTER TABLE {target} SET TBLPROPERTIES ({_properties(facts)})")
+        spark.sql(f"COMMENT ON TABLE {target} IS {comment}")
+        spark.catalog.refreshTable(target)
+        return
+    run = run_id()
+    new, old = _beside(target, f"__new_{run}"), _beside(target, f"__old_{run}")
+    _create(spark, df, new, version, fmt, facts)
+    spark.sql(f"ALTER TABLE {target} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {target}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {target}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
+
+
+def _properties(facts: TableFacts) -> str:
     properties = {**facts.properties, KIND: facts.kind}
-    pairs = ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in properties.items())
-    if _table_exists(spark, target):
-        existing = describe_table(spark, target)
-        if existing["type"] == "VIEW":
-            raise RuntimeError(f"{target} is a view and is not replaced by a table")
-        same = (
-            KIND in (existing.get("table_properties") or {})
-            and spark.table(target).schema.simpleString() == _ordered(df, facts).simpleString()
-            and tuple(existing.get("partition_columns") or ()) == tuple(facts.partition_by)
-            and existing.get("provider") == fmt
-        )
-        if same:
-            spark.sql(f"ALTER TABLE {target} SET LOCATION {text_literal(version)}")
-            spark.sql(f"ALTER TABLE {target} SET TBLPROPERTIES ({pairs})")
-            comment = text_literal(facts.comment) if facts.comment else "NULL"
-            spark.sql(f"COMMENT ON TABLE {target} IS {comment}")
-            _register_partitions(spark, target, facts)
-            return
-        spark.sql(f"DROP TABLE {target}")
+    return ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in properties.items())
+
+
+def _beside(target: str, suffix: str) -> str:
+    return f"{target[:-1]}{suffix}`" if target.endswith("`") else target + suffix
+
+
+def _create(
+    spark: SparkSession, df: DataFrame, name: str, version: str, fmt: str, facts: TableFacts
+) -> None:
     layout = ", ".join(quote(c) for c in facts.partition_by)
     spark.sql(
-        f"CREATE TABLE {target} ({_columns_ddl(df)}) USING {fmt}"
+        f"CREATE TABLE {name} ({_columns_ddl(df)}) USING {fmt}"
         + (f" PARTITIONED BY ({layout})" if layout else "")
         + f" LOCATION {text_literal(version)}"
         + (f" COMMENT {text_literal(facts.comment)}" if facts.comment else "")
-        + f" TBLPROPERTIES ({pairs})"
+        + f" TBLPROPERTIES ({_properties(facts)})"
     )
-    _register_partitions(spark, target, facts)
-
-
-def _ordered(df: DataFrame, facts: TableFacts):
-    """Columns as a file table shows them: partition columns last."""
-    front = [c for c in df.columns if c not in facts.partition_by]
-    return df.select(*[quote(c) for c in (*front, *facts.partition_by)]).schema
-
-
-def _register_partitions(spark: SparkSession, target: str, facts: TableFacts) -> None:
-    if facts.partition_by:
-        spark.sql(f"MSCK REPAIR TABLE {target} SYNC PARTITIONS")
-    spark.catalog.refreshTable(target)
+    if layout:
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
 
 
 def _within(inner: str | None, outer: str | None) -> bool:
