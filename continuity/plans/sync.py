@@ -18,13 +18,13 @@ from continuity.operators.grants import (
 )
 from continuity.operators.listing import copy_candidates, missing_schemas, securables
 from continuity.operators.volumes import registry_after, volume_upsert
-from continuity.plans.clone import clone_by_name, clone_by_path, duplicate_targets
+from continuity.plans.clone import BY_NAME, BY_PATH, clone_by_name, clone_by_path, duplicate_targets
 from continuity.plans.databases import create_schemas
 from continuity.plans.replicate import run_clone_plan
 from continuity.plans.status import StatusLog, stamped
 from continuity.plans.views import create_views, view_plan
 from continuity.sources.inventory import Inventory
-from continuity.workspace import run_folder
+from continuity.workspace import run_folder, stored
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,7 @@ class SyncOptions:
     fmt: str = "parquet"
     workers: int = 8
     fail_fast: bool = False
+    skip_unchanged: bool = False
 
 
 @dataclass(frozen=True)
@@ -79,15 +80,19 @@ def run_sync(
             source.tables, source.catalogs, types, options.catalog_types, options.formats
         )
 
-    named = clone_by_name(candidates(options.named_types), options.source_suffix)
-    by_path = clone_by_path(candidates(options.path_types), source.locations, target.locations)
-    repeated = duplicate_targets(named.unionByName(by_path)).take(3)
+    plans = stored(
+        clone_by_name(candidates(options.named_types), options.source_suffix).unionByName(
+            clone_by_path(candidates(options.path_types), source.locations, target.locations)
+        ),
+        "plan",
+    )
+    repeated = duplicate_targets(plans).take(3)
     if repeated:
         raise ValueError(f"targets planned more than once: {[r.target for r in repeated]}")
-    for plan in (named, by_path):
+    for kind in (BY_NAME, BY_PATH):
         run_clone_plan(
             spark,
-            plan,
+            plans.filter(F.col("kind") == kind),
             log,
             source_of=lambda r: quote(options.source_database(r.catalog, r.schema), r.table),
             target_of=lambda r: quote(options.target_database(r.catalog, r.schema), r.table),
@@ -95,6 +100,7 @@ def run_sync(
             fmt=options.fmt,
             workers=options.workers,
             fail_fast=options.fail_fast,
+            skip_unchanged=options.skip_unchanged,
         )
 
     upserted = volume_upsert(source.volumes, target.volumes)
@@ -123,7 +129,8 @@ def run_sync(
     theirs = _securables_now(source, target, made, volumes)
     have, want = target.grants, source.grants
     if options.effective:
-        have, want = effective_grants(theirs, have), effective_grants(ours, want)
+        have = stored(effective_grants(theirs, have), "target_grants")
+        want = stored(effective_grants(ours, want), "source_grants")
     diff = grant_diff(want, have, (ours, theirs))
     statuses = grant_status(grant_diff(want, have), ours, theirs)
     named_status = statuses.join(ours, ["securable_type", "full_name"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from continuity.functions.names import quote, text_literal
 
@@ -44,3 +44,11 @@ def run_database(spark: SparkSession, purpose: str) -> str:
     folder = f"{shared_folder(spark)}/continuity/{name}"
     spark.sql(f"CREATE DATABASE {quote(name)} LOCATION {text_literal(folder)}")
     return name
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, short lineage,
+    known size, and still there when executors or the driver are lost."""
+    folder = run_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

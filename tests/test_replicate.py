@@ -22,7 +22,7 @@ def place(spark):
 
 
 def rich(spark, n=50):
-    return spark.range(n).selectExpr(
+    return spark.range(0, n, 1, 2).selectExpr(
         "id", "id % 3 as part", "map('k', id, 'j', id + 1) as m",
         "array(struct(id as a, map(id, 'x') as b)) as nested",
         "if(id % 5 = 0, null, concat('s', id)) as s", "cast(id as decimal(20,3)) as d",
@@ -112,6 +112,32 @@ def test_new_layout_is_clustered(spark, place):
     assert files == 3
 
 
+@pytest.mark.parametrize("layout", [(), ("part",)], ids=["flat", "partitioned"])
+def test_unchanged_source_is_skipped(spark, place, layout):
+    source_db, target_db, folder = place
+    source, target = f"{source_db}.t", f"{target_db}.t"
+    rich(spark).write.partitionBy(*layout).saveAsTable(source)
+
+    def run():
+        R.replicate_named(spark, source, target, folder, skip_unchanged=True)
+        assert same_digest(spark.table(source), spark.table(target))
+        return describe_table(spark, target)["location"]
+
+    first = run()
+    assert run() == first
+    spark.sql(f"COMMENT ON TABLE {source} IS 'new'")
+    second = run()
+    assert second != first and run() == second
+    assert describe_table(spark, target)["comment"] == "new"
+    rich(spark, 4).select(*spark.table(source).columns).write.insertInto(source)
+    third = run()
+    assert third != second and run() == third
+    # A plain run always copies, and leaves nothing that a later run could take for current.
+    R.replicate_named(spark, source, target, folder)
+    fourth = describe_table(spark, target)["location"]
+    assert fourth != third and run() != fourth
+
+
 def test_failed_copy_leaves_the_old_version(spark, place, monkeypatch):
     source_db, target_db, folder = place
     source, target = f"{source_db}.t", f"{target_db}.t"

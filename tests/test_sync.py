@@ -1,0 +1,140 @@
+from __future__ import annotations
+
+from dataclasses import replace
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from continuity.functions import same_digest
+from continuity.plans.sync import SyncOptions, run_sync
+from continuity.schemas import GRANTS_DDL, TABLES_DDL, VOLUMES_DDL
+from continuity.sources import Inventory, live_inventory
+from continuity.workspace import run_database, run_folder
+from tests.helpers import rows
+
+
+@pytest.fixture
+def estate(spark):
+    """Two catalogs, played by two databases, and where their copies go."""
+    source = {name: run_database(spark, name) for name in ("main", "side")}
+    target = {name: run_database(spark, f"copy_{name}") for name in ("main", "side")}
+    folder = run_folder(spark, "estate")
+    spark.range(30).selectExpr("id", "id % 3 as p").write.partitionBy("p").saveAsTable(f"{source['main']}.m")
+    spark.range(7).write.parquet(f"{folder}/src/e")
+    spark.range(5).write.saveAsTable(f"{source['side']}.m")
+
+    def table(catalog, name, kind, path=None, view=None):
+        return (catalog, "s", name, kind, "parquet", path, view, "me")
+
+    tables = [
+        table("main", "m", "MANAGED"),
+        table("main", "e", "EXTERNAL", f"{folder}/src/e"),
+        table("main", "lost", "EXTERNAL", "other://x/1"),
+        table("main", "gone", "EXTERNAL", f"{folder}/src/absent"),
+        table("main", "v2", "VIEW", view="SELECT * FROM DB.v1"),
+        table("main", "v1", "VIEW", view="SELECT id FROM DB.m"),
+        table("side", "m", "MANAGED"),
+    ]
+    grants = [
+        ("CATALOG", "main", "admin", "ALL"),
+        ("SCHEMA", "main.s", "team", "USE"),
+        ("TABLE", "main.s.m", "bob", "SELECT"),
+        ("TABLE", "main.s.lost", "bob", "SELECT"),
+        ("VOLUME", "main.s.vol", "bob", "READ"),
+    ]
+    ours = Inventory(
+        catalogs=spark.createDataFrame(
+            [("main", "MANAGED_CATALOG"), ("side", "OTHER")], "catalog string, catalog_type string"
+        ),
+        schemas=spark.createDataFrame(
+            [("main", "s", "text", None), ("side", "s", None, None)],
+            "catalog string, schema string, comment string, properties map<string,string>",
+        ),
+        tables=spark.createDataFrame(tables, TABLES_DDL),
+        volumes=spark.createDataFrame([("main", "s", "vol", "EXTERNAL", "p://1", "ann")], VOLUMES_DDL),
+        locations=spark.createDataFrame([("loc", f"{folder}/src")], "name string, url string"),
+        grants=spark.createDataFrame(grants, GRANTS_DDL),
+    )
+    theirs = Inventory(
+        catalogs=ours.catalogs.filter("catalog = 'main'"),
+        locations=spark.createDataFrame([("loc", f"{folder}/dst")], "name string, url string"),
+        grants=spark.createDataFrame(
+            [("TABLE", "main.s.m", "eve", "SELECT"), ("TABLE", "main.s.extra", "eve", "SELECT")],
+            GRANTS_DDL,
+        ),
+    )
+    options = SyncOptions(
+        source_database=lambda catalog, schema: source[catalog],
+        target_database=lambda catalog, schema: target[catalog],
+        view_definition=lambda row: row.view_definition.replace("DB", target[row.catalog]),
+        workers=3,
+    )
+    return source, target, folder, ours, theirs, options
+
+
+def test_whole_run(spark, estate):
+    source, target, folder, ours, theirs, options = estate
+    result = run_sync(spark, ours, theirs, options)
+    status = {(r.kind, r.table or r.schema): r.status for r in result.status.collect() if r.catalog == "main"}
+    assert status[("schema", "s")] == "SUCCESS"
+    assert status[("table_by_name", "m")] == status[("table_by_path", "e")] == "SUCCESS"
+    assert status[("table_by_path", "lost")] == "FAIL: no location"
+    assert status[("table_by_path", "gone")].startswith("FAIL: ")
+    assert status[("volume", "vol")] == "success"
+    assert status[("view", "v1")] == status[("view", "v2")] == "SUCCESS"
+    assert status[("grants_table", "main.s.m")] == "SUCCESS"
+    assert status[("grants_table", "main.s.lost")] == "NotFound"
+    assert status[("grants_volume", "main.s.vol")] == "SUCCESS"
+    # Only managed catalogs are cloned, and no catalog is created.
+    side = {(r.kind, r.table): r.status for r in result.status.collect() if r.catalog == "side"}
+    assert ("table_by_name", "m") not in side and side[("grants_catalog", "side")] == "NotFound"
+
+    assert same_digest(spark.table(f"{source['main']}.m"), spark.table(f"{target['main']}.m"))
+    assert spark.table(f"{target['main']}.e").count() == 7
+    assert spark.table(f"{target['main']}.v2").count() == 30
+    assert [r.name for r in result.volumes.collect()] == ["vol"]
+    held = rows(result.grants.filter("full_name = 'main.s.m'").select("principal", "privilege"))
+    assert held == {("admin", "ALL"): 1, ("team", "USE"): 1, ("bob", "SELECT"): 1}
+
+    # A second run with the target as it is now only copies again.
+    now = replace(
+        theirs, schemas=ours.schemas, tables=ours.tables.filter("name not in ('lost', 'gone')"),
+        volumes=result.volumes.select(*ours.volumes.columns), grants=result.grants,
+    )
+    again = run_sync(spark, ours, now, options)
+    assert again.status.filter("kind = 'schema'").count() == 0
+    assert [r.status for r in again.status.filter("kind = 'volume'").collect()] == ["already_exists"]
+    assert again.grant_changes.count() == 0
+    assert rows(again.grants) == rows(result.grants)
+    assert spark.table(f"{target['main']}.v2").count() == 30
+
+
+def test_table_in_two_plans_is_an_error(spark, estate):
+    *_, ours, theirs, options = estate
+    with pytest.raises(ValueError, match="planned more than once"):
+        run_sync(spark, ours, theirs, replace(options, named_types=("MANAGED", "EXTERNAL")))
+
+
+def test_direct_grants_can_be_compared(spark, estate):
+    *_, ours, theirs, options = estate
+    result = run_sync(spark, ours, theirs, replace(options, effective=False, path_types=()))
+    held = rows(result.grants.filter("full_name = 'main.s.m'").select("principal", "privilege"))
+    assert held == {("bob", "SELECT"): 1}
+
+
+def test_failing_fast(spark, estate):
+    *_, ours, theirs, options = estate
+    with pytest.raises((RuntimeError, AnalysisException)):
+        run_sync(spark, ours, theirs, replace(options, fail_fast=True, workers=1))
+
+
+def test_live_estate(spark, estate):
+    source, target, *_ = estate
+    options = SyncOptions(
+        source_database=lambda catalog, schema: schema,
+        target_database=lambda catalog, schema: target["main"],
+    )
+    ours = live_inventory(spark, [source["main"]])
+    result = run_sync(spark, ours, live_inventory(spark, [target["main"]]), options)
+    assert result.status.filter("status like 'FAIL%'").count() == 0
+    assert spark.table(f"{target['main']}.m").count() == 30

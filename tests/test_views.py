@@ -1,0 +1,67 @@
+from __future__ import annotations
+
+from continuity.plans.databases import create_schemas
+from continuity.plans.status import StatusLog
+from continuity.plans.views import create_views, same_view, view_plan
+from continuity.schemas import SCHEMAS_DDL, TABLES_DDL
+from continuity.workspace import run_database, run_folder
+
+
+def test_views_on_views_in_any_order(spark):
+    db = run_database(spark, "views")
+    spark.range(4).write.saveAsTable(f"{db}.base")
+    definitions = {
+        "c": f"SELECT * FROM {db}.b WHERE id > 0",
+        "b": f"SELECT * FROM {db}.a",
+        "a": f"SELECT id FROM {db}.base",
+        "broken": f"SELECT * FROM {db}.absent",
+        "on_broken": f"SELECT * FROM {db}.broken",
+        "bad": "SELEC 1",
+    }
+    tables = spark.createDataFrame(
+        [("c", "s", n, "VIEW", None, None, text, "me") for n, text in definitions.items()]
+        + [("c", "s", "t", "MANAGED", "parquet", None, None, "me")],
+        TABLES_DDL,
+    )
+    plan = view_plan(tables)
+    assert plan.count() == 6
+    for _ in range(2):
+        log = StatusLog(spark)
+        create_views(spark, plan, log, lambda r: f"{db}.{r.view}", workers=2)
+        status = {r.table: r.status for r in log.frame().collect()}
+        assert len(status) == log.frame().count() == 6
+        assert {n for n, s in status.items() if s == "SUCCESS"} == {"a", "b", "c"}
+        assert "absent" in status["broken"]
+        assert all(status[n].startswith("FAIL: ") for n in ("broken", "on_broken", "bad"))
+    assert spark.table(f"{db}.c").count() == 3
+    assert same_view(spark, f"{db}.a", f"{db}.b") and not same_view(spark, f"{db}.a", f"{db}.c")
+
+
+def test_no_views(spark):
+    log = StatusLog(spark)
+    create_views(spark, view_plan(spark.createDataFrame([], TABLES_DDL)), log, lambda r: "x")
+    assert log.frame().count() == 0
+
+
+def test_create_schemas(spark):
+    prefix = run_database(spark, "prefix")
+    folder = run_folder(spark, "schemas")
+    missing = spark.createDataFrame(
+        [("c", "one", "it's one", {"k": "v"}), ("c", "two", None, None), ("c", "bad", None, None)],
+        SCHEMAS_DDL,
+    )
+
+    def name(catalog, schema):
+        return "" if schema == "bad" else f"{prefix}_{schema}"
+
+    for _ in range(2):
+        log = StatusLog(spark)
+        create_schemas(spark, missing, log, name, lambda r: f"{folder}/{r.schema}")
+        status = {r.schema: r.status for r in log.frame().collect()}
+        assert status["one"] == status["two"] == "SUCCESS" and status["bad"].startswith("FAIL")
+    facts = {
+        r.info_name: r.info_value
+        for r in spark.sql(f"DESCRIBE DATABASE EXTENDED {prefix}_one").collect()
+    }
+    assert facts["Comment"] == "it's one" and "(k,v)" in facts["Properties"]
+    assert facts["Location"].endswith("/one")
