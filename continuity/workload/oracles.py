@@ -114,6 +114,9 @@ ORACLES: dict[str, str] = {
     "stream_delay_type": f"""WITH {Q.FLIGHTS}
         SELECT "UniqueCarrier", {Q.DELAY_TYPE} AS delay_type, count(*) AS n_rows,
           count(*) AS n_audited FROM flights GROUP BY 1, 2""",
+    "ingest_flights_run": f"""WITH {Q.FLIGHTS}
+        SELECT "Origin", {Q.DELAY_TYPE} AS delay_type, count(*) AS n_rows,
+          count(*) AS n_audited FROM flights GROUP BY 1, 2""",
     "limit_count": """SELECT least(count(*), 1000) AS n_cut, count(*) AS n_whole FROM orders""",
     "top_orders": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000",
     "inventory_catalogs": f"WITH {Q.CATALOGS} SELECT * FROM cats",
@@ -138,6 +141,10 @@ ORACLES: dict[str, str] = {
         SELECT catalog, schema, concat('schema ', schema) AS comment, catalog AS origin
         FROM src_schemas s WHERE NOT EXISTS (
           SELECT 1 FROM tgt_schemas t WHERE t.catalog = s.catalog AND t.schema = s.schema)""",
+    "schemas_created": f"""WITH {Q.SCHEMAS}
+        SELECT catalog, schema, 'schema' AS kind, 'SUCCESS' AS status, TRUE AS found
+        FROM src_schemas s WHERE NOT EXISTS (
+          SELECT 1 FROM tgt_schemas t WHERE t.catalog = s.catalog AND t.schema = s.schema)""",
     "schema_orphans": f"""WITH {Q.SCHEMAS}
         SELECT catalog, schema FROM src_schemas EXCEPT SELECT catalog, schema FROM tgt_schemas""",
     "shared_schemas": f"""WITH {Q.TABLES}, {Q.CATALOGS}

@@ -19,6 +19,8 @@ from continuity.operators.locations import remap_locations
 from continuity.operators.sampling import first_rows, top_n
 from continuity.operators.volumes import registry_after, volume_upsert
 from continuity.plans.clone import clone_by_name, clone_by_path
+from continuity.plans.databases import create_schemas
+from continuity.plans.ingest import ingest_flights, ingest_flights_stream
 from continuity.plans.replicate import replicate_named, replicate_path, run_clone_plan
 from continuity.plans.status import StatusLog, outcome
 from continuity.plans.sync import SyncOptions, run_sync
@@ -28,7 +30,7 @@ from continuity.sinks import append
 from continuity.sources import live_inventory, read_batch, read_stream
 from continuity.workload import inputs as I
 from continuity.workload.inputs import load
-from continuity.workspace import run_database, run_folder
+from continuity.workspace import run_database, run_folder, run_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,12 +129,24 @@ def flight_schema_profile(spark, sf_dir):
     return filled.select(F.inline(F.array(*described)))
 
 
+_FLIGHT_FILES: dict[tuple[str, str], str] = {}
+
+
+def _flight_files(spark, sf_dir):
+    """Folder with all line items as header-less flight files, written once per session:
+    the input of the file queries, not their work."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FLIGHT_FILES:
+        folder = run_folder(spark, "flights")
+        I.flights(load(spark, sf_dir, "lineitem")).write.csv(folder)
+        _FLIGHT_FILES[key] = folder
+    return _FLIGHT_FILES[key]
+
+
 @query
 def csv_declared_scan(spark, sf_dir):
     """All line items as header-less flight files, read back under the declared schema."""
-    folder = run_folder(spark, "flights")
-    I.flights(load(spark, sf_dir, "lineitem")).write.csv(folder)
-    return read_batch(spark, folder)
+    return read_batch(spark, _flight_files(spark, sf_dir))
 
 
 @query
@@ -214,11 +228,9 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_delay_type(spark, sf_dir):
     """Flight files through a stream with the same transforms as a batch."""
-    folder = run_folder(spark, "flights")
-    I.flights(load(spark, sf_dir, "lineitem")).write.csv(f"{folder}/files")
+    files, checkpoint = _flight_files(spark, sf_dir), run_folder(spark, "checkpoint")
     table = quote(run_database(spark, "stream"), "flights")
-    stream = read_stream(spark, f"{folder}/files").transform(delay_type).transform(audit_columns)
-    append(stream, table, True, f"{folder}/checkpoint").awaitTermination()
+    ingest_flights_stream(spark, files, table, checkpoint).awaitTermination()
     named = F.col("source_file").isNotNull() & F.col("last_updated_time").isNotNull()
     return (
         spark.table(table)
@@ -227,6 +239,16 @@ def stream_delay_type(spark, sf_dir):
     )
 
 
+@query
+def ingest_flights_run(spark, sf_dir):
+    """The example ingest from files to a named table, over every flight file."""
+    table = quote(run_database(spark, "ingest"), "flights_raw")
+    held = ingest_flights(spark, _flight_files(spark, sf_dir), table)
+    return held.groupBy("Origin", "delay_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("last_updated_time").alias("n_audited")
+    )
+
+
 @query
 def limit_count(spark, sf_dir):
     """Size of an unordered cut of 1,000 next to the size of the whole table."""
@@ -304,6 +326,30 @@ def schema_diff(spark, sf_dir):
     return missing.select("catalog", "schema", "comment", F.col("properties")["origin"].alias("origin"))
 
 
+@query
+def schemas_created(spark, sf_dir):
+    """Create the missing schemas; the database of each, read back from the catalog."""
+    part = load(spark, sf_dir, "part")
+    missing = L.missing_schemas(I.source_schemas(part), I.target_schemas(part))
+    prefix, folder = f"continuity_{run_id()}", run_folder(spark, "schemas")
+    log = StatusLog(spark)
+    create_schemas(
+        spark,
+        missing,
+        log,
+        lambda catalog, schema: f"{prefix}__{catalog}__{schema}",
+        lambda row: f"{folder}/{row.catalog}/{row.schema}",
+    )
+    listed = spark.sql(f"SHOW DATABASES LIKE '{prefix}__*'")
+    name = F.split(F.lower("namespace"), "__")
+    found = listed.select(name[1].alias("catalog"), name[2].alias("schema"), F.lit(True).alias("found"))
+    return (
+        log.frame()
+        .join(found, ["catalog", "schema"], "left")
+        .select("catalog", "schema", "kind", "status", F.coalesce("found", F.lit(False)).alias("found"))
+    )
+
+
 @query
 def schema_orphans(spark, sf_dir):
     """Report of target tables whose schema the source no longer lists (sides swapped)."""

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(
     name
     for name in E.queries()
-    if not re.match("csv_|append_|stream_|replicate_|sync_|schemas_created", name)
+    if not re.match("csv_|append_|stream_|ingest_|replicate_|sync_|schemas_created", name)
 )
 
 

@@ -137,3 +137,20 @@ def test_live_and_exported_inventory(spark, tmp_path):
     exported = read_inventory(spark, str(tmp_path / "x"))
     assert rows(exported.tables) == rows(live.tables)
     assert exported.grants.count() == 0 and isinstance(exported, Inventory)
+
+
+def test_filters_reach_the_scan(spark, tables, tmp_path):
+    tables.write.parquet(str(tmp_path / "tables"))
+    listed = read_inventory(spark, str(tmp_path)).tables
+    chosen = L.user_tables(listed, "VIEW").select("name", "view_definition")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        text = chosen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(table_type,VIEW)" in text
+    assert "Not(EqualTo(schema,information_schema))" in text
+    scanned = text.split("ReadSchema: struct<")[1].split(">")[0]
+    assert {c.split(":")[0] for c in scanned.split(",")} == {
+        "schema", "name", "table_type", "view_definition",
+    }
