@@ -1,4 +1,9 @@
-"""Time the headline queries on the test tables and print one JSON line."""
+"""Time the headline queries on the test tables and print one JSON line.
+
+``python bench.py`` runs the headline queries, ``python bench.py all`` every query,
+``python bench.py NAME ...`` the named ones. Each is run once to warm up, then three times;
+the median counts. Results go to the ``noop`` sink, so every row is computed.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +23,21 @@ from continuity.workload.queries import QUERIES  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-# Queries whose work is a copy or a stream: timed once after the warm-up.
+# Timed once after the warm-up.
 HEAVY = {"sync_run"}
+HEADLINE = (
+    "flagship", "delay_type_labels", "csv_declared_scan", "ingest_flights_run", "stream_ingest",
+    "stream_delay_type", "append_batch", "top_orders", "inventory_external", "location_remap",
+    "clone_plan", "volume_registry_after", "grant_diff", "grant_changes", "grant_status",
+    "grants_after", "effective_grants", "replicate_table", "replicate_partitioned",
+    "replicate_external", "replicate_view", "sync_status", "sync_run",
+)
 
 
 def main() -> None:
-    chosen = sys.argv[1:] or list(QUERIES)
+    chosen = sys.argv[1:] or list(HEADLINE)
+    if chosen == ["all"]:
+        chosen = list(QUERIES)
     shared = tempfile.mkdtemp(prefix="bench-")
     spark = local_session(
         CPUS,

@@ -49,7 +49,7 @@ def query(run: Query) -> Query:
 
 def _source_table(path_column: str = "source_file"):
     """Name of the test table in a file path; the table may be one file or a folder."""
-    return F.regexp_extract(path_column, r"([^/]+)\.parquet", 1)
+    return F.substring_index(F.substring_index(path_column, ".parquet", 1), "/", -1)
 
 
 # ---- labels and audit columns ------------------------------------------------------------
