@@ -40,11 +40,13 @@ FLIGHTS = """flights AS (
     CASE WHEN l_linenumber = 1 THEN 'YES' ELSE 'NO' END AS "IsDepDelayed"
   FROM lineitem)"""
 
-DELAY_TYPE = """CASE WHEN "WeatherDelay" <> 'NA' THEN 'WeatherDelay'
-    WHEN "NASDelay" <> 'NA' THEN 'NASDelay'
-    WHEN "SecurityDelay" <> 'NA' THEN 'SecurityDelay'
-    WHEN "LateAircraftDelay" <> 'NA' THEN 'LateAircraftDelay'
-    WHEN "IsArrDelayed" = 'YES' OR "IsDepDelayed" = 'YES' THEN 'UncategorizedDelay' END"""
+# The causes, the first one given wins.
+_CAUSES = ("WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay")
+DELAY_TYPE = (
+    "coalesce("
+    + ", ".join(f"CASE WHEN \"{cause}\" <> 'NA' THEN '{cause}' END" for cause in _CAUSES)
+    + """, CASE WHEN 'YES' IN ("IsArrDelayed", "IsDepDelayed") THEN 'UncategorizedDelay' END)"""
+)
 
 BRAND = "CAST(split_part(p_brand, '#', 2) AS INTEGER)"
 SCHEMA = (
