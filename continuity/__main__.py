@@ -24,6 +24,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     ingest.add_argument("--table", default="flights_raw")
     ingest.add_argument("--limit", type=int)
     ingest.add_argument("--checkpoint", help="run as a stream with this checkpoint folder")
+    ingest.add_argument("--max-bytes", type=int, help="size of one micro-batch")
 
     sync = jobs.add_parser("sync", help="bring the target in step with the source")
     sync.add_argument("--source-inventory", required=True, help="folder of the exported inventory")
@@ -42,7 +43,9 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     table = ".".join(part for part in (args.catalog, args.database, args.table) if part)
     if args.checkpoint:
-        ingest_flights_stream(spark, args.path, table, args.checkpoint).awaitTermination()
+        ingest_flights_stream(
+            spark, args.path, table, args.checkpoint, max_bytes_per_trigger=args.max_bytes
+        ).awaitTermination()
     else:
         ingest_flights(spark, args.path, table, args.limit)
     print(f"appended {args.path} to {table}")

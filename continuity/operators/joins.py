@@ -32,7 +32,8 @@ class JoinLimits:
 
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 << 20
-    # A lookup side that reads more than this is not worth measuring.
+    # A lookup side is measured when it reads no more than this, or no more than the big side:
+    # one pass over it against a shuffle of the big side.
     measure_bytes: int = 64 << 30
     # A key is hot when it has this many rows and 1/share of all rows.
     hot_rows: int = 2_000_000
@@ -61,9 +62,12 @@ def _spark_threshold(df: DataFrame) -> int:
     return int(session.sessionState().conf().autoBroadcastJoinThreshold())
 
 
-def fits_broadcast(df: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> bool:
+def fits_broadcast(
+    df: DataFrame, limits: JoinLimits = DEFAULT_LIMITS, big: DataFrame | None = None
+) -> bool:
     """Measure ``df``: true when it is proven to have few enough rows and bytes."""
-    if input_bytes(df) > limits.measure_bytes:
+    worth = max(limits.measure_bytes, 0 if big is None else input_bytes(big))
+    if input_bytes(df) > worth:
         return False
     size: Column = F.lit(0).cast("bigint")
     for field in df.schema.fields:
@@ -115,7 +119,7 @@ def keyed_join(
     on = list(on)
     if estimated_bytes(lookup) <= min(_spark_threshold(lookup), limits.broadcast_bytes):
         return big.join(lookup, on, how)
-    if fits_broadcast(lookup, limits):
+    if fits_broadcast(lookup, limits, big):
         return big.join(F.broadcast(lookup), on, how)
     hot, salts = hot_keys(big if keys_of is None else keys_of, on, limits)
     if not hot:

@@ -54,7 +54,7 @@ def remap_locations(
     """
     pairs = location_pairs(source_locations, target_locations)
     few = replace(limits, broadcast_rows=min(_FEW, limits.broadcast_rows))
-    if fits_broadcast(pairs, few):
+    if fits_broadcast(pairs, few, tables):
         matched = _by_root(tables, pairs, path)
     else:
         matched = _by_ancestor(tables, pairs, key, path, limits)

@@ -42,7 +42,7 @@ def ingest_flights_stream(
     checkpoint_location: str,
     include_time: bool = True,
     fmt: str = "parquet",
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """The same for files as they arrive; each file is taken once per checkpoint."""
     files = read_stream(spark, path, max_bytes_per_trigger=max_bytes_per_trigger)

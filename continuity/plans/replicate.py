@@ -8,9 +8,11 @@ until then; a copy that fails leaves it in place.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 
 from continuity.functions.digest import digest, digest_aggregates, normal
@@ -52,13 +54,18 @@ def table_facts(spark: SparkSession, identifier: str) -> TableFacts:
     )
 
 
-def source_files(df: DataFrame) -> str:
-    """Digest of the files ``df`` reads: path, size and time of change of each.
+def source_files(df: DataFrame) -> str | None:
+    """Digest of the files ``df`` reads: path, size and time of change of each; null for a
+    source that is no plain scan of files.
 
     Only the hidden metadata column is asked for, so a columnar source answers from its
     footers, and files are told apart on the map side.
     """
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    columns = ("file_path", "file_size", "file_modification_time")
+    try:
+        files = df.select(*[f"_metadata.{column}" for column in columns])
+    except AnalysisException:
+        return None
     return json.dumps(digest(files.distinct()))
 
 
@@ -275,7 +282,9 @@ def run_clone_plan(
     """
 
     def copy(row: Row) -> Status:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "copies")
+        # Jobs within one pool queue up, so each thread has a pool of its own.
+        pool = threading.current_thread().name
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         try:
             if row.problem:
                 raise RuntimeError(row.problem)

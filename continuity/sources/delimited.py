@@ -30,7 +30,7 @@ def read_stream(
     schema: StructType | str | None = None,
     header: bool = False,
     max_files_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
     **options: str,
 ) -> DataFrame:
     """Files as they arrive, those already there included.

@@ -111,7 +111,7 @@ def test_stream_equals_batch_and_takes_each_file_once(spark, tmp_path):
 
 def test_stream_limits_exclude_each_other(spark, tmp_path):
     with pytest.raises(ValueError):
-        read_stream(spark, str(tmp_path), max_files_per_trigger=1, max_bytes_per_trigger="1m")
+        read_stream(spark, str(tmp_path), max_files_per_trigger=1, max_bytes_per_trigger=1)
 
 
 def test_stream_needs_a_checkpoint(spark, tmp_path):

@@ -15,7 +15,7 @@ def test_ingest_job(spark, tmp_path):
     held = spark.table(f"{database}.flights_raw")
     assert held.count() == 5 and held.columns[-3:] == ["delay_type", "last_updated_time", "source_file"]
     for _ in range(2):
-        main([*arguments, "--table", "streamed", "--checkpoint", str(tmp_path / "c")])
+        main([*arguments, "--table", "streamed", "--checkpoint", str(tmp_path / "c"), "--max-bytes", "1000000"])
     assert spark.table(f"{database}.streamed").count() == 3
 
 

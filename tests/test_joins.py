@@ -77,6 +77,7 @@ def test_input_bytes_do_not_multiply(spark):
     joined = part.join(part.withColumnRenamed("p_name", "n"), "p_partkey")
     assert input_bytes(joined) == 2 * input_bytes(part) < estimated_bytes(joined)
     assert not fits_broadcast(part, JoinLimits(measure_bytes=1))
+    assert fits_broadcast(part, JoinLimits(measure_bytes=1), joined)
 
 
 def test_unknown_join_type(sides):

@@ -152,6 +152,25 @@ def test_failed_copy_leaves_the_old_version(spark, place, monkeypatch):
     assert spark.table(target).count() == 5
 
 
+def test_doubtful_counters_are_checked_with_the_source(spark, place, monkeypatch):
+    """Counters of tasks that ran twice: the source decides, and the copy goes through."""
+    source_db, target_db, folder = place
+    spark.range(5).write.saveAsTable(f"{source_db}.t")
+    monkeypatch.setattr(R, "normal", lambda seen: {"rows": 10, "low": 0, "middle": 0, "high": 0})
+    R.replicate_named(spark, f"{source_db}.t", f"{target_db}.t", folder)
+    assert spark.table(f"{target_db}.t").count() == 5
+
+
+def test_a_source_without_files_is_always_copied(spark, place):
+    source_db, target_db, folder = place
+    spark.range(6).write.saveAsTable(f"{source_db}.base")
+    spark.sql(f"CREATE VIEW {source_db}.v AS SELECT id % 2 AS k, count(*) AS n FROM {source_db}.base GROUP BY 1")
+    assert R.source_files(spark.table(f"{source_db}.v")) is None
+    for _ in range(2):
+        R.replicate_named(spark, f"{source_db}.v", f"{target_db}.t", folder, skip_unchanged=True)
+    assert rows(spark.table(f"{target_db}.t")) == {(0, 3): 1, (1, 3): 1}
+
+
 def test_refusals(spark, place):
     source_db, target_db, folder = place
     source = f"{source_db}.t"
