@@ -28,6 +28,8 @@ KIND = "continuity.kind"
 FILES = "continuity.source_files"
 # Formats whose own catalog replaces a table in one step.
 ATOMIC_FORMATS = ("delta", "iceberg")
+# Formats a copy keeps; tables of any other format (text files) are copied to Parquet.
+KEPT_FORMATS = ("parquet", "orc", *ATOMIC_FORMATS)
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,7 @@ class TableFacts:
     properties: Mapping[str, str] = field(default_factory=dict)
     kind: str = "EXTERNAL"
     location: str | None = None
+    provider: str | None = None
     files: str | None = None
 
 
@@ -51,9 +54,18 @@ def table_facts(spark: SparkSession, identifier: str) -> TableFacts:
         properties={k: v for k, v in properties.items() if not k.startswith("continuity.")},
         kind=properties.get(KIND, facts["type"]),
         location=facts.get("location"),
+        provider=facts.get("provider"),
     )
 
 
+def copy_format(fmt: str | None, source_format: str | None) -> str:
+    """The format asked for, else the source's own where a copy can keep it."""
+    if fmt:
+        return fmt
+    own = (source_format or "").lower()
+    return own if own in KEPT_FORMATS else "parquet"
+
+
 def source_files(df: DataFrame) -> str | None:
     """Digest of the files ``df`` reads: path, size and time of change of each; null for a
     source that is no plain scan of files.
@@ -212,7 +224,10 @@ def replicate(
     """
     if fmt in ATOMIC_FORMATS:
         writer = df.writeTo(target).using(fmt).option("path", folder)
-        for key, value in {**facts.properties, KIND: facts.kind}.items():
+        properties = {**facts.properties, KIND: facts.kind}
+        if facts.comment:
+            properties["comment"] = facts.comment
+        for key, value in properties.items():
             writer = writer.tableProperty(key, value)
         if facts.partition_by:
             writer = writer.partitionedBy(*[df[c] for c in facts.partition_by])
@@ -239,11 +254,12 @@ def replicate_named(
     source: str,
     target: str,
     folder: str,
-    fmt: str = "parquet",
+    fmt: str | None = None,
     skip_unchanged: bool = False,
 ) -> None:
     """Full copy of a table by name: rows, columns, partitioning, comment and properties."""
     df, facts = read_named(spark, source), table_facts(spark, source)
+    fmt = copy_format(fmt, facts.provider)
     replicate(spark, df, target, folder, facts, fmt, skip_unchanged=skip_unchanged)
 
 
@@ -253,13 +269,14 @@ def replicate_path(
     target: str,
     target_location: str,
     source_fmt: str = "parquet",
-    fmt: str = "parquet",
+    fmt: str | None = None,
     skip_unchanged: bool = False,
 ) -> None:
     """Full copy of the table stored at a path, partitioning included, to a target path."""
     df = read_path(spark, source_location, source_fmt)
     layout = path_partitions(df, source_location)
     facts = TableFacts(partition_by=layout, location=source_location)
+    fmt = copy_format(fmt, source_fmt)
     replicate(spark, df, target, target_location, facts, fmt, skip_unchanged=skip_unchanged)
 
 
@@ -270,7 +287,7 @@ def run_clone_plan(
     source_of: Callable[[Row], str],
     target_of: Callable[[Row], str],
     folder_of: Callable[[Row], str],
-    fmt: str = "parquet",
+    fmt: str | None = None,
     workers: int = 8,
     fail_fast: bool = False,
     skip_unchanged: bool = False,
@@ -298,7 +315,7 @@ def run_clone_plan(
                     row.source_location,
                     target_of(row),
                     row.target_location,
-                    row.format or fmt,
+                    row.format or "parquet",
                     fmt,
                     skip_unchanged,
                 )

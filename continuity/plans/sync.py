@@ -45,7 +45,7 @@ class SyncOptions:
     source_suffix: str = "_share"
     view_definition: Callable[[Row], str] = lambda row: row.view_definition
     effective: bool = True
-    fmt: str = "parquet"
+    fmt: str | None = None
     workers: int = 8
     fail_fast: bool = False
     skip_unchanged: bool = False

@@ -102,6 +102,18 @@ def test_copy_by_path_keeps_partitioning(spark, place):
     assert same_digest(spark.read.parquet(f"{folder}/in"), spark.table(f"{target_db}.t"))
 
 
+@pytest.mark.parametrize("source_fmt, kept", [("orc", "orc"), ("json", "parquet")])
+def test_format_of_the_copy(spark, place, source_fmt, kept):
+    source_db, target_db, folder = place
+    source = f"{source_db}.t"
+    spark.range(9).selectExpr("id", "cast(id as string) as s").write.format(source_fmt).saveAsTable(source)
+    R.replicate_named(spark, source, f"{target_db}.n", f"{folder}/n")
+    R.replicate_path(spark, describe_table(spark, source)["location"], f"{target_db}.p", f"{folder}/p", source_fmt)
+    for name in ("n", "p"):
+        assert describe_table(spark, f"{target_db}.{name}")["provider"] == kept
+        assert same_digest(spark.table(source), spark.table(f"{target_db}.{name}"))
+
+
 def test_new_layout_is_clustered(spark, place):
     _, target_db, folder = place
     facts = R.TableFacts(partition_by=("part",))
