@@ -5,10 +5,15 @@ The digests that some queries return are derived here from what the operators gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuity.llm import quality, simhash
+import public_tokenizers
+
+from continuity.llm import bpe, decontaminate, quality, simhash
+
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +39,33 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def ids_digest(ids: str) -> Column:
+    """Digest of ids in decimal, joined by commas."""
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_texts(
+        read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
+    )
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        ids_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that overlap."""
+    return decontaminate.overlaps(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    ).select("doc_id", "item_id", "start_word", "n_words", "n_equal", "item_words")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash": op5_simhash,
+    "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
 }
