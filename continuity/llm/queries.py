@@ -10,16 +10,35 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from continuity.llm import bpe, decontaminate, quality, simhash
+from continuity.llm import (
+    bpe,
+    chat,
+    chunks,
+    decontaminate,
+    maintext,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    tokencounts,
+)
 
 
 TOKENIZER = "byte_bpe_50k.json"
+SHARDS = tuple(f"shard-{k:02d}" for k in range(64))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencounts.count_by_line(documents, public_tokenizers.path(TOKENIZER))
+    return tokencounts.line_rows(counted, keep=("doc_id",))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_texts(documents).select(
@@ -35,10 +54,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(read(spark, sf_dir, "documents"), columns=["doc_id"])
+    listed = F.transform(
+        "pii",
+        lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string")
+        ),
+    )
+    base = F.filter(listed, lambda s: F.substring_index(s, ":", 1).isin(*pii.KINDS))
+    return found.select(
+        "doc_id",
+        *[_of_kind("pii", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(listed, ",").alias("spans"),
+    )
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return maintext.with_main_text(pages).select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.char_length("main_text").cast("bigint").alias("n_chars"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(documents, "doc_id", SHARDS)
+
+
 def ids_digest(ids: str) -> Column:
     """Digest of ids in decimal, joined by commas."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
@@ -63,9 +118,45 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "item_id", "start_word", "n_words", "n_equal", "item_words")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage that is not the first of its kind."""
+    return chunks.repeated_passages(read(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "end", "n_words", "n_chunks", "source_ids"
+    )
+
+
+def _span_text(spans: str) -> Column:
+    return F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen one and 2k + 1 the rejected one of pair k."""
+    turns = read(spark, sf_dir, "conversations")
+    pair = F.floor(F.col("conv_id") / 2).cast("bigint")
+    formatted = chat.format_pairs(turns, pair, F.pmod("conv_id", F.lit(2)) == 0)
+    return formatted.withColumns(
+        {
+            "chosen_spans": _span_text("chosen_spans"),
+            "rejected_spans": _span_text("rejected_spans"),
+        }
+    )
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
+    "op4_html": op4_html,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }

@@ -189,16 +189,11 @@ def links(fingerprints: DataFrame, fp: str = "fp", radius: int = 2) -> DataFrame
     )
 
 
-def near_duplicates(
-    df: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    shingle: int = 3,
-    radius: int = 2,
-    keep: tuple[str, ...] = (),
+def _labelled(
+    df: DataFrame, doc_id: str, text: str, shingle: int, radius: int, keep: tuple[str, ...]
 ) -> DataFrame:
-    """One row per row of ``df``: its id, the columns in ``keep``, fingerprint (16 hex digits)
-    and component_id."""
+    """doc_id, the columns in ``keep``, fp, component_id, and label: one of the component's
+    fingerprints, which names it even where no id does."""
     kept = [column(k) for k in keep]
     narrow = df.select(column(doc_id).alias("doc_id"), *kept, column(text).alias("text_"))
     prints = stored(with_fingerprint(narrow, "text_", "fp", shingle).drop("text_"), "simhash")
@@ -208,9 +203,16 @@ def near_duplicates(
         "label", F.coalesce("label", "fp")
     )
     ids = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(ids, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", *kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    named = grouped.join(ids, "label").select("fp", "label", "component_id")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2
+) -> DataFrame:
+    """One row per row of ``df``: its id, fingerprint (16 hex digits) and component_id."""
+    return _labelled(df, doc_id, text, shingle, radius, ()).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -225,17 +227,13 @@ def one_per_component(
     """
     mark = free_name(df, "text_hash")
     marked = df.withColumn(mark, F.xxhash64(column(text)))
-    found = near_duplicates(marked, doc_id, text, shingle, radius, keep=(mark,))
+    found = _labelled(marked, doc_id, text, shingle, radius, (mark,))
     # Nulls sort last: a null id is taken only where there is no other.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", column(mark).alias("mark"))
-    counted = found.groupBy("component_id", "fingerprint", place.alias("place")).agg(
-        F.count(F.lit(1)).alias("copies")
+    counted = found.groupBy("label", place.alias("place")).agg(F.count(F.lit(1)).alias("copies"))
+    best = counted.groupBy("label").agg(
+        F.min_by(F.struct("place", "copies"), "place").alias("best")
     )
-    # Documents without any id are apart by fingerprint only, which is their component's name.
-    best = counted.groupBy(
-        "component_id",
-        F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("unnamed"),
-    ).agg(F.min_by(F.struct("place", "copies"), "place").alias("best"))
     chosen = best.select(
         F.col("best.place.doc_id").alias("doc_id"),
         F.col("best.place.mark").alias("mark"),
