@@ -8,9 +8,12 @@ chance of (number of hashes) / (number of bits), so whatever passes is joined wi
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from continuity.llm.columns import column
+
 LOG2_BITS = 24
 
 
@@ -38,3 +41,19 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     low = hashes.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
     byte = bits[(low >> np.uint64(3)).astype(np.int64)]
     return (byte >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def split_by_keys(
+    df: DataFrame, key: str, keys: DataFrame, log2_bits: int = LOG2_BITS
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be among ``keys`` (same column name), and the rest,
+    whose key is surely not. Joins with ``keys`` then move the first part only."""
+    hashed = keys.select(F.xxhash64(column(key)).alias("h"))
+    bits = df.sparkSession.sparkContext.broadcast(bit_filter(hashed, "h", log2_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, hashes.to_numpy()))
+
+    test = maybe(F.xxhash64(column(key)))
+    return df.filter(test), df.filter(~test)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from continuity.llm.bits import bit_filter, passes
+from continuity.llm.bits import bit_filter, passes, split_by_keys
 from continuity.llm.columns import column, free_name
 from continuity.operators.joins import keyed_join
 from continuity.workspace import stored
@@ -226,9 +226,11 @@ def overlaps(
         .distinct(),
         "candidates",
     )
+    # Only texts that may be wanted are moved.
     wanted = candidates.select("doc_key").distinct()
+    maybe, _ = split_by_keys(keyed.select("doc_key", "text"), "doc_key", wanted)
     found_texts = (
-        keyed_join(keyed.select("doc_key", "text"), wanted, ["doc_key"], "left_semi")
+        maybe.join(wanted, "doc_key", "left_semi")
         .groupBy("doc_key")
         .agg(F.first("text").alias("text"))
     )
@@ -264,7 +266,8 @@ def without_overlaps(
     mark = free_name(documents, "doc_key")
     keyed = documents.withColumn(mark, F.md5(column(text).cast("binary")))
     found = overlaps(documents, benchmark, doc_id, text, search=search)
-    found = found.select(F.col("doc_key").alias(mark)).distinct()
-    return keyed_join(keyed, stored(found, "overlapping"), [mark], "left_anti").select(
+    found = stored(found.select(F.col("doc_key").alias(mark)).distinct(), "overlapping")
+    maybe, clean = split_by_keys(keyed, mark, found)
+    return clean.unionByName(maybe.join(found, mark, "left_anti")).select(
         *[column(name) for name in documents.columns]
     )

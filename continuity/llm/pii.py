@@ -36,10 +36,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from continuity.llm.bits import bit_filter
+from continuity.llm.bits import bit_filter, split_by_keys
 from continuity.llm.columns import column, free_name
 from continuity.operators.joins import keyed_join
 from continuity.workspace import stored
@@ -131,9 +131,12 @@ def term_hash(term: str) -> int:
     return zlib.crc32(data) | (len(data) & 0x7FFF) << 32
 
 
-@F.pandas_udf("bigint")
-def _hashed(terms: pd.Series) -> pd.Series:
-    return pd.Series([term_hash(t) for t in terms], dtype="int64")
+def _hashed(terms: Column) -> Column:
+    @F.pandas_udf("bigint")
+    def hashed(values: pd.Series) -> pd.Series:
+        return pd.Series([term_hash(t) for t in values], dtype="int64")
+
+    return hashed(terms)
 
 
 def _mentions(
@@ -246,7 +249,7 @@ def disclosing_terms(
     entities = contexts.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     candidates = stored(pairs.filter(F.col("contexts") >= rules.min_contexts), "candidates")
     bits = spark.sparkContext.broadcast(
-        bit_filter(candidates.select("term").distinct().select(_hashed("term").alias("h")), "h")
+        bit_filter(candidates.select("term").distinct().select(_hashed(F.col("term")).alias("h")), "h")
     )
     counted = stored(
         texts.mapInArrow(lambda it: _term_counts(it, bits.value), "term string, n bigint")
@@ -320,7 +323,7 @@ def find_spans(
     spark = df.sparkSession
     texts = df.select(column(text).alias("text")).filter(F.col("text").isNotNull())
     terms = stored(disclosing_terms(df, text, rules), "disclosing")
-    bits = spark.sparkContext.broadcast(bit_filter(terms.select(_hashed("term").alias("h")), "h"))
+    bits = spark.sparkContext.broadcast(bit_filter(terms.select(_hashed(F.col("term")).alias("h")), "h"))
     keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text")
     found = stored(
         keyed.mapInPandas(
@@ -382,8 +385,10 @@ def with_spans(
     spans = stored(find_spans(df, text, rules), "spans").filter(F.size("spans") > 0)
     spans = spans.select(F.col("doc_key").alias(key), F.col("spans").alias(out))
     none = F.array().cast(_TOLD)
-    joined = keyed_join(keyed, spans, [key], "left", spread_by=[c for c in columns if c != text] or [key])
-    return joined.withColumn(out, F.coalesce(column(out), none)).select(
+    # Only rows that may have spans are moved.
+    maybe, without = split_by_keys(keyed, key, spans)
+    joined = maybe.join(spans, key, "left").withColumn(out, F.coalesce(column(out), none))
+    return joined.unionByName(without.withColumn(out, none)).select(
         *[column(c) for c in columns], column(out)
     )
 
