@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from continuity.llm.codec import LOOK_AHEAD, Codec, load
 from continuity.llm.columns import column
@@ -38,6 +39,8 @@ from continuity.llm.columns import column
 # Characters from which a text is long, and of the largest leaf of its tree.
 LONG_CHARS = 32_768
 LEAF_CHARS = 16_384
+# Rows of one batch that a task hands back.
+OUT_ROWS = 256
 # Ids on either side of a join that the first window takes.
 FIRST_WINDOW = 8
 
@@ -220,6 +223,23 @@ def _joined(codec: Codec, group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _whole_texts(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
+    """Ids and decoded texts, in batches small enough for their arrays to be small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, OUT_ROWS):
+            part = batch.slice(start, OUT_ROWS)
+            ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                    pa.array([codec.decode(i) for i in ids], pa.string()),
+                ],
+                names=["doc_id", "ids", "decoded"],
+            )
+
+
 def encode_texts(
     df: DataFrame,
     path: str,
@@ -247,16 +267,15 @@ def encode_texts(
     narrow = df.select(
         column(doc_id).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text")
     )
-    result = "ids array<int>, decoded string"
-
-    @F.pandas_udf(result)
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        ids = [codec().encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [codec().decode(i) for i in ids]})
-
+    result = T.StructType(
+        [
+            T.StructField("doc_id", narrow.schema["doc_id"].dataType),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
+    )
     is_long = F.char_length("text") > long_chars
-    short = narrow.filter(~is_long).select("doc_id", whole("text").alias("r"))
-    short = short.select("doc_id", "r.ids", "r.decoded")
+    short = narrow.filter(~is_long).mapInArrow(lambda it: _whole_texts(it, codec()), result)
 
     # Copies of a long text are encoded once. The key is the text's digest.
     long_rows = narrow.filter(is_long).withColumn("key", F.sha2("text", 256))
