@@ -1,0 +1,77 @@
+import random
+import re
+
+from continuity.llm import pii
+from tests.llm.cases import documents, no_documents, prose
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(digits[::-1]))
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 13 <= len(digits) <= 19 and luhn % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(1)
+    for _ in range(30_000):
+        text = "".join(rng.choice("a1@.+- ()27_%é\n0") for _ in range(rng.randint(0, 45)))
+        assert pii.base_spans(text) == brute(text), text
+    digits = "1" * 200_000
+    assert pii.base_spans(digits) == [] == pii.base_spans(None)
+    assert pii.base_spans("a" * 100_000 + "@") == []
+
+
+def revealing(spark):
+    """A word that stands near one address only, and one that also stands elsewhere."""
+    rows = []
+    for k in range(6):
+        rows.append((k, prose(k, 40) + f"\nask zorblax common w{k}x at joe@example.org today v{k}y " + prose(50 + k, 20)))
+    for k in range(60):
+        rows.append((100 + k, prose(200 + k, 60) + " common"))
+    return documents(spark, rows)
+
+
+def test_disclosing_terms_and_sanitised_text(spark):
+    df = revealing(spark)
+    terms = {r.term: (r.kind, r.action) for r in pii.disclosing_terms(df).collect()}
+    assert terms["zorblax"] == ("email", "remove")
+    assert "common" not in terms
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert len(clean) == df.count()
+    for k in range(6):
+        assert "zorblax" not in clean[k] and "joe@" not in clean[k] and "[EMAIL]" in clean[k]
+    assert clean[100] == df.filter("doc_id = 100").first().text
+    assert pii.sanitised(df).columns == df.columns
+
+
+def test_copies_prove_nothing(spark):
+    text = prose(1, 40) + "\nask zorblax at joe@example.org now"
+    df = documents(spark, [(k, text) for k in range(9)] + [(50 + k, prose(k, 80)) for k in range(20)])
+    assert pii.disclosing_terms(df).count() == 0
+
+
+def test_every_row_has_its_spans(spark):
+    df = documents(spark).unionByName(documents(spark, [(77, "write to a.b@c.de or 10.0.0.1 "), (77, None)]))
+    rows = pii.with_spans(df, out="found", columns=["doc_id", "text"]).collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        assert [(s.kind, s.start, s.end) for s in r.found if s.kind in pii.KINDS] == brute(r.text)
+    assert pii.with_spans(no_documents(spark), out="found").count() == 0
