@@ -108,7 +108,8 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 
 def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple]:
     """Index arrays (i, j) of all pairs with equal key within the radius; keys are sorted."""
-    n = len(keys)
+    # Bits of signed numbers would be counted on their absolute values.
+    n, fps = len(keys), fps.view(np.uint64)
     if n < 2:
         return
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
