@@ -38,7 +38,11 @@ def test_rolling_hash_and_cuts_equal_byte_by_byte():
 def test_an_insertion_moves_only_near_cuts():
     text = prose(2, 400)
     moved = text[:100] + "INSERTED" + text[100:]
-    pieces = lambda t: {t[a:b] for a, b in zip([0, *(p := C.cut_points(data(t), GEAR))], p, strict=False)}
+
+    def pieces(t):
+        ends = C.cut_points(data(t), GEAR)
+        return {t[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+
     before, after = pieces(text), pieces(moved)
     assert len(before & after) > 0.9 * len(before)
 

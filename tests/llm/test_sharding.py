@@ -50,7 +50,7 @@ def test_rows_are_placed_by_key(spark):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 211
         assert (r.slot, r.shard) == (slot, table[slot])
     assert sharding.place(no_documents(spark).drop("slot", "shard"), "doc_id", NAMES).count() == 0
-    plan = placed._jdf.queryExecution().executedPlan().toString()
+    plan = sharding.place(spark.range(9), "id", NAMES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastHashJoin" in plan and "ExistingRDD" not in plan
     with pytest.raises(ValueError):
         sharding.place(documents(spark), "doc_id", NAMES)
