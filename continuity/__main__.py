@@ -11,6 +11,7 @@ from continuity.plans.ingest import ingest_flights, ingest_flights_stream
 from continuity.plans.status import outcome
 from continuity.plans.sync import SyncOptions, run_sync
 from continuity.sources import read_inventory
+from continuity.workspace import run_id
 
 
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -31,7 +32,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     sync.add_argument("--target-inventory", required=True)
     sync.add_argument("--source-database", default="{catalog}_share__{schema}")
     sync.add_argument("--target-database", default="{catalog}__{schema}")
-    sync.add_argument("--folder", help="root of the copies made by name")
+    sync.add_argument("--folder", required=True, help="root of the copies made by name")
     sync.add_argument("--output", required=True, help="folder for status, grants and volumes")
     sync.add_argument("--workers", type=int, default=8)
     sync.add_argument("--direct-grants", action="store_true")
@@ -73,8 +74,11 @@ def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
         "grant_changes": result.grant_changes,
         "grants": result.grants,
     }
+    # Volumes and grants are states: a folder for each run, so no state holds another's rows.
+    run = run_id()
     for name, frame in parts.items():
-        frame.write.mode("append").parquet(f"{args.output}/{name}")
+        frame.write.parquet(f"{args.output}/run_{run}/{name}")
+    print(f"results in {args.output}/run_{run}")
     result.status.groupBy("kind", outcome().alias("outcome")).count().show(200, truncate=False)
 
 

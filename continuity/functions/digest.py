@@ -1,9 +1,9 @@
 """Order-free digest of a table, to check a copy against what was read.
 
-A digest is a row count and three sums over slices of a 64-bit row hash. It is multiset-true:
+A digest is a row count and four sums over slices of a 64-bit row hash. It is multiset-true:
 two equal rows do not cancel, and neither row order nor file layout matters. The slices are
-at most 22 bits wide, so the sums fit a long up to 2**41 rows and stay primitive (a decimal
-sum of the whole hash took 1.6 times as long).
+16 bits wide, so the sums fit a long up to 2**47 rows and stay primitive (a decimal sum of the
+whole hash took 1.6 times as long).
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SLICE = 21
+_SLICE = 16
 _MASK = (1 << _SLICE) - 1
+_SUMS = ("sum0", "sum1", "sum2", "sum3")
 
 
 def _holds_map(kind: T.DataType) -> bool:
@@ -60,9 +61,10 @@ def digest_aggregates(df: DataFrame) -> list[Column]:
     digest = row_hash(df)
     return [
         F.count(F.lit(1)).alias("rows"),
-        F.sum(digest.bitwiseAND(F.lit(_MASK))).alias("low"),
-        F.sum(F.shiftrightunsigned(digest, _SLICE).bitwiseAND(F.lit(_MASK))).alias("middle"),
-        F.sum(F.shiftrightunsigned(digest, 2 * _SLICE)).alias("high"),
+        *[
+            F.sum(F.shiftrightunsigned(digest, k * _SLICE).bitwiseAND(F.lit(_MASK))).alias(name)
+            for k, name in enumerate(_SUMS)
+        ],
     ]
 
 
@@ -73,7 +75,7 @@ def digest(df: DataFrame) -> dict[str, int]:
 
 def normal(values: Mapping[str, int | None]) -> dict[str, int]:
     """Sums over no rows are null (or missing from an observation): count them as zero."""
-    return {name: int(values.get(name) or 0) for name in ("rows", "low", "middle", "high")}
+    return {name: int(values.get(name) or 0) for name in ("rows", *_SUMS)}
 
 
 def same_digest(left: DataFrame, right: DataFrame) -> bool:

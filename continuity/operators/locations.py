@@ -43,21 +43,19 @@ def remap_locations(
     tables: DataFrame,
     source_locations: DataFrame,
     target_locations: DataFrame,
-    key: tuple[str, ...] = ("catalog", "schema", "name"),
     path: str = "storage_location",
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Add location_name, target_location and problem (null when the path could be moved).
 
-    ``key`` must identify a row of ``tables``; it is used only when the locations are too
-    many to broadcast.
+    What a row gets depends on its path alone, however many locations there are.
     """
     pairs = location_pairs(source_locations, target_locations)
     few = replace(limits, broadcast_rows=min(_FEW, limits.broadcast_rows))
     if fits_broadcast(pairs, few, tables):
         matched = _by_root(tables, pairs, path)
     else:
-        matched = _by_ancestor(tables, pairs, key, path, limits)
+        matched = _by_ancestor(tables, pairs, path, limits)
     found, target = F.col("__found"), F.col("__found.target_url")
     rest = F.substring(F.col(path), F.col("__found.len") + 1, F.length(path))
     problem = F.when(found.isNull(), NO_LOCATION).when(target.isNull(), NO_TARGET_LOCATION)
@@ -92,17 +90,19 @@ def _by_root(tables: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
 
 
 def _by_ancestor(
-    tables: DataFrame, pairs: DataFrame, key: tuple[str, ...], path: str, limits: JoinLimits
+    tables: DataFrame, pairs: DataFrame, path: str, limits: JoinLimits
 ) -> DataFrame:
     """Many locations: each path meets the locations by equality on its own ancestors, so a
-    root shared by a third of the rows gives as many rows as a path is deep, not all pairs."""
+    root shared by a third of the rows gives as many rows as a path is deep, not all pairs.
+    Different paths are looked up once, and every row finds its entry by its path again."""
+    paths = tables.select(path).filter(F.col(path).isNotNull()).distinct()
     steps = F.split(path, "/")
     ancestors = F.transform(
         F.sequence(F.lit(1), F.size(steps)),
         lambda depth: F.array_join(F.slice(steps, 1, depth), "/"),
     )
-    spread = tables.select(*key, F.explode(ancestors).alias("url"))
+    spread = paths.select(path, F.explode(ancestors).alias("url"))
     entries = pairs.select("url", _entry().alias("__entry"))
-    hits = keyed_join(spread, entries, ["url"], "inner", spread_by=list(key), limits=limits)
-    best = hits.groupBy(*key).agg(F.max("__entry").alias("__found"))
-    return tables.join(best, list(key), "left")
+    hits = keyed_join(spread, entries, ["url"], "inner", spread_by=[path], limits=limits)
+    best = hits.groupBy(path).agg(F.max("__entry").alias("__found"))
+    return keyed_join(tables, best, [path], "left", limits=limits)

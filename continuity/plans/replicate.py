@@ -143,6 +143,14 @@ def publish(
         comment = text_literal(facts.comment) if facts.comment else "NULL"
         spark.sql(f"ALTER TABLE {target} SET LOCATION {text_literal(version)}")
         spark.sql(f"ALTER TABLE {target} SET TBLPROPERTIES ({_properties(facts)})")
+        surplus = [
+            k
+            for k in existing.get("table_properties") or {}
+            if k not in facts.properties and not k.startswith("continuity.")
+        ]
+        if surplus:
+            names = ", ".join(text_literal(k) for k in surplus)
+            spark.sql(f"ALTER TABLE {target} UNSET TBLPROPERTIES IF EXISTS ({names})")
         spark.sql(f"COMMENT ON TABLE {target} IS {comment}")
         spark.catalog.refreshTable(target)
         return

@@ -35,8 +35,7 @@ def record(
 def failure(error: BaseException | str) -> str:
     if isinstance(error, PySparkException):
         error = error.getMessage() or str(error)
-    first = str(error).strip().splitlines()
-    return f"FAIL: {first[0] if first else type(error).__name__}"
+    return f"FAIL: {str(error).strip() or type(error).__name__}"
 
 
 class StatusLog:

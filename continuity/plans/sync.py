@@ -16,15 +16,16 @@ from continuity.operators.grants import (
     grant_status,
     grants_after,
 )
+from continuity.operators.joins import keyed_join
 from continuity.operators.listing import copy_candidates, missing_schemas, securables
 from continuity.operators.volumes import registry_after, volume_upsert
 from continuity.plans.clone import BY_NAME, BY_PATH, clone_by_name, clone_by_path, duplicate_targets
 from continuity.plans.databases import create_schemas
 from continuity.plans.replicate import run_clone_plan
-from continuity.plans.status import StatusLog, stamped
+from continuity.plans.status import StatusLog, record, stamped
 from continuity.plans.views import create_views, view_plan
 from continuity.sources.inventory import Inventory
-from continuity.workspace import run_folder, stored
+from continuity.workspace import stored
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,8 @@ class SyncOptions:
 
     source_database: Callable[[str, str], str]
     target_database: Callable[[str, str], str]
-    folder: str | None = None
+    # Home of the copies made by name and of new schemas; no scratch folder.
+    folder: str
     named_types: Sequence[str] = ("MANAGED",)
     path_types: Sequence[str] = ("EXTERNAL",)
     catalog_types: Sequence[str] = ("MANAGED_CATALOG",)
@@ -62,19 +64,11 @@ class SyncResult:
 def run_sync(
     spark: SparkSession, source: Inventory, target: Inventory, options: SyncOptions
 ) -> SyncResult:
+    grants_known = source.grants is not None and target.grants is not None
     source, target = source.complete(spark), target.complete(spark)
-    folder = options.folder or run_folder(spark, "sync")
+    folder = options.folder.rstrip("/")
     log = StatusLog(spark)
 
-    missing = missing_schemas(source.schemas, target.schemas)
-    create_schemas(
-        spark,
-        missing,
-        log,
-        options.target_database,
-        lambda row: f"{folder}/schemas/{row.catalog}/{row.schema}",
-    )
-
     def candidates(types: Sequence[str]) -> DataFrame:
         return copy_candidates(
             source.tables, source.catalogs, types, options.catalog_types, options.formats
@@ -86,9 +80,21 @@ def run_sync(
         ),
         "plan",
     )
+    views = view_plan(source.tables)
     repeated = duplicate_targets(plans).take(3)
     if repeated:
         raise ValueError(f"targets planned more than once: {[r.target for r in repeated]}")
+    _refuse_meeting_targets(spark, plans, views, options.target_database)
+
+    missing = missing_schemas(source.schemas, target.schemas)
+    create_schemas(
+        spark,
+        missing,
+        log,
+        options.target_database,
+        lambda row: f"{folder}/schemas/{row.catalog}/{row.schema}",
+    )
+
     for kind in (BY_NAME, BY_PATH):
         run_clone_plan(
             spark,
@@ -103,7 +109,11 @@ def run_sync(
             skip_unchanged=options.skip_unchanged,
         )
 
-    upserted = volume_upsert(source.volumes, target.volumes)
+    made = log.frame().filter(~F.col("status").startswith("FAIL"))
+    schemas_now = target.schemas.select("catalog", "schema").unionByName(
+        made.filter("kind = 'schema'").select("catalog", "schema")
+    )
+    upserted = volume_upsert(source.volumes, target.volumes, schemas_now)
     log.add_frame(
         stamped(
             upserted.select(
@@ -114,20 +124,35 @@ def run_sync(
 
     create_views(
         spark,
-        view_plan(source.tables),
+        views,
         log,
         lambda r: quote(options.target_database(r.catalog, r.schema), r.view),
         options.view_definition,
         options.workers,
+        lambda r: quote(options.target_database(r.catalog, r.schema)),
     )
 
-    volumes = registry_after(source.volumes, target.volumes)
+    volumes = registry_after(source.volumes, target.volumes, schemas_now)
+    if not grants_known:
+        log.add(record(None, None, None, "grants", "SKIPPED: no grants exported"))
+        nothing = spark.createDataFrame([], target.grants.schema)
+        return SyncResult(
+            status=log.frame(),
+            volumes=volumes,
+            grant_changes=grant_changes(grant_diff(nothing, nothing)),
+            grants=target.grants,
+        )
     ours = securables(source.catalogs, source.schemas, source.tables, source.volumes)
     # Schemas, tables and volumes of the source exist in the target by now, as far as the
     # steps above could create them.
     made = log.frame().filter(~F.col("status").startswith("FAIL"))
     theirs = _securables_now(source, target, made, volumes)
     have, want = target.grants, source.grants
+    # Grants on objects that the inventory does not list (functions, system schemas) stay.
+    unlisted = keyed_join(
+        target.grants, theirs.select("securable_type", "full_name").distinct(),
+        ["securable_type", "full_name"], "left_anti", spread_by=["principal", "privilege"],
+    )
     if options.effective:
         have = stored(effective_grants(theirs, have), "target_grants")
         want = stored(effective_grants(ours, want), "source_grants")
@@ -149,8 +174,39 @@ def run_sync(
         status=log.frame(),
         volumes=volumes,
         grant_changes=grant_changes(diff),
-        grants=grants_after(want, have, (ours, theirs)),
+        grants=grants_after(want, have, (ours, theirs)).unionByName(unlisted)
+        if options.effective
+        else grants_after(want, have, (ours, theirs)),
+    )
+
+
+def _refuse_meeting_targets(
+    spark: SparkSession,
+    plans: DataFrame,
+    views: DataFrame,
+    target_database: Callable[[str, str], str],
+) -> None:
+    """Raise before anything is written if two tables or views would get one name: databases
+    are made up by a callable, and names do not tell upper from lower case."""
+    named = plans.select("catalog", "schema", F.col("table").alias("name")).unionByName(
+        views.select("catalog", "schema", F.col("view").alias("name"))
+    )
+    # One row per schema: the work list of the run.
+    places = [
+        (r.catalog, r.schema, target_database(r.catalog, r.schema).lower())
+        for r in named.select("catalog", "schema").distinct().toLocalIterator()
+    ]
+    databases = spark.createDataFrame(places, "catalog string, schema string, database string")
+    meeting = (
+        named.join(databases, ["catalog", "schema"])
+        .groupBy("database", F.lower("name").alias("name"))
+        .count()
+        .filter("count > 1")
+        .take(3)
     )
+    if meeting:
+        names = [f"{r.database}.{r.name}" for r in meeting]
+        raise ValueError(f"targets planned more than once: {names}")
 
 
 def _securables_now(

@@ -24,8 +24,16 @@ def view_plan(tables: DataFrame) -> DataFrame:
     )
 
 
-def create_view(spark: SparkSession, target: str, definition: str) -> None:
-    spark.sql(f"CREATE OR REPLACE VIEW {target} AS {definition}")
+def create_view(
+    spark: SparkSession, target: str, definition: str, database: str | None = None
+) -> None:
+    """``database``: where names without one are looked up, the view's own namespace. The view
+    is made in a session of its own, so other threads keep their current database."""
+    session = spark
+    if database is not None:
+        session = spark.newSession()
+        session.sql(f"USE {database}")
+    session.sql(f"CREATE OR REPLACE VIEW {target} AS {definition}")
 
 
 def create_views(
@@ -35,6 +43,7 @@ def create_views(
     target_of: Callable[[Row], str],
     definition_of: Callable[[Row], str] = lambda row: row.view_definition,
     workers: int = 8,
+    database_of: Callable[[Row], str] | None = None,
 ) -> None:
     """Create every view of a plan; a view on a view may come in any order.
 
@@ -44,7 +53,8 @@ def create_views(
 
     def create(row: Row) -> tuple[Row, Status]:
         try:
-            create_view(spark, target_of(row), definition_of(row))
+            database = database_of(row) if database_of else None
+            create_view(spark, target_of(row), definition_of(row), database)
             status = SUCCESS
         except Exception as error:
             status = failure(error)

@@ -30,7 +30,8 @@ _DDL = {
 
 @dataclass(frozen=True)
 class Inventory:
-    """One side of a sync. A part that is not given counts as empty."""
+    """One side of a sync. A part that is None was not listed: it counts as empty where that
+    changes nothing on the target, and steps that would undo things for it are skipped."""
 
     catalogs: DataFrame | None = None
     schemas: DataFrame | None = None
@@ -49,7 +50,11 @@ class Inventory:
 
 
 def read_inventory(spark: SparkSession, folder: str, fmt: str = "parquet") -> Inventory:
-    """Read an exported inventory: one sub-folder per part, under the declared schemas."""
+    """Read an exported inventory: one sub-folder per part, under the declared schemas.
+
+    Parts without a folder were not exported and stay None; a folder without any part is no
+    inventory and raises.
+    """
     parts = {}
     for part, ddl in _DDL.items():
         try:
@@ -57,7 +62,9 @@ def read_inventory(spark: SparkSession, folder: str, fmt: str = "parquet") -> In
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return Inventory(**parts).complete(spark)
+    if not parts:
+        raise ValueError(f"no inventory in {folder}: none of {', '.join(_DDL)} is there")
+    return Inventory(**parts)
 
 
 def describe_table(spark: SparkSession, identifier: str) -> dict:
@@ -66,6 +73,14 @@ def describe_table(spark: SparkSession, identifier: str) -> dict:
     return json.loads(row[0])
 
 
+def _properties(text: str | None) -> dict[str, str] | None:
+    """The properties of a database, from the form ``((a,b), (c,d))`` of its description."""
+    if not text:
+        return None
+    pairs = text.strip()[1:-1].strip("()").split("), (")
+    return dict(pair.split(",", 1) for pair in pairs if "," in pair) or None
+
+
 def _listed_tables(
     spark: SparkSession, catalog: str, databases: Iterable[str]
 ) -> Iterator[tuple[str | None, ...]]:
@@ -112,10 +127,12 @@ def live_inventory(
             row.info_name: row.info_value
             for row in spark.sql(f"DESCRIBE DATABASE EXTENDED {quote(database)}").collect()
         }
-        described.append((catalog, database, facts.get("Comment") or None, None))
+        described.append(
+            (catalog, database, facts.get("Comment") or None, _properties(facts.get("Properties")))
+        )
     tables = _listed_tables(spark, catalog, databases)
     return Inventory(
         catalogs=spark.createDataFrame([(catalog, "MANAGED_CATALOG")], S.CATALOGS_DDL),
         schemas=_write_rows(spark, described, S.SCHEMAS_DDL, f"{folder}/schemas", batch),
         tables=_write_rows(spark, tables, S.TABLES_DDL, f"{folder}/tables", batch),
-    ).complete(spark)
+    )

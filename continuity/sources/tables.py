@@ -12,7 +12,12 @@ def read_named(spark: SparkSession, identifier: str) -> DataFrame:
 
 
 def read_path(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """A table by its path. Values in folder names stay as they are written, as strings: a
+    guessed type would turn ``007`` into 7. The setting is made on a session of its own."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    schema = apart.read.format(fmt).load(path).schema
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def path_partitions(df: DataFrame, path: str) -> tuple[str, ...]:

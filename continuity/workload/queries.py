@@ -604,6 +604,7 @@ def sync_run(spark, sf_dir):
         SyncOptions(
             source_database=lambda catalog, schema: schema,
             target_database=lambda catalog, schema: target,
+            folder=run_folder(spark, "replica"),
             named_types=("EXTERNAL",),
             path_types=(),
             view_definition=lambda row: row.view_definition.replace(source, target),

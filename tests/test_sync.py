@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from continuity.functions import same_digest
 from continuity.plans.sync import SyncOptions, run_sync
 from continuity.schemas import GRANTS_DDL, TABLES_DDL, VOLUMES_DDL
-from continuity.sources import Inventory, live_inventory
+from continuity.operators.volumes import registry_after, volume_upsert
+from continuity.sources import Inventory, live_inventory, read_inventory
 from continuity.workspace import run_database, run_folder
 from tests.helpers import rows
 
@@ -66,6 +67,7 @@ def estate(spark):
     options = SyncOptions(
         source_database=lambda catalog, schema: source[catalog],
         target_database=lambda catalog, schema: target[catalog],
+        folder=f"{folder}/replica",
         view_definition=lambda row: row.view_definition.replace("DB", target[row.catalog]),
         workers=3,
     )
@@ -129,12 +131,70 @@ def test_failing_fast(spark, estate):
 
 
 def test_live_estate(spark, estate):
-    source, target, *_ = estate
+    source, target, folder, *_ = estate
     options = SyncOptions(
         source_database=lambda catalog, schema: schema,
         target_database=lambda catalog, schema: target["main"],
+        folder=f"{folder}/replica",
     )
     ours = live_inventory(spark, [source["main"]])
     result = run_sync(spark, ours, live_inventory(spark, [target["main"]]), options)
     assert result.status.filter("status like 'FAIL%'").count() == 0
     assert spark.table(f"{target['main']}.m").count() == 30
+
+
+def test_grants_on_unlisted_objects_stay(spark, estate):
+    *_, ours, theirs, options = estate
+    theirs = replace(
+        theirs, grants=theirs.grants.unionByName(
+            spark.createDataFrame([("FUNCTION", "main.s.f", "eve", "EXECUTE")], GRANTS_DDL)
+        )
+    )
+    result = run_sync(spark, ours, theirs, options)
+    assert result.grants.filter("full_name = 'main.s.f'").count() == 1
+    assert result.grant_changes.filter("full_name = 'main.s.f'").count() == 0
+
+
+@pytest.mark.parametrize("side", ["source", "target"])
+def test_grants_that_were_not_exported_change_nothing(spark, estate, side):
+    *_, ours, theirs, options = estate
+    if side == "source":
+        ours = replace(ours, grants=None)
+    else:
+        theirs = replace(theirs, grants=None)
+    result = run_sync(spark, ours, theirs, replace(options, path_types=()))
+    assert result.grant_changes.count() == 0
+    assert result.status.filter("status = 'SKIPPED: no grants exported'").count() == 1
+
+
+def test_targets_that_meet_are_refused_before_anything_is_written(spark, estate):
+    _, _, folder, ours, theirs, options = estate
+    tables = [("main", s, n, "MANAGED", "parquet", None, None, "me") for s, n in (("s", "m"), ("t", "M"))]
+    ours = replace(ours, tables=spark.createDataFrame(tables, TABLES_DDL))
+    before = {d.name for d in spark.catalog.listDatabases()}
+    with pytest.raises(ValueError, match="more than once"):
+        run_sync(spark, ours, theirs, replace(options, target_database=lambda c, s: "one"))
+    assert {d.name for d in spark.catalog.listDatabases()} == before
+
+
+def test_live_schemas_keep_their_properties(spark):
+    database = run_database(spark, "props")
+    spark.sql(f"ALTER DATABASE {database} SET DBPROPERTIES ('team' = 'a', 'tier' = 'b')")
+    row = live_inventory(spark, [database]).schemas.first()
+    assert row.properties["team"] == "a" and row.properties["tier"] == "b"
+
+
+def test_a_folder_that_is_no_inventory_raises(spark, tmp_path):
+    with pytest.raises(ValueError, match="no inventory"):
+        read_inventory(spark, str(tmp_path / "absent"))
+
+
+def test_volumes_that_cannot_be_made(spark):
+    source = spark.createDataFrame(
+        [("c", "s", "a", "EXTERNAL", "p://1", "x"), ("c", "t", "b", "EXTERNAL", "p://2", "x"),
+         ("c", "s", "c", "EXTERNAL", None, "x")], VOLUMES_DDL)
+    none = spark.createDataFrame([], VOLUMES_DDL)
+    schemas = spark.createDataFrame([("c", "s")], "catalog string, schema string")
+    got = {r.name: r.status for r in volume_upsert(source, none, schemas).collect()}
+    assert got == {"a": "success", "b": "ERROR: no schema c.t", "c": "ERROR: no storage location"}
+    assert [r.name for r in registry_after(source, none, schemas).collect()] == ["a"]
