@@ -143,6 +143,16 @@ def target_locations(region: DataFrame) -> DataFrame:
     return shallow.unionByName(deep)
 
 
+def part_locations(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source and target locations, two for each part; the target lacks every 13th part's."""
+    key, root = F.col("p_partkey"), F.col("p_size") % 5
+    near = part.select(key, _text("near_", key).alias("name"), F.concat(_text("src://r", root), F.lit("/"), key).alias("url"))
+    deep = part.select(key, _text("far_", key).alias("name"), F.concat(_text("src://r", root), F.lit("/deep/"), key).alias("url"))
+    both = near.unionByName(deep)
+    moved = both.filter(key % 13 != 0).select("name", F.concat(F.lit("dst://"), "name").alias("url"))
+    return both.select("name", "url"), moved
+
+
 def _grants(lineitem: DataFrame, left_out: int) -> DataFrame:
     # Not made distinct: the comparison drops repeats in its own aggregate.
     return lineitem.filter(F.col("l_linenumber") % 3 != left_out).select(

@@ -153,6 +153,19 @@ ORACLES: dict[str, str] = {
     "location_remap": f"""WITH {Q.REMAPPED}
         SELECT catalog, schema, name, storage_location, location_name, target_location, problem
         FROM remapped""",
+    "location_remap_many": f"""WITH {Q.TABLES},
+        many AS (
+          SELECT catalog, CASE WHEN length(storage_location) % 3 > 0 THEN schema END AS schema,
+            substr(name, 1, 4) AS name, storage_location FROM inv),
+        places AS (
+          SELECT p_partkey, concat(kind, '_', p_partkey) AS label,
+            concat('src://r', p_size % 5, CASE kind WHEN 'far' THEN '/deep' ELSE '' END, '/', p_partkey) AS url
+          FROM part, (VALUES ('near'), ('far')) AS k(kind))
+        SELECT catalog, schema, name, storage_location, label AS location_name,
+          CASE WHEN p_partkey % 13 <> 0 THEN concat('dst://', label, substr(storage_location, length(url) + 1)) END
+            AS target_location,
+          CASE WHEN url IS NULL THEN 'no location' WHEN p_partkey % 13 = 0 THEN 'no target location' END AS problem
+        FROM many LEFT JOIN places ON storage_location = url""",
     "clone_plan": f"""WITH {Q.REMAPPED}
         SELECT catalog, schema, name AS "table", 'name' AS kind,
           concat(catalog, '_share.', schema, '.', name) AS source,

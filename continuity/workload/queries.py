@@ -374,6 +374,23 @@ def location_remap(spark, sf_dir):
     )
 
 
+@query
+def location_remap_many(spark, sf_dir):
+    """Two locations for each part, and tables whose names repeat and whose schemas may be null."""
+    part = load(spark, sf_dir, "part")
+    tables = I.tables(part).withColumns(
+        {
+            "schema": F.when(F.length("storage_location") % 3 > 0, F.col("schema")),
+            "name": F.substring("name", 1, 4),
+        }
+    )
+    source, target = I.part_locations(part)
+    moved = remap_locations(tables, source, target)
+    return moved.select(
+        "catalog", "schema", "name", "storage_location", "location_name", "target_location", "problem"
+    )
+
+
 @query
 def clone_plan(spark, sf_dir):
     """What a run would copy: managed tables by name, external ones by path."""

@@ -98,3 +98,18 @@ def test_pairs(spark):
     assert pairs["src://r3"] == ("twin_a", "dst://ta")
     assert pairs["src://r2"] == ("lost", None)
     assert "src:" not in pairs
+
+
+def test_both_ways_agree_on_null_and_repeated_keys(spark):
+    rows = [
+        (None, None, "t", "src://q/1"), (None, None, "t", "src://r/1"), ("c", "s", "t", "src://q/1"),
+        ("c", "s", "t", "src://q/1"), ("c", None, None, None), ("c", "s", "u", "src://none/1"),
+    ]
+    tables = spark.createDataFrame(rows, "catalog string, schema string, name string, storage_location string")
+    source = spark.createDataFrame([("q", "src://q"), ("r", "src://r")], "name string, url string")
+    target = spark.createDataFrame([("q", "dst://q"), ("r", "dst://r")], "name string, url string")
+    few = remap_locations(tables, source, target, limits=FEW)
+    many = remap_locations(tables, source, target, limits=MANY)
+    assert few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+    moved = {r.storage_location: r.target_location for r in many.collect()}
+    assert moved == {"src://q/1": "dst://q/1", "src://r/1": "dst://r/1", None: None, "src://none/1": None}
