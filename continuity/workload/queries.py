@@ -27,7 +27,7 @@ from continuity.plans.sync import SyncOptions, run_sync
 from continuity.plans.views import create_view, same_view, view_plan
 from continuity.schemas import flight_schema
 from continuity.sinks import append
-from continuity.sources import live_inventory, read_batch, read_stream
+from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
 from continuity.workload import inputs as I
 from continuity.workload.inputs import load
 from continuity.workspace import run_database, run_folder, run_id
@@ -273,14 +273,23 @@ def _inventory(spark, sf_dir):
     return I.tables(load(spark, sf_dir, "part"))
 
 
+def _exported(spark, sf_dir):
+    """An inventory as an export leaves it, read back."""
+    part, folder = load(spark, sf_dir, "part"), run_folder(spark, "export")
+    I.catalogs(part).write.parquet(f"{folder}/catalogs")
+    I.source_schemas(part).write.parquet(f"{folder}/schemas")
+    I.tables(part).write.parquet(f"{folder}/tables")
+    return read_inventory(spark, folder)
+
+
 @query
 def inventory_catalogs(spark, sf_dir):
-    return I.catalogs(load(spark, sf_dir, "part"))
+    return _exported(spark, sf_dir).catalogs
 
 
 @query
 def inventory_schemas(spark, sf_dir):
-    schemas = I.source_schemas(load(spark, sf_dir, "part"))
+    schemas = _exported(spark, sf_dir).schemas
     return schemas.select("catalog", "schema", "comment", F.col("properties")["origin"].alias("origin"))
 
 
@@ -612,12 +621,22 @@ def sync_run(spark, sf_dir):
         F.col("o_orderpriority").alias("principal"),
         F.col("o_orderstatus").alias("privilege"),
     )
+    theirs = live_inventory(spark, [target])
+    homes = I.source_volumes(supplier).select("catalog", "schema").distinct()
+    homes = homes.select("*", F.lit(None).cast("string").alias("comment"), F.create_map().cast("map<string,string>").alias("properties"))
+    theirs = replace(
+        theirs,
+        schemas=theirs.schemas.unionByName(homes),
+        volumes=I.target_volumes(supplier),
+        # Listed, and nothing is granted yet.
+        grants=granted.limit(0),
+    )
     result = run_sync(
         spark,
         replace(
             live_inventory(spark, [source]), volumes=I.source_volumes(supplier), grants=granted
         ),
-        replace(live_inventory(spark, [target]), volumes=I.target_volumes(supplier)),
+        theirs,
         SyncOptions(
             source_database=lambda catalog, schema: schema,
             target_database=lambda catalog, schema: target,
