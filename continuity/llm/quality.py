@@ -220,3 +220,16 @@ def judge_texts(
     return measured.withColumn(
         out, q.withField("base_failed", base_failed).withField("kept", kept)
     )
+
+
+def kept_texts(
+    df: DataFrame, text: str = "text", rules: LineRules = DEFAULT_RULES, out: str = "quality"
+) -> DataFrame:
+    """The rows of ``df`` that are kept, with the column ``out`` of ``judge_texts``.
+
+    The verdict is taken through a one-element array: a plain filter would be moved below the
+    figures and work them out a second time.
+    """
+    judged = judge_texts(df, text, rules, out)
+    kept = F.filter(F.array(column(out)), lambda q: q["kept"])
+    return judged.select(*[column(c) for c in df.columns], F.explode(kept).alias(out))

@@ -32,8 +32,7 @@ def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go from every document, rejected documents go."""
     mark = free_name(docs, "quality")
-    judged = quality.judge_texts(docs, "text", out=mark)
-    kept = judged.filter(column(mark)["kept"])
+    kept = quality.kept_texts(docs, "text", out=mark)
     return _with_text(kept, docs.columns, column(mark)["clean_text"])
 
 
