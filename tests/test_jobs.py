@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from continuity.__main__ import main
 from continuity.schemas import GRANTS_DDL, TABLES_DDL
 from continuity.workspace import run_database, run_folder, run_id, shared_folder
@@ -31,14 +33,26 @@ def test_sync_job(spark, tmp_path):
     spark.createDataFrame(tables, TABLES_DDL).write.parquet(str(tmp_path / "src/tables"))
     grants = [("CATALOG", f"c{run}", "ann", "USE")]
     spark.createDataFrame(grants, GRANTS_DDL).write.parquet(str(tmp_path / "src/grants"))
-    main(
-        ["sync", "--source-inventory", str(tmp_path / "src"), "--target-inventory", str(tmp_path / "tgt"),
-         "--output", str(tmp_path / "out"), "--skip-unchanged"]
-    )
+    # The target was listed, and nothing is granted there.
+    spark.createDataFrame([], GRANTS_DDL).write.parquet(str(tmp_path / "tgt/grants"))
+    arguments = [
+        "sync", "--source-inventory", str(tmp_path / "src"), "--target-inventory", str(tmp_path / "tgt"),
+        "--output", str(tmp_path / "out"), "--skip-unchanged", "--folder", str(tmp_path / "home"),
+    ]
+    main(arguments)
+    main(arguments)
     assert spark.table(f"c{run}__s.t").count() == 6
-    held = spark.read.parquet(str(tmp_path / "out/grants"))
-    assert {(r.securable_type, r.principal) for r in held.collect()} == {("CATALOG", "ann"), ("TABLE", "ann")}
-    assert spark.read.parquet(str(tmp_path / "out/status")).filter("status like 'FAIL%'").count() == 0
+    runs = sorted((tmp_path / "out").iterdir())
+    assert len(runs) == 2
+    for done in runs:
+        held = spark.read.parquet(str(done / "grants"))
+        assert sorted((r.securable_type, r.principal) for r in held.collect()) == [("CATALOG", "ann"), ("TABLE", "ann")]
+        assert spark.read.parquet(str(done / "status")).filter("status like 'FAIL%'").count() == 0
+
+
+def test_sync_job_needs_a_home():
+    with pytest.raises(SystemExit):
+        main(["sync", "--source-inventory", "a", "--target-inventory", "b", "--output", "c"])
 
 
 def test_shared_folder_is_the_clusters(spark):
