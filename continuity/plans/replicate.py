@@ -151,7 +151,8 @@ def publish(
         if surplus:
             names = ", ".join(text_literal(k) for k in surplus)
             spark.sql(f"ALTER TABLE {target} UNSET TBLPROPERTIES IF EXISTS ({names})")
-        spark.sql(f"COMMENT ON TABLE {target} IS {comment}")
+        if (existing.get("comment") or None) != (facts.comment or None):
+            spark.sql(f"COMMENT ON TABLE {target} IS {comment}")
         spark.catalog.refreshTable(target)
         return
     run = run_id()
@@ -177,7 +178,7 @@ def _up_to_date(spark: SparkSession, df: DataFrame, target: str, fmt: str, facts
         and properties.get(KIND) == facts.kind
         and {k: v for k, v in properties.items() if not k.startswith("continuity.")}
         == dict(facts.properties)
-        and held.get("comment") == facts.comment
+        and (held.get("comment") or None) == (facts.comment or None)
         and held.get("provider") == fmt
         and tuple(held.get("partition_columns") or ()) == tuple(facts.partition_by)
         and sorted(spark.table(target).dtypes) == sorted(df.dtypes)
