@@ -93,7 +93,8 @@ def cut_points(data: np.ndarray, gear: np.ndarray, cuts: Cuts = DEFAULT_CUTS) ->
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], cuts: Cuts) -> Iterator[pa.RecordBatch]:
     gear = _gear()
-    for batch in batches:
+    # A few hundred texts at a time keep the lists of their chunks small.
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
         ids, hashes, begins, ends, words, high, low = [], [], [], [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode("utf-8", "replace")
