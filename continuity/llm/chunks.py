@@ -154,7 +154,9 @@ def repeated_passages(
     again = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeats = stored(every.join(again.select("high", "low"), ["high", "low"]), "repeats")
     place = F.struct("doc_id", "text_hash", "start")
-    firsts = repeats.groupBy("high", "low").agg(F.min(place).alias("first"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a
+    # digest with very many places.
+    firsts = stored(repeats.groupBy("high", "low").agg(F.min(place).alias("first")), "firsts")
     later = (
         repeats.join(firsts, ["high", "low"])
         .filter(~place.eqNullSafe(F.col("first")))
