@@ -131,6 +131,12 @@ def term_hash(term: str) -> int:
     return zlib.crc32(data) | (len(data) & 0x7FFF) << 32
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, a few hundred at a time in memory."""
+    for start in range(0, batch.num_rows, 512):
+        yield from batch.column(0).slice(start, 512).to_pylist()
+
+
 def _hashed(terms: Column) -> Column:
     @F.pandas_udf("bigint")
     def hashed(values: pd.Series) -> pd.Series:
@@ -149,7 +155,7 @@ def _mentions(
     """
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text in _texts(batch):
             spans = base_spans(text)
             if not spans:
                 continue
@@ -214,7 +220,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
     mask = len(bits) * 8 - 1
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text in _texts(batch):
             if text:
                 counts.update(_TERM.findall(text.lower()))
         kept = [
@@ -289,7 +295,7 @@ def _found(batches: Iterator[pd.DataFrame], bits: np.ndarray) -> Iterator[pd.Dat
     mask = len(bits) * 8 - 1
     some = bool(bits.any())
     known: dict[str, bool] = {}
-    for batch in batches:
+    for batch in (b.iloc[k : k + 512] for b in batches for k in range(0, len(b), 512)):
         spans, terms = [], []
         for text in batch["text"]:
             base = base_spans(text)
@@ -307,7 +313,7 @@ def _found(batches: Iterator[pd.DataFrame], bits: np.ndarray) -> Iterator[pd.Dat
                 if len(known) > 1_000_000:
                     known.clear()
             terms.append(words)
-        yield pd.DataFrame({"doc_key": batch["doc_key"], "spans": spans, "terms": terms})
+        yield pd.DataFrame({"doc_key": batch["doc_key"].array, "spans": spans, "terms": terms})
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
