@@ -6,15 +6,16 @@ hashes are joined, and around each hit the document and the item are laid side b
 hit's diagonal and compared word by word. An overlap is a stretch of aligned words that is long
 enough and in which few words differ.
 
-An exact copy of ``span`` words always hits. With the three default masks (10 of 16 words) a
-stretch of 24 words in which every eighth word was replaced at random hits with a chance
-of over 0.9, where a plain 13-word hash would find next to nothing.
+The default masks skip nothing that the comparison accepts: whichever words of an overlap differ,
+one of the six masks (6 words each, 7 to 10 long) lies on equal words only. That holds for every
+overlap of every length and is tested by exhaustion, not by sampling. Other masks or bounds may
+lose overlaps; ``most_missed`` tells.
 
-Items shorter than the span are hashed as a whole, one further mask per length that occurs
-(fewer than ``span`` of them), and must be found whole, without a differing word. Items with
-fewer than ``min_words`` words are no evidence and are not searched.
+Items of fewer than ``exact_below`` words must be found
+whole, without a differing word. Items with fewer than ``min_words`` words are no evidence and are
+not searched.
 
-How it runs: benchmark hashes stay a table. A bit map of fixed size (``bits``) lets a task that
+How it runs: benchmark hashes stay a table. Two bit maps of fixed size (``bits``) let a task that
 reads documents throw away places that surely hit nothing; what passes is joined with the
 table. Pairs of document and item, with the diagonal, are then distinct rows; only their
 documents are read again for the comparison, whose cost is one item's length for each diagonal.
@@ -52,16 +53,19 @@ class Search:
     """Seeds and the test of an overlap."""
 
     # 1: the word counts, 0: any word.
-    masks: tuple[str, ...] = ("1101100110101101", "1011010110010111", "1110010111001011")
+    masks: tuple[str, ...] = (
+        "1111011", "11110011", "11011101", "10101111", "110010111", "1110100011",
+    )
     # Shortest item that is searched, and the words of a stretch that are an overlap.
     min_words: int = 8
     overlap_words: int = 13
     # Percent of the words of a stretch that must be equal.
     equal_percent: int = 80
+    # Items of fewer words must be found whole, without a differing word.
+    exact_below: int = 16
 
-    @property
-    def span(self) -> int:
-        return len(self.masks[0])
+    def percent(self, item_words: int) -> int:
+        return self.equal_percent if item_words >= self.exact_below else 100
 
 
 DEFAULT_SEARCH = Search()
@@ -73,9 +77,24 @@ def words_of_text(text: str | None) -> list[bytes]:
     return [w for w in (p.strip(MARKS) for p in parts) if w]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+class _Known(dict):
+    """Hashes of raw words in lower case, 0 for marks only; a bounded memory of them."""
+
+    def __missing__(self, part: bytes) -> int:
+        word = part.strip(MARKS)
+        value = (xxhash.xxh64_intdigest(word) or 1) if word else 0
+        if len(part) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[part] = value
+        return value
+
+
+def text_hashes(text: str | None, known: _Known) -> np.ndarray:
+    """Hashes of the words of a text, as ``words_of_text`` has them."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    hashed = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    return hashed[hashed != 0]
 
 
 def seed_hashes(hashed: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -83,54 +102,91 @@ def seed_hashes(hashed: np.ndarray, mask: str, salt: int) -> np.ndarray:
     n = len(hashed) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, salt + 1, dtype=np.uint64) * _MULTIPLIER
+    total = np.full(n, salt + 1, dtype=np.uint64)
     for k, counts in enumerate(mask):
         if counts == "1":
-            total = (total ^ hashed[k : k + n]) * _MULTIPLIER
-            total ^= total >> np.uint64(29)
+            total *= _MULTIPLIER
+            total += hashed[k : k + n]
     return total
 
 
-def _places(hashed: np.ndarray, search: Search, lengths: list[int]) -> Iterator[tuple]:
-    """(salt, hashes) of a text for the seeds and for each whole length."""
-    for k, mask in enumerate(search.masks):
-        yield k, seed_hashes(hashed, mask, k)
-    for n in lengths:
-        yield 100 + n, seed_hashes(hashed, "1" * n, 100 + n)
+def most_missed(search: Search, n_words: int, edges: bool) -> int:
+    """The fewest differing words with which a stretch of ``n_words`` hits no mask; ``edges``:
+    whether its first and last word may differ. Masks lose nothing when this is more than the
+    comparison allows."""
+    span = max(map(len, search.masks))
+    seeds = [int(m, 2) for m in search.masks]
+    hits = [any(state & seed == seed for seed in seeds) for state in range(1 << span)]
+    # The last words, 1 where equal: fewest differing words so far.
+    best = {0: 0}
+    for at in range(n_words):
+        then: dict[int, int] = {}
+        for state, n in best.items():
+            for equal in (1,) if not edges and at in (0, n_words - 1) else (0, 1):
+                now = (state << 1 | equal) & ((1 << span) - 1)
+                if not hits[now]:
+                    then[now] = min(then.get(now, n_words), n + 1 - equal)
+        best = then
+    return min(best.values(), default=n_words + 1)
 
 
 def _item_rows(batches: Iterator[pd.DataFrame], search: Search) -> Iterator[pd.DataFrame]:
+    known = _Known()
     for batch in batches:
         made = []
         for key, text in zip(batch["item_key"], batch["text"], strict=True):
-            hashed = word_hashes(words_of_text(text))
+            hashed = text_hashes(text, known)
             if len(hashed) < search.min_words:
                 continue
-            short = len(hashed) < search.span
-            for salt, h in _places(hashed, search, [len(hashed)] if short else []):
-                if not short or salt >= 100:
-                    made.append(
-                        pd.DataFrame({"item_key": key, "item_at": np.arange(len(h)), "h": h.view(np.int64)})
-                    )
+            for salt, mask in enumerate(search.masks):
+                h = seed_hashes(hashed, mask, salt)
+                made.append(
+                    pd.DataFrame({"item_key": key, "item_at": np.arange(len(h)), "h": h.view(np.int64)})
+                )
         yield pd.concat(made) if made else pd.DataFrame(
             {"item_key": [], "item_at": [], "h": []}
         )
 
 
+def _groups(
+    batch: pa.RecordBatch, known: _Known, words: int = 1 << 15
+) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """Keys and word hashes of the texts of a batch, some ten thousand words at a time."""
+    keys, hashed, n = [], [], 0
+    for first in range(0, batch.num_rows, 256):
+        part = batch.slice(first, 256)
+        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            hashed.append(text_hashes(text, known))
+            n += len(hashed[-1])
+            if n >= words:
+                yield keys, hashed
+                keys, hashed, n = [], [], 0
+    if keys:
+        yield keys, hashed
+
+
 def _hits(
-    batches: Iterator[pa.RecordBatch], search: Search, bits: np.ndarray, lengths: list[int]
+    batches: Iterator[pa.RecordBatch], search: Search, bits: tuple[np.ndarray, np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     """Places of documents that may hit: (doc_key, at, h)."""
+    low, high = bits
+    known = _Known()
     for batch in batches:
         keys, places, found = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hashed = word_hashes(words_of_text(text))
-            for _, h in _places(hashed, search, lengths):
-                at = np.flatnonzero(passes(bits, h))
-                if len(at):
-                    keys += [key] * len(at)
-                    places.append(at)
-                    found.append(h[at].view(np.int64))
+        for names, texts in _groups(batch, known):
+            joined = np.concatenate(texts)
+            ends = np.cumsum([len(t) for t in texts])
+            for salt, mask in enumerate(search.masks):
+                h = seed_hashes(joined, mask, salt)
+                at = np.flatnonzero(passes(low, h))
+                at = at[passes(high, h[at] >> np.uint64(32))]
+                text = np.searchsorted(ends, at, side="right")
+                whole = at + len(mask) <= ends[text]
+                at, text = at[whole], text[whole]
+                keys += [names[k] for k in text]
+                places.append(at - np.r_[0, ends][text])
+                found.append(h[at].view(np.int64))
         empty = [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays(
             [
@@ -146,7 +202,7 @@ def best_stretch(equal: np.ndarray, search: Search, item_words: int) -> tuple[in
     """(start, length, equal words) of the longest stretch of aligned words that is an overlap,
     or zeros. A stretch starts and ends with an equal word."""
     need = min(search.overlap_words, item_words)
-    p = search.equal_percent if item_words >= search.span else 100
+    p = search.percent(item_words)
     # A stretch has p percent equal words when its sum of (100 if equal else 0) - p is not
     # negative: for each end, the earliest start with a prefix sum no higher.
     sums = np.r_[0, np.cumsum(np.where(equal, 100, 0) - p)]
@@ -204,21 +260,18 @@ def overlaps(
         ),
         "seeds",
     )
-    # Lengths below the span that occur: fewer than the span, whatever the benchmark's size.
-    tokens = texts.mapInPandas(
-        lambda it: (pd.DataFrame({"n": [len(words_of_text(t)) for t in b["item_text"]]}) for b in it),
-        "n int",
-    )
-    lengths = sorted(
-        r.n for r in tokens.filter(F.col("n").between(search.min_words, search.span - 1)).distinct().collect()
+    bits = spark.sparkContext.broadcast(
+        (
+            bit_filter(seeds, "h"),
+            bit_filter(seeds.select(F.shiftrightunsigned("h", 32).alias("h")), "h"),
+        )
     )
-    bits = spark.sparkContext.broadcast(bit_filter(seeds, "h"))
     narrow = documents.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     keyed = narrow.filter(F.col("text").isNotNull()).withColumn(
         "doc_key", F.md5(F.col("text").cast("binary"))
     )
     hits = keyed.select("doc_key", "text").mapInArrow(
-        lambda it: _hits(it, search, bits.value, lengths), "doc_key string, at int, h bigint"
+        lambda it: _hits(it, search, bits.value), "doc_key string, at int, h bigint"
     )
     candidates = stored(
         keyed_join(stored(hits, "hits"), seeds, ["h"])

@@ -68,3 +68,56 @@ def test_best_stretch_equals_brute_force():
 def test_empty_sides(spark):
     assert D.overlaps(no_documents(spark), items(spark)).count() == 0
     assert D.overlaps(documents(spark), items(spark, [])).count() == 0
+
+
+def test_masks_lose_no_overlap_that_the_comparison_accepts():
+    search = D.DEFAULT_SEARCH
+    # From 42 words on, a stretch holds a shorter one: of some two halves of at least 13 words,
+    # cut between two equal words, one has the share.
+    for n in range(search.overlap_words, 61):
+        assert D.most_missed(search, n, False) > n * (100 - search.equal_percent) // 100
+
+
+def test_recall_equals_brute_force():
+    rng = random.Random(5)
+    search = D.DEFAULT_SEARCH
+    import numpy as np
+
+    def hit(equal):
+        return any(
+            all(equal[at + k] for k, c in enumerate(mask) if c == "1")
+            for mask in search.masks
+            for at in range(len(equal) - len(mask) + 1)
+        )
+
+    tried = 0
+    for n in range(8, 61):
+        cases = [[k % 5 != shift for k in range(n)] for shift in range(5)]
+        cases += [[k != place for k in range(n)] for place in range(n)]
+        for _ in range(60):
+            differ = set(rng.sample(range(n), n // 5))
+            cases.append([k not in differ for k in range(n)])
+        for equal in cases:
+            if D.best_stretch(np.array(equal), search, n)[1]:
+                tried += 1
+                assert hit(equal)
+    assert tried > 3000
+
+
+def test_short_runs_and_replaced_words_are_found(spark):
+    def other(text, *places):
+        return " ".join("other" if k in places else w for k, w in enumerate(text.split()))
+
+    text = {1: prose(61, 40), 3: prose(63, 16)}
+    some = [" ".join(text[1].split()[7 : 7 + n]) for n in (13, 14, 15)]
+    cases = [(some[0], 1), (some[1], 1), (some[2], 1)]
+    cases += [(other(text[1], *range(shift, 40, 5)), 1) for shift in range(5)]
+    cases += [(other(text[3], place), 3) for place in range(16)]
+    rows = [(k, f"{prose(200 + k, 20)} {t} {prose(500 + k, 20)}") for k, (t, _) in enumerate(cases)]
+    rows += [(1000 + k, t) for k, (t, _) in enumerate(cases)]
+    # One word more than allowed.
+    # One word fewer than an overlap has.
+    rows += [(2002, " ".join(some[0].split()[:12]))]
+    got = D.overlaps(documents(spark, rows), items(spark, list(text.items()))).collect()
+    wanted = [(k + b, item) for k, (_, item) in enumerate(cases) for b in (0, 1000)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(wanted)
