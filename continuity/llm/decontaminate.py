@@ -11,7 +11,8 @@ one of the six masks (6 words each, 7 to 10 long) lies on equal words only. That
 overlap of every length and is tested by exhaustion, not by sampling. Other masks or bounds may
 lose overlaps; ``most_missed`` tells.
 
-Items of fewer than ``exact_below`` words must be found
+Items of up to 15 words overlap also as a whole, when ``equal_percent`` of all their words stand
+on the diagonal, at their edges or not. Items of fewer than ``exact_below`` words must be found
 whole, without a differing word. Items with fewer than ``min_words`` words are no evidence and are
 not searched.
 
@@ -62,7 +63,7 @@ class Search:
     # Percent of the words of a stretch that must be equal.
     equal_percent: int = 80
     # Items of fewer words must be found whole, without a differing word.
-    exact_below: int = 16
+    exact_below: int = 10
 
     def percent(self, item_words: int) -> int:
         return self.equal_percent if item_words >= self.exact_below else 100
@@ -200,7 +201,8 @@ def _hits(
 
 def best_stretch(equal: np.ndarray, search: Search, item_words: int) -> tuple[int, int, int]:
     """(start, length, equal words) of the longest stretch of aligned words that is an overlap,
-    or zeros. A stretch starts and ends with an equal word."""
+    or zeros. A stretch starts and ends with an equal word. Where enough words of the whole item
+    are equal, the stretch from the first to the last of them is one, too."""
     need = min(search.overlap_words, item_words)
     p = search.percent(item_words)
     # A stretch has p percent equal words when its sum of (100 if equal else 0) - p is not
@@ -214,6 +216,9 @@ def best_stretch(equal: np.ndarray, search: Search, item_words: int) -> tuple[in
             start += 1
         if end - start >= need and end - start > best[1]:
             best = (start, int(end - start), int(equal[start:end].sum()))
+    same = np.flatnonzero(equal)
+    if not best[1] and len(same) and 100 * len(same) >= p * item_words:
+        best = (int(same[0]), int(same[-1] - same[0] + 1), len(same))
     return best
 
 

@@ -121,3 +121,31 @@ def test_short_runs_and_replaced_words_are_found(spark):
     got = D.overlaps(documents(spark, rows), items(spark, list(text.items()))).collect()
     wanted = [(k + b, item) for k, (_, item) in enumerate(cases) for b in (0, 1000)]
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(wanted)
+
+
+def test_short_runs_and_short_items_with_replaced_words_are_found(spark):
+    def other(text, *places):
+        return " ".join("other" if k in places else w for k, w in enumerate(text.split()))
+
+    lengths = {1: 40, 2: 15, 3: 16, 4: 12, 5: 10, 6: 14, 7: 13}
+    text = {k: prose(60 + k, n) for k, n in lengths.items()}
+    cases = [(other(text[2], place), 2) for place in range(15)]
+    cases += [(" ".join(text[2].split()[1:14]), 2), (other(text[2], 0, 7, 14), 2)]
+    cases += [(other(text[4], place), 4) for place in range(12)]
+    cases += [(other(text[4], 0, 6), 4), (other(text[5], 4, 9), 5), (other(text[6], 0, 13), 6)]
+    cases += [(other(text[7], 0), 7), (" ".join(text[7].split()[:11]), 7)]
+    rows = [(k, f"{prose(200 + k, 20)} {t} {prose(500 + k, 20)}") for k, (t, _) in enumerate(cases)]
+    rows += [(1000 + k, t) for k, (t, _) in enumerate(cases)]
+    # One word more than allowed.
+    rows += [(2000, other(text[5], 1, 4, 7)), (2001, other(text[4], 1, 5, 9))]
+    got = D.overlaps(documents(spark, rows), items(spark, list(text.items()))).collect()
+    wanted = [(k + b, item) for k, (_, item) in enumerate(cases) for b in (0, 1000)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(wanted)
+    whole = next(r for r in got if r.doc_id == 1000 + len(cases) - 2)
+    assert (whole.start_word, whole.n_words, whole.n_equal, whole.item_words) == (1, 12, 12, 13)
+
+
+def test_masks_lose_no_short_item_with_replaced_words():
+    search = D.DEFAULT_SEARCH
+    for n in range(search.min_words, 16):
+        assert D.most_missed(search, n, True) > n * (100 - search.percent(n)) // 100
