@@ -9,8 +9,9 @@ where NC = C - LC, Cb and LCb are those of the body, and a zero divisor counts a
 per tag, cut down where links prevail. The density sum of a node adds up its children's
 densities. The node with the largest sum holds the main text; the least density on the path
 from it to the body is the threshold, and every node that reaches it contributes the subtree of
-the largest sum below it. Where the chosen subtree lies in an ``article`` or ``main`` element,
-that whole element is taken, so that headings and short paragraphs stay.
+the largest sum below it. Where such a subtree lies in an ``article`` or ``main`` element, that
+whole element is taken, so that headings and short paragraphs stay; of ``article`` elements side
+by side all are taken that are not mostly links.
 
 Elements that are not text of the page (scripts, styles, forms) and page furniture (menus,
 headers, footers, sidebars, notices, adverts, reader comments, by element, role, class or id)
@@ -299,7 +300,7 @@ def main_text(source: str | None) -> str:
         density[node] = _density(chars[node], tags[node], links[node], link_tags[node], share)
         if node:
             total[page.parent[node]] += density[node]
-    chosen = _content(page, out, density, total, body)
+    chosen = _content(page, out, chars, links, density, total, body)
     blocks: dict[int, list[str]] = {}
     for node, block, text in decoded:
         if chosen[node]:
@@ -319,7 +320,13 @@ def _density(chars: int, tags: int, links: int, link_tags: int, share: float) ->
 
 
 def _content(
-    page: Page, out: list[bool], density: list[float], total: list[float], body: int
+    page: Page,
+    out: list[bool],
+    chars: list[int],
+    links: list[int],
+    density: list[float],
+    total: list[float],
+    body: int,
 ) -> list[bool]:
     """Which nodes belong to the main text."""
     n = len(page.tag)
@@ -331,29 +338,31 @@ def _content(
     best = max(candidates, key=lambda k: (total[k], -k))
     if total[best] <= 0:
         best = body
-    top = best
-    while top != body and page.tag[top] not in MAIN:
-        top = page.parent[top]
+    threshold, node = density[best], best
+    while node != body:
+        node = page.parent[node]
+        threshold = min(threshold, density[node])
+    # Largest sum at or below each node.
+    peak = list(range(n))
+    for node in range(n - 1, body, -1):
+        if within[node]:
+            up = page.parent[node]
+            if total[peak[node]] > total[peak[up]]:
+                peak[up] = peak[node]
+    # Innermost article or main element around each node.
+    whole = [-1] * n
+    for node in range(body + 1, n):
+        if within[node]:
+            whole[node] = node if page.tag[node] in MAIN else whole[page.parent[node]]
     chosen = [False] * n
-    if top != body or best == body:
-        chosen[top] = True
-    else:
-        threshold, node = density[best], best
-        while node != body:
-            threshold = min(threshold, density[node])
-            node = page.parent[node]
-        threshold = min(threshold, density[body])
-        # Largest sum at or below each node.
-        peak = list(range(n))
-        for node in range(n - 1, body, -1):
-            if within[node]:
-                up = page.parent[node]
-                if total[peak[node]] > total[peak[up]]:
-                    peak[up] = peak[node]
-        for node in candidates:
-            if node != body and density[node] >= threshold:
-                chosen[peak[node]] = True
-        chosen[best] = True
+    peaks = {peak[k] for k in candidates if k != body and chars[k] and density[k] >= threshold}
+    for node in peaks | {best}:
+        chosen[node if whole[node] < 0 else whole[node]] = True
+    # Parts of one story: articles side by side, unless they are mostly links.
+    parts = {page.parent[k] for k in candidates if chosen[k] and page.tag[k] == "article"}
+    for node in candidates:
+        if page.tag[node] == "article" and page.parent[node] in parts:
+            chosen[node] = chosen[node] or 2 * links[node] < chars[node]
     for node in range(body + 1, n):
         chosen[node] = within[node] and (chosen[node] or chosen[page.parent[node]])
     return chosen

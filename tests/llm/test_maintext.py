@@ -46,3 +46,18 @@ def test_frame_keeps_its_rows(spark):
     assert sorted(r.main_text for r in got) == ["", "", "x"]
     assert with_main_text(df.limit(0)).count() == 0
     assert not re.search("<", "".join(r.main_text for r in got))
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<main>{}</main>", "<div><div>{}</div></div>"])
+def test_articles_side_by_side_all_stay(wrap):
+    def paragraph(k):
+        return f"sentence {k} of the story, long enough to count as text of the page. " * 3
+
+    def article(name, numbers):
+        return f"<article><h2>{name}</h2>" + "".join(f"<p>{paragraph(k)}</p>" for k in numbers) + "</article>"
+
+    stories = article("One", range(4)) + article("Two", range(10, 14)) + article("Short", [20])
+    teaser = "<article><a href='/x'>Another story that is told elsewhere</a></article>"
+    page = f"<body><nav><a href='/'>home</a></nav>{wrap.format(stories + teaser)}<footer>f</footer></body>"
+    lines = [x for n, r in (("One", range(4)), ("Two", range(10, 14)), ("Short", [20])) for x in (n, *(paragraph(k).strip() for k in r))]
+    assert main_text(page) == "\n".join(lines)
