@@ -5,7 +5,7 @@ protected entities, each value by itself and each kind as a whole. Other words m
 what a word tells about an entity is the pointwise mutual information of the two, estimated
 from how often they stand together in the corpus. With
 
-* N words in all, n(t) of them the term t,
+* N words outside the mentions in all, n(t) of them the term t,
 * n(e) words within ``window`` words of a mention of the entity e on the same line, and
 * n(t, e) of those the term t,
 
@@ -216,13 +216,16 @@ def _bisect(words: list, start: int) -> int:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per batch, how often each possible candidate occurs; null: all words."""
+    """Per batch, how often each possible candidate occurs outside spans; null: all words."""
     mask = len(bits) * 8 - 1
     for batch in batches:
         counts: Counter = Counter()
         for text in _texts(batch):
-            if text:
-                counts.update(_TERM.findall(text.lower()))
+            spans = base_spans(text)
+            if spans:
+                counts.update(m[0].lower() for m in _outside(_TERM.finditer(text), spans))
+            elif text:
+                counts.update(map(str.lower, _TERM.findall(text)))
         kept = [
             (t, n)
             for t, n in counts.items()

@@ -75,3 +75,11 @@ def test_every_row_has_its_spans(spark):
     for r in rows:
         assert [(s.kind, s.start, s.end) for s in r.found if s.kind in pii.KINDS] == brute(r.text)
     assert pii.with_spans(no_documents(spark), out="found").count() == 0
+
+
+def test_name_inside_the_address_counts_once(spark):
+    texts = [f"{prose(700 + k, 6)} alice alice@mail.example.org {prose(720 + k, 6)}" for k in range(4)]
+    texts += [prose(740 + k, 200) for k in range(10)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = {r.term: r.action for r in pii.disclosing_terms(df).collect()}
+    assert terms["alice"] == "remove"
