@@ -59,7 +59,8 @@ def _of_kind(spans: str, kind: str) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.with_spans(read(spark, sf_dir, "documents"), columns=["doc_id"])
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(documents, columns=["doc_id"])
     listed = F.transform(
         "pii",
         lambda s: F.concat_ws(

@@ -1,7 +1,7 @@
 import random
 import re
 
-from continuity.llm import pii
+from continuity.llm import pii, queries
 from tests.llm.cases import documents, no_documents, prose
 
 PATTERNS = {
@@ -83,3 +83,9 @@ def test_name_inside_the_address_counts_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     terms = {r.term: r.action for r in pii.disclosing_terms(df).collect()}
     assert terms["alice"] == "remove"
+
+
+def test_query_takes_a_table_with_a_column_named_like_its_spans(spark, tmp_path):
+    df = spark.createDataFrame([(1, "call +49 30 1234567 now", "x")], "doc_id int, text string, PII string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.doc_id, r.n_phone) for r in queries.op3_pii(spark, str(tmp_path)).collect()] == [(1, 1)]
