@@ -136,7 +136,8 @@ def test_live_and_exported_inventory(spark, tmp_path):
     live.tables.write.parquet(str(tmp_path / "x" / "tables"))
     exported = read_inventory(spark, str(tmp_path / "x"))
     assert rows(exported.tables) == rows(live.tables)
-    assert exported.grants.count() == 0 and isinstance(exported, Inventory)
+    assert exported.grants is None and isinstance(exported, Inventory)
+    assert exported.complete(spark).grants.count() == 0
 
 
 def test_filters_reach_the_scan(spark, tables, tmp_path):
