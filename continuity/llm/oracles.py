@@ -144,8 +144,34 @@ SELECT pair_id, chosen_id, rejected_id, n_common, prompt, chosen, rejected, chos
 FROM pairs JOIN rendered USING (pair_id)
 """
 
+INFILL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+drawn AS (
+  SELECT doc_id, t, units, len(units) AS n,
+    CAST('0x' || d[1:8] AS BIGINT) % (len(units) + 1) AS a,
+    CAST('0x' || d[9:16] AS BIGINT) % (len(units) + 1) AS b,
+    CAST('0x' || d[17:24] AS BIGINT) % 100 AS plain_draw,
+    CAST('0x' || d[25:32] AS BIGINT) % 100 AS form_draw FROM docs),
+cut AS (
+  SELECT doc_id, t, n,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR plain_draw >= 90 THEN 'plain' WHEN form_draw < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:least(a, b)], '') AS p,
+    array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(units[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": QUALITY,
     "op6_sharding": SHARDING,
     "op10_chat_formatting": CHAT,
+    "op11_fill_in_middle": INFILL,
 }
