@@ -169,9 +169,60 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
   sha256(t) AS restored_sha256
 FROM cut"""
 
+# The digest of a run is worked out byte by byte from the table of the polynomial.
+_CRC_TABLE = """
+WITH RECURSIVE step AS (
+  SELECT b, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) AS r(b)
+  UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+tbl AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8)"""
+
+SPELLING = rf"""{_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM counted),
+digested AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(0, length(x), 2), lambda i: CAST('0x' || x[i + 1:i + 2] AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM bytes, tbl),
+spelt AS (
+  SELECT CASE WHEN h % 199 = 0
+    THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM digested),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6
+  GROUP BY word HAVING sum(n) >= 5),
+gaps AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM gaps),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n
+  FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.less = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.less = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, arg_min(near, (-near_n, near)) AS near
+  FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS at, form AS following FROM forms
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.following)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word AND c.following IS NULL"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": QUALITY,
     "op6_sharding": SHARDING,
     "op10_chat_formatting": CHAT,
     "op11_fill_in_middle": INFILL,
+    "op12_spelling_variants": SPELLING,
 }

@@ -21,6 +21,7 @@ from continuity.llm import (
     quality,
     sharding,
     simhash,
+    spelling,
     tokencounts,
 )
 
@@ -163,6 +164,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -175,4 +180,5 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
 }
