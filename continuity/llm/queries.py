@@ -15,6 +15,7 @@ from continuity.llm import (
     chat,
     chunks,
     decontaminate,
+    goodness,
     infill,
     maintext,
     pii,
@@ -168,6 +169,17 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of one third of the ids, told by a digest, are not learned from."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out)
+    model = goodness.fit(documents, labels)
+    return documents.select(
+        "doc_id", held_out.alias("held_out"), model.score().alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -181,4 +193,5 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_classifier": op13_quality_classifier,
 }
