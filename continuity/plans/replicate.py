@@ -2,7 +2,8 @@
 
 A copy is written to a new version folder, read back and compared with what was read from
 the source, and only then published under the target's name. Readers see the old version
-until then; a copy that fails leaves it in place.
+until then; a copy that fails leaves it in place. A partitioned copy that is asked to skip what
+did not change moves only the partitions that did (``partitions``).
 """
 
 from __future__ import annotations
@@ -14,18 +15,30 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 from continuity.functions.digest import digest, digest_aggregates, normal
 from continuity.functions.names import quote, text_literal
 from continuity.plans.clone import BY_NAME
+from continuity.plans.partitions import (
+    GONE,
+    SAME,
+    add_partitions,
+    compare_parts,
+    rows_of_parts,
+    source_parts,
+    written_parts,
+)
 from continuity.plans.status import SUCCESS, Status, StatusLog, failure, record, run_each
 from continuity.sources.inventory import describe_table
 from continuity.sources.tables import path_partitions, read_named, read_path
-from continuity.workspace import run_id
+from continuity.workspace import run_id, stored
 
-# Table properties of a published copy: the kind of its source, and its source's files.
+# Table properties of a published copy: the kind of its source, its source's files, and where
+# the index of its partitions is.
 KIND = "continuity.kind"
 FILES = "continuity.source_files"
+INDEX = "continuity.partition_index"
 # Formats whose own catalog replaces a table in one step.
 ATOMIC_FORMATS = ("delta", "iceberg")
 # Formats a copy keeps; tables of any other format (text files) are copied to Parquet.
@@ -43,6 +56,17 @@ class TableFacts:
     location: str | None = None
     provider: str | None = None
     files: str | None = None
+    index: str | None = None
+
+
+@dataclass(frozen=True)
+class Copied:
+    """What one copy moved. Counts of partitions are zero for a table without a layout."""
+
+    rows: int = 0
+    written: int = 0
+    kept: int = 0
+    dropped: int = 0
 
 
 def table_facts(spark: SparkSession, identifier: str) -> TableFacts:
@@ -81,26 +105,53 @@ def source_files(df: DataFrame) -> str | None:
     return json.dumps(digest(files.distinct()))
 
 
-def write_version(
-    df: DataFrame, folder: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
-) -> str:
-    """Write ``df`` to a new version folder below ``folder`` and verify it.
+def _write(df: DataFrame, version: str, fmt: str, partition_by: Sequence[str]) -> dict[str, int]:
+    """Write ``df`` to a folder and return the digest of its rows, taken while they are written,
+    so the source is read once.
 
-    The rows are digested while they are written, so the source is read once. There is no
-    shuffle: a partitioned source is scanned in files of one partition value each, so its
-    tasks write few partitions.
+    There is no shuffle: a partitioned source is scanned in files of one partition value each,
+    so its tasks write few partitions.
     """
-    version = f"{folder.rstrip('/')}/v_{run_id()}"
     seen = Observation(f"copy_{run_id()}")
     df.observe(seen, *digest_aggregates(df)).write.format(fmt).partitionBy(*partition_by).save(
         version
     )
-    reader = df.sparkSession.read.format(fmt).schema(df.schema)
-    written = digest(reader.load(version).select(*df.columns))
+    return normal(seen.get)
+
+
+def _written(df: DataFrame, version: str, fmt: str) -> DataFrame:
+    return df.sparkSession.read.format(fmt).schema(df.schema).load(version)
+
+
+def _check(df: DataFrame, version: str, written: dict[str, int], seen: dict[str, int]) -> None:
     # Counters of a task that ran twice may be off; then ask the source itself.
-    if written != normal(seen.get) and written != digest(df):
+    if written != seen and written != digest(df):
         raise RuntimeError(f"copy in {version} differs from its source")
-    return version
+
+
+def write_version(
+    df: DataFrame, folder: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+) -> tuple[str, int]:
+    """Write ``df`` to a new version folder below ``folder`` and verify it. Returns the folder
+    and the number of rows."""
+    version = f"{folder.rstrip('/')}/v_{run_id()}"
+    seen = _write(df, version, fmt, partition_by)
+    written = digest(_written(df, version, fmt).select(*df.columns))
+    _check(df, version, written, seen)
+    return version, written["rows"]
+
+
+def write_partitions(
+    df: DataFrame, folder: str, fmt: str, layout: Sequence[str]
+) -> tuple[str, DataFrame]:
+    """Like ``write_version``, with the rows (part, content, folder) of the partitions written:
+    the copy is read back once, by partition, and their digests add up to that of the whole."""
+    version = f"{folder.rstrip('/')}/v_{run_id()}"
+    seen = _write(df, version, fmt, layout)
+    parts = stored(written_parts(_written(df, version, fmt), layout, df.columns), "partitions")
+    total = parts.select("content.*").agg(*[F.sum(c).alias(c) for c in seen]).first()
+    _check(df, version, normal(total.asDict()), seen)
+    return version, parts
 
 
 def clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
@@ -118,16 +169,22 @@ def _columns_ddl(df: DataFrame) -> str:
 
 
 def publish(
-    spark: SparkSession, df: DataFrame, target: str, version: str, fmt: str, facts: TableFacts
+    spark: SparkSession,
+    df: DataFrame,
+    target: str,
+    version: str,
+    fmt: str,
+    facts: TableFacts,
+    index: DataFrame | None = None,
 ) -> None:
-    """Point ``target`` at a verified version folder.
+    """Point ``target`` at a verified version folder, or at the partitions of an index.
 
     An unpartitioned copy with the same columns is switched in place, in one step. Otherwise
     a complete new entry is made next to the old one and takes its name: partitions of two
     versions are never mixed. Anything else of that name is replaced, except a view.
     """
     if not _table_exists(spark, target):
-        _create(spark, df, target, version, fmt, facts)
+        _create(spark, df, target, version, fmt, facts, index)
         return
     existing = describe_table(spark, target)
     if existing["type"] == "VIEW":
@@ -157,7 +214,7 @@ def publish(
         return
     run = run_id()
     new, old = _beside(target, f"__new_{run}"), _beside(target, f"__old_{run}")
-    _create(spark, df, new, version, fmt, facts)
+    _create(spark, df, new, version, fmt, facts, index)
     spark.sql(f"ALTER TABLE {target} RENAME TO {old}")
     try:
         spark.sql(f"ALTER TABLE {new} RENAME TO {target}")
@@ -167,26 +224,43 @@ def publish(
     spark.sql(f"DROP TABLE {old}")
 
 
-def _up_to_date(spark: SparkSession, df: DataFrame, target: str, fmt: str, facts: TableFacts) -> bool:
-    """Whether ``target`` is a verified copy of exactly these files under these facts."""
-    if facts.files is None or not _table_exists(spark, target):
-        return False
+def _same_table(spark: SparkSession, df: DataFrame, target: str, fmt: str, facts: TableFacts) -> dict | None:
+    """The properties of ``target`` if it is a copy with these columns, format and layout."""
+    if not _table_exists(spark, target):
+        return None
     held = describe_table(spark, target)
     properties = held.get("table_properties") or {}
-    return (
-        properties.get(FILES) == facts.files
-        and properties.get(KIND) == facts.kind
-        and {k: v for k, v in properties.items() if not k.startswith("continuity.")}
-        == dict(facts.properties)
-        and (held.get("comment") or None) == (facts.comment or None)
+    same = (
+        KIND in properties
         and held.get("provider") == fmt
         and tuple(held.get("partition_columns") or ()) == tuple(facts.partition_by)
         and sorted(spark.table(target).dtypes) == sorted(df.dtypes)
     )
+    return {**properties, "comment of the table": held.get("comment")} if same else None
+
+
+def _same_facts(properties: Mapping[str, str], facts: TableFacts) -> bool:
+    own = {k: v for k, v in properties.items() if not k.startswith("continuity.")}
+    comment = own.pop("comment of the table")
+    return (
+        properties[KIND] == facts.kind
+        and own == dict(facts.properties)
+        and (comment or None) == (facts.comment or None)
+    )
+
+
+def _up_to_date(spark: SparkSession, df: DataFrame, target: str, fmt: str, facts: TableFacts) -> bool:
+    """Whether ``target`` is a verified copy of exactly these files under these facts."""
+    if facts.files is None:
+        return False
+    held = _same_table(spark, df, target, fmt, facts)
+    return held is not None and held.get(FILES) == facts.files and _same_facts(held, facts)
 
 
 def _properties(facts: TableFacts) -> str:
     properties = {**facts.properties, KIND: facts.kind, FILES: facts.files or ""}
+    if facts.index:
+        properties[INDEX] = facts.index
     return ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in properties.items())
 
 
@@ -195,7 +269,13 @@ def _beside(target: str, suffix: str) -> str:
 
 
 def _create(
-    spark: SparkSession, df: DataFrame, name: str, version: str, fmt: str, facts: TableFacts
+    spark: SparkSession,
+    df: DataFrame,
+    name: str,
+    version: str,
+    fmt: str,
+    facts: TableFacts,
+    index: DataFrame | None,
 ) -> None:
     layout = ", ".join(quote(c) for c in facts.partition_by)
     spark.sql(
@@ -205,8 +285,8 @@ def _create(
         + (f" COMMENT {text_literal(facts.comment)}" if facts.comment else "")
         + f" TBLPROPERTIES ({_properties(facts)})"
     )
-    if layout:
-        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    if index is not None:
+        add_partitions(spark, name, index, facts.partition_by)
 
 
 def _within(inner: str | None, outer: str | None) -> bool:
@@ -225,11 +305,12 @@ def replicate(
     fmt: str = "parquet",
     same_layout: bool = True,
     skip_unchanged: bool = False,
-) -> None:
+) -> Copied:
     """Copy ``df`` to the table ``target``, its files below ``folder``.
 
     With ``skip_unchanged`` a copy made from the very same source files is left as it is, so
-    a repeated run moves only tables that changed.
+    a repeated run moves only tables that changed, and of a partitioned table only the
+    partitions that did.
     """
     if fmt in ATOMIC_FORMATS:
         writer = df.writeTo(target).using(fmt).option("path", folder)
@@ -241,21 +322,73 @@ def replicate(
         if facts.partition_by:
             writer = writer.partitionedBy(*[df[c] for c in facts.partition_by])
         writer.createOrReplace()
-        return
+        return Copied()
     if _within(folder, facts.location):
         raise RuntimeError(f"target folder {folder} lies inside the source {facts.location}")
     if _table_exists(spark, target) and facts.location:
         current = describe_table(spark, target).get("location")
         if _within(facts.location, current):
             raise RuntimeError(f"{target} holds the files of its own source")
+    rows = df if same_layout else clustered(df, facts.partition_by)
+    if facts.partition_by:
+        return _replicate_partitions(spark, df, rows, target, folder, facts, fmt, skip_unchanged)
     if skip_unchanged:
         # Taken before the rows are read: a change in between shows in the next run.
         facts = replace(facts, files=source_files(df))
         if _up_to_date(spark, df, target, fmt, facts):
-            return
-    rows = df if same_layout else clustered(df, facts.partition_by)
-    version = write_version(rows, folder, fmt, facts.partition_by)
+            return Copied()
+    version, n_rows = write_version(rows, folder, fmt)
     publish(spark, df, target, version, fmt, facts)
+    return Copied(rows=n_rows)
+
+
+def _replicate_partitions(
+    spark: SparkSession,
+    df: DataFrame,
+    rows: DataFrame,
+    target: str,
+    folder: str,
+    facts: TableFacts,
+    fmt: str,
+    skip_unchanged: bool,
+) -> Copied:
+    """Copy a partitioned table: all of it, or the partitions that differ from the last copy."""
+    layout, folder = facts.partition_by, folder.rstrip("/")
+    held = _same_table(spark, df, target, fmt, facts) if skip_unchanged else None
+    # Taken before the rows are read: a change in between shows in the next run.
+    now = source_parts(df, layout) if skip_unchanged else None
+    now = None if now is None else stored(now, "partitions")
+    known = None
+    if held and held.get(INDEX) and now is not None:
+        known = spark.read.parquet(held[INDEX])
+        states = stored(compare_parts(known, now), "partitions")
+        count = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
+        kept, dropped = count.get(SAME, 0), count.get(GONE, 0)
+        moving = sum(count.values()) - kept - dropped
+        if not moving and not dropped and _same_facts(held, facts):
+            return Copied(kept=kept)
+        rows = rows_of_parts(rows, layout, states.filter(~F.col("state").isin(SAME, GONE)))
+    version, written = write_partitions(rows, folder, fmt, layout)
+    index = f"{folder}/index/v_{run_id()}"
+    if now is None:
+        entries = written.withColumn("source", F.lit(None).cast("string"))
+    else:
+        entries = written.join(now, "part", "left")
+    columns = ["part", "source", "content", "folder"]
+    entries = entries.select(*columns)
+    if known is not None:
+        same = states.filter(F.col("state") == SAME).select("part")
+        entries = entries.unionByName(known.join(same, "part", "left_semi").select(*columns))
+    entries.write.parquet(index)
+    held_now = spark.read.parquet(index)
+    publish(spark, df, target, version, fmt, replace(facts, index=index), held_now)
+    total = written.agg(F.sum("content.rows"), F.count(F.lit(1))).first()
+    return Copied(
+        rows=total[0] or 0,
+        written=total[1],
+        kept=kept if known is not None else 0,
+        dropped=dropped if known is not None else 0,
+    )
 
 
 def replicate_named(
@@ -265,11 +398,11 @@ def replicate_named(
     folder: str,
     fmt: str | None = None,
     skip_unchanged: bool = False,
-) -> None:
+) -> Copied:
     """Full copy of a table by name: rows, columns, partitioning, comment and properties."""
     df, facts = read_named(spark, source), table_facts(spark, source)
     fmt = copy_format(fmt, facts.provider)
-    replicate(spark, df, target, folder, facts, fmt, skip_unchanged=skip_unchanged)
+    return replicate(spark, df, target, folder, facts, fmt, skip_unchanged=skip_unchanged)
 
 
 def replicate_path(
@@ -280,13 +413,13 @@ def replicate_path(
     source_fmt: str = "parquet",
     fmt: str | None = None,
     skip_unchanged: bool = False,
-) -> None:
+) -> Copied:
     """Full copy of the table stored at a path, partitioning included, to a target path."""
     df = read_path(spark, source_location, source_fmt)
     layout = path_partitions(df, source_location)
     facts = TableFacts(partition_by=layout, location=source_location)
     fmt = copy_format(fmt, source_fmt)
-    replicate(spark, df, target, target_location, facts, fmt, skip_unchanged=skip_unchanged)
+    return replicate(spark, df, target, target_location, facts, fmt, skip_unchanged=skip_unchanged)
 
 
 def run_clone_plan(

@@ -154,6 +154,16 @@ tgt_vol AS (
     concat('o_', CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 1 ELSE s_nationkey END) AS owner
   FROM supplier WHERE s_suppkey % 3 <> 0)"""
 
+CHANGED_ORDERS = """before_change AS (
+  SELECT *, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders),
+after_change AS (
+  SELECT * REPLACE (CASE WHEN o_year = 1997 AND o_orderstatus = 'F' THEN o_totalprice + 1
+    ELSE o_totalprice END AS o_totalprice)
+  FROM before_change WHERE NOT (o_year = 1995 AND o_orderstatus = 'P')
+  UNION ALL
+  SELECT * REPLACE (-o_orderkey AS o_orderkey, 2030 AS o_year)
+  FROM before_change WHERE o_year = 1996 AND o_orderstatus = 'O')"""
+
 EFFECTIVE = f"""{TABLES}, {CATALOGS}, {GRANTS},
 cat_grants AS (SELECT catalog, 'admin' AS principal, 'ALL' AS privilege FROM cats),
 sch_grants AS (

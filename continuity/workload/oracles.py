@@ -225,6 +225,21 @@ ORACLES: dict[str, str] = {
     "effective_grants": f"WITH {Q.EFFECTIVE} SELECT * FROM effective",
     "replicate_table": "SELECT * FROM orders",
     "replicate_partitioned": "SELECT * FROM orders",
+    "replicate_changed": f"WITH {Q.CHANGED_ORDERS} SELECT * FROM after_change",
+    "replicate_changed_work": f"""WITH {Q.CHANGED_ORDERS},
+        parts AS (
+          SELECT coalesce(b.o_year, a.o_year) AS y, coalesce(b.o_orderstatus, a.o_orderstatus) AS s,
+            any_value(b.o_year) IS NOT NULL AS was, any_value(a.o_year) IS NOT NULL AS stays
+          FROM (SELECT DISTINCT o_year, o_orderstatus FROM before_change) b
+          FULL JOIN (SELECT DISTINCT o_year, o_orderstatus FROM after_change) a
+            ON a.o_year = b.o_year AND a.o_orderstatus = b.o_orderstatus GROUP BY ALL),
+        moved AS (SELECT * FROM parts WHERE stays AND (NOT was OR (y = 1997 AND s = 'F')))
+        SELECT 1 AS run, (SELECT count(*) FROM before_change) AS n_rows,
+          (SELECT count(*) FROM parts WHERE was) AS n_written, 0 AS n_kept, 0 AS n_dropped
+        UNION ALL SELECT 2, (SELECT count(*) FROM after_change JOIN moved ON o_year = y AND o_orderstatus = s),
+          (SELECT count(*) FROM moved), (SELECT count(*) FROM parts WHERE was AND stays) -
+            (SELECT count(*) FROM moved WHERE was), (SELECT count(*) FROM parts WHERE NOT stays)
+        UNION ALL SELECT 3, 0, 0, (SELECT count(*) FROM parts WHERE stays), 0""",
     "replicate_external": "SELECT * FROM lineitem",
     "replicate_view": """SELECT o_orderpriority, count(*) AS n_orders,
         max(o_totalprice) AS top_price, TRUE AS same FROM orders GROUP BY o_orderpriority""",

@@ -538,6 +538,52 @@ def replicate_partitioned(spark, sf_dir):
     return spark.table(target).select(*orders.columns)
 
 
+def _changing_orders(spark, sf_dir):
+    """Three copies of the orders by year and status. Between the first and the second, one
+    partition changes, one goes and one comes; nothing happens before the third."""
+    source = quote(run_database(spark, "source"), "orders")
+    target = quote(run_database(spark, "target"), "orders")
+    folder = run_folder(spark, "orders")
+    orders = load(spark, sf_dir, "orders").withColumn("o_year", F.year("o_orderdate"))
+    orders.write.partitionBy("o_year", "o_orderstatus").saveAsTable(source)
+
+    def copy():
+        return replicate_named(spark, source, target, folder, skip_unchanged=True)
+
+    copies = [copy()]
+    for gone in ("1997", "1995"):
+        status = "F" if gone == "1997" else "P"
+        spark.sql(f"ALTER TABLE {source} DROP PARTITION (o_year = {gone}, o_orderstatus = '{status}')")
+    raised = orders.filter("o_year = 1997 AND o_orderstatus = 'F'").withColumn(
+        "o_totalprice", F.col("o_totalprice") + 1
+    )
+    moved = orders.filter("o_year = 1996 AND o_orderstatus = 'O'").withColumns(
+        {"o_orderkey": -F.col("o_orderkey"), "o_year": F.lit(2030)}
+    )
+    columns = spark.table(source).columns
+    for added in (raised, moved):
+        added.select(columns).write.mode("append").insertInto(source)
+    copies += [copy(), copy()]
+    return target, copies
+
+
+@query
+def replicate_changed(spark, sf_dir):
+    """What a copy by changed partitions holds after its source changed."""
+    target, _ = _changing_orders(spark, sf_dir)
+    return spark.table(target)
+
+
+@query
+def replicate_changed_work(spark, sf_dir):
+    """Rows and partitions that each of the three copies moved, kept and dropped."""
+    _, copies = _changing_orders(spark, sf_dir)
+    rows = [(run, c.rows, c.written, c.kept, c.dropped) for run, c in enumerate(copies, start=1)]
+    return spark.createDataFrame(
+        rows, "run bigint, n_rows bigint, n_written bigint, n_kept bigint, n_dropped bigint"
+    )
+
+
 @query
 def replicate_external(spark, sf_dir):
     """Full copy of a table by path to a path of the target."""

@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import datetime
+
+import pytest
+
+from continuity.functions import same_digest
+from continuity.plans import partitions as P
+from continuity.plans import replicate as R
+from continuity.sources.inventory import describe_table
+from continuity.workspace import run_database, run_folder
+from tests.helpers import rows
+
+
+@pytest.fixture
+def place(spark):
+    return run_database(spark, "source"), run_database(spark, "target"), run_folder(spark, "copies")
+
+
+def overwrite(df, table):
+    """Replace the partitions that ``df`` has rows for."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.select(spark.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def located(spark, table):
+    """Where the catalog says each partition is."""
+    found = {}
+    for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        spec = ", ".join("{} = {}".format(k, "NULL" if v.startswith("__HIVE") else f"'{v}'") for k, v in
+                         (p.split("=", 1) for p in row.partition.split("/")))
+        facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table} PARTITION ({spec})").collect()
+        found[row.partition] = next(r.data_type for r in facts if r.col_name == "Location")
+    return found
+
+
+def test_only_changed_partitions_are_written(spark, place):
+    source_db, target_db, folder = place
+    source, target = f"{source_db}.t", f"{target_db}.t"
+    spark.range(48).selectExpr(
+        "id",
+        "concat('s', id) as s",
+        "date'2024-01-01' + cast(id % 4 as int) as day",
+        "cast(if(id % 3 = 0, null, id % 3) as int) as k",
+    ).write.partitionBy("day", "k").saveAsTable(source)
+
+    def copy():
+        made = R.replicate_named(spark, source, target, folder, skip_unchanged=True)
+        assert same_digest(spark.table(source), spark.table(target))
+        return made
+
+    assert copy() == R.Copied(rows=48, written=12)
+    first = located(spark, target)
+    version = describe_table(spark, target)["location"]
+    assert copy() == R.Copied(kept=12)
+    assert describe_table(spark, target)["location"] == version
+
+    # One partition changes, one goes, one comes; the one without a value changes too.
+    day = datetime.date(2024, 1, 2)
+    table = spark.table(source)
+    changed = spark.createDataFrame(
+        [(100, "x", day, 1), (101, "y", day, None), (102, "z", datetime.date(2030, 1, 1), 1)], table.schema
+    )
+    overwrite(changed, source)
+    spark.sql(f"ALTER TABLE {source} DROP PARTITION (day = '2024-01-04', k = 2)")
+    assert copy() == R.Copied(rows=3, written=3, kept=9, dropped=1)
+    second = located(spark, target)
+    moved = {p for p in second if second[p] != first.get(p)}
+    assert moved == {"day=2024-01-02/k=1", "day=2024-01-02/k=__HIVE_DEFAULT_PARTITION__", "day=2030-01-01/k=1"}
+    assert set(first) - set(second) == {"day=2024-01-04/k=2"}
+    assert copy() == R.Copied(kept=12)
+
+    # Only a partition goes: nothing is written, and it is gone from the copy.
+    spark.sql(f"ALTER TABLE {source} DROP PARTITION (day = '2030-01-01', k = 1)")
+    assert copy() == R.Copied(kept=11, dropped=1)
+
+    # Another property of the table: the same partitions under a new entry.
+    spark.sql(f"ALTER TABLE {source} SET TBLPROPERTIES ('a' = 'b')")
+    assert copy() == R.Copied(kept=11)
+    assert describe_table(spark, target)["table_properties"]["a"] == "b"
+    assert copy() == R.Copied(kept=11)
+
+    # Other columns, or a run that is to copy everything: all of it again.
+    spark.sql(f"ALTER TABLE {source} ADD COLUMNS (extra int)")
+    assert copy().written == 11
+    assert R.replicate_named(spark, source, target, folder) == R.Copied(rows=38, written=11)
+    # The last index names no source files, so nothing is known to be the same.
+    assert copy() == R.Copied(rows=38, written=11)
+    assert copy() == R.Copied(kept=11)
+
+
+VALUES = ["plain", "a b", "a/b", "a=b", "50%", "x%20y", "ü漢", "q'uote", "1+1", "c:d", None]
+
+
+@pytest.mark.parametrize("named", [P.NAMED, 0], ids=["by name", "by join"])
+def test_values_that_folders_cannot_hold(spark, place, monkeypatch, named):
+    monkeypatch.setattr(P.rows_of_parts, "__defaults__", (named,))
+    source_db, target_db, folder = place
+    source, target = f"{source_db}.t", f"{target_db}.t"
+    made = spark.createDataFrame([(k, v) for k, v in enumerate(VALUES)], "id int, `p q` string")
+    made.write.partitionBy("p q").saveAsTable(source)
+    assert R.replicate_named(spark, source, target, folder, skip_unchanged=True).written == len(VALUES)
+    assert rows(spark.table(target)) == rows(spark.table(source))
+    for some in (VALUES[:5], VALUES[5:]):
+        overwrite(spark.createDataFrame([(99, v) for v in some], "id int, `p q` string"), source)
+        done = R.replicate_named(spark, source, target, folder, skip_unchanged=True)
+        assert done == R.Copied(rows=len(some), written=len(some), kept=len(VALUES) - len(some))
+    assert rows(spark.table(target)) == {(99, v): 1 for v in VALUES}
+
+
+def test_by_path_and_many_partitions_in_one_statement(spark, place, monkeypatch):
+    monkeypatch.setattr(P.add_partitions, "__defaults__", (7,))
+    _, target_db, folder = place
+    path, target = f"{folder}/in", f"{target_db}.t"
+    spark.range(40).selectExpr("id", "lpad(id % 20, 3, '0') as p").write.partitionBy("p").parquet(path)
+
+    def copy():
+        return R.replicate_path(spark, path, target, f"{folder}/out", skip_unchanged=True)
+
+    assert copy() == R.Copied(rows=40, written=20)
+    spark.range(3).selectExpr("id + 100 as id", "'007' as p").write.mode("append").partitionBy("p").parquet(path)
+    assert copy() == R.Copied(rows=5, written=1, kept=19)
+    assert spark.table(target).filter("p = '007'").count() == 5 and spark.table(target).count() == 43
+
+
+def test_a_changed_partition_is_read_alone(spark, place):
+    source_db, _, _ = place
+    source = f"{source_db}.t"
+    spark.range(40).selectExpr("id", "id % 20 as p", "id % 2 as q").write.partitionBy("p", "q").saveAsTable(source)
+    df = spark.table(source)
+    wanted = P.source_parts(df, ("p", "q")).filter("part.p in (3, 4)").select("part")
+    some = P.rows_of_parts(df, ("p", "q"), wanted)
+    assert {r.p for r in some.collect()} == {3, 4}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "PartitionFilters: []" not in scan
+
+
+def test_compared_parts(spark):
+    held = spark.createDataFrame([((1,), "a"), ((2,), "b"), ((3,), None), ((None,), "n")], "part struct<p:int>, source string")
+    now = spark.createDataFrame([((1,), "a"), ((2,), "c"), ((3,), "d"), ((5,), "e")], "part struct<p:int>, source string")
+    got = {r.part.p: (r.source, r.state) for r in P.compare_parts(held, now).collect()}
+    assert got == {
+        1: ("a", "same"), 2: ("c", "changed"), 3: ("d", "changed"), None: (None, "gone"), 5: ("e", "new"),
+    }
