@@ -241,6 +241,14 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM moved WHERE was), (SELECT count(*) FROM parts WHERE NOT stays)
         UNION ALL SELECT 3, 0, 0, (SELECT count(*) FROM parts WHERE stays), 0""",
     "replicate_external": "SELECT * FROM lineitem",
+    "locate_differences": """WITH spoilt AS (
+          SELECT * REPLACE (CASE WHEN o_orderkey % 97 = 5 THEN o_totalprice + 1 ELSE o_totalprice END
+            AS o_totalprice) FROM orders WHERE o_orderkey % 101 <> 7
+          UNION ALL SELECT * FROM orders WHERE o_orderkey % 103 = 3),
+        counted AS (
+          SELECT *, 1 AS l, 0 AS r FROM orders UNION ALL SELECT *, 0, 1 FROM spoilt)
+        SELECT * EXCLUDE (l, r), CAST(sum(l) AS BIGINT) AS n_left, CAST(sum(r) AS BIGINT) AS n_right
+        FROM counted GROUP BY ALL HAVING sum(l) <> sum(r)""",
     "replicate_view": """SELECT o_orderpriority, count(*) AS n_orders,
         max(o_totalprice) AS top_price, TRUE AS same FROM orders GROUP BY o_orderpriority""",
     "sync_status": _SYNC_STATUS,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from continuity.functions import audit_columns, delay_type, qualified_name, quote
 from continuity.operators import grants as G
 from continuity.operators import listing as L
+from continuity.operators.difference import differing_rows
 from continuity.operators.locations import remap_locations
 from continuity.operators.sampling import first_rows, top_n
 from continuity.operators.volumes import registry_after, volume_upsert
@@ -30,7 +31,7 @@ from continuity.sinks import append
 from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
 from continuity.workload import inputs as I
 from continuity.workload.inputs import load
-from continuity.workspace import run_database, run_folder, run_id
+from continuity.workspace import run_database, run_folder, run_id, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,6 +594,17 @@ def replicate_external(spark, sf_dir):
     return spark.table(target)
 
 
+@query
+def locate_differences(spark, sf_dir):
+    """The rows in which a copy of the orders differs: some changed, some lost, some doubled."""
+    orders = load(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    price = F.when(key % 97 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = orders.filter(key % 101 != 7).withColumn("o_totalprice", price)
+    copy = stored(kept.unionByName(orders.filter(key % 103 == 3)), "spoilt_copy")
+    return differing_rows(orders, copy)
+
+
 @query
 def replicate_view(spark, sf_dir):
     """A view over a table and its replica over the table's copy, with a check of both."""
