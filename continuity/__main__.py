@@ -38,6 +38,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     sync.add_argument("--direct-grants", action="store_true")
     sync.add_argument("--skip-unchanged", action="store_true")
     sync.add_argument("--fail-fast", action="store_true")
+    sync.add_argument("--journal", help="folder of this run's journal; start again with it to go on")
     return parser.parse_args(argv)
 
 
@@ -61,6 +62,7 @@ def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
         effective=not args.direct_grants,
         skip_unchanged=args.skip_unchanged,
         fail_fast=args.fail_fast,
+        journal=args.journal,
     )
     result = run_sync(
         spark,

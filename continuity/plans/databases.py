@@ -21,7 +21,8 @@ def create_schemas(
 
     Existing schemas are not touched and none is dropped.
     """
-    for row in missing.toLocalIterator():
+    for row in log.remaining(missing, "schema", None).toLocalIterator():
+        log.begin(record(row.catalog, row.schema, None, "schema", None))
         try:
             statement = f"CREATE DATABASE IF NOT EXISTS {quote(database_of(row.catalog, row.schema))}"
             if row.comment:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from continuity.functions.digest import digest, digest_aggregates, normal
 from continuity.functions.names import quote, text_literal
-from continuity.plans.clone import BY_NAME
+from continuity.plans.clone import BY_NAME, BY_PATH
 from continuity.plans.partitions import (
     GONE,
     SAME,
@@ -35,10 +35,11 @@ from continuity.sources.tables import path_partitions, read_named, read_path
 from continuity.workspace import run_id, stored
 
 # Table properties of a published copy: the kind of its source, its source's files, and where
-# the index of its partitions is.
+# the index of its partitions is, and the journaled run that made it.
 KIND = "continuity.kind"
 FILES = "continuity.source_files"
 INDEX = "continuity.partition_index"
+RUN = "continuity.run"
 # Formats whose own catalog replaces a table in one step.
 ATOMIC_FORMATS = ("delta", "iceberg")
 # Formats a copy keeps; tables of any other format (text files) are copied to Parquet.
@@ -57,6 +58,7 @@ class TableFacts:
     provider: str | None = None
     files: str | None = None
     index: str | None = None
+    run: str | None = None
 
 
 @dataclass(frozen=True)
@@ -259,8 +261,9 @@ def _up_to_date(spark: SparkSession, df: DataFrame, target: str, fmt: str, facts
 
 def _properties(facts: TableFacts) -> str:
     properties = {**facts.properties, KIND: facts.kind, FILES: facts.files or ""}
-    if facts.index:
-        properties[INDEX] = facts.index
+    for name, value in ((INDEX, facts.index), (RUN, facts.run)):
+        if value:
+            properties[name] = value
     return ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in properties.items())
 
 
@@ -315,6 +318,8 @@ def replicate(
     if fmt in ATOMIC_FORMATS:
         writer = df.writeTo(target).using(fmt).option("path", folder)
         properties = {**facts.properties, KIND: facts.kind}
+        if facts.run:
+            properties[RUN] = facts.run
         if facts.comment:
             properties["comment"] = facts.comment
         for key, value in properties.items():
@@ -398,9 +403,12 @@ def replicate_named(
     folder: str,
     fmt: str | None = None,
     skip_unchanged: bool = False,
+    run: str | None = None,
 ) -> Copied:
-    """Full copy of a table by name: rows, columns, partitioning, comment and properties."""
-    df, facts = read_named(spark, source), table_facts(spark, source)
+    """Full copy of a table by name: rows, columns, partitioning, comment and properties.
+
+    ``run``: the name of a journaled run, kept with the copy."""
+    df, facts = read_named(spark, source), replace(table_facts(spark, source), run=run)
     fmt = copy_format(fmt, facts.provider)
     return replicate(spark, df, target, folder, facts, fmt, skip_unchanged=skip_unchanged)
 
@@ -413,15 +421,23 @@ def replicate_path(
     source_fmt: str = "parquet",
     fmt: str | None = None,
     skip_unchanged: bool = False,
+    run: str | None = None,
 ) -> Copied:
     """Full copy of the table stored at a path, partitioning included, to a target path."""
     df = read_path(spark, source_location, source_fmt)
     layout = path_partitions(df, source_location)
-    facts = TableFacts(partition_by=layout, location=source_location)
+    facts = TableFacts(partition_by=layout, location=source_location, run=run)
     fmt = copy_format(fmt, source_fmt)
     return replicate(spark, df, target, target_location, facts, fmt, skip_unchanged=skip_unchanged)
 
 
+def _made_in(spark: SparkSession, target: str, run: str) -> bool:
+    """Whether ``target`` was published by this run, whatever its journal says."""
+    if not _table_exists(spark, target):
+        return False
+    return (describe_table(spark, target).get("table_properties") or {}).get(RUN) == run
+
+
 def run_clone_plan(
     spark: SparkSession,
     plan: DataFrame,
@@ -442,14 +458,23 @@ def run_clone_plan(
 
     def copy(row: Row) -> Status:
         # Jobs within one pool queue up, so each thread has a pool of its own.
-        pool = threading.current_thread().name
+        pool, kind = threading.current_thread().name, f"table_by_{row.kind}"
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         try:
+            log.begin(record(row.catalog, row.schema, row.table, kind, None))
             if row.problem:
                 raise RuntimeError(row.problem)
-            if row.kind == BY_NAME:
+            if log.run and _made_in(spark, target_of(row), log.run):
+                pass
+            elif row.kind == BY_NAME:
                 replicate_named(
-                    spark, source_of(row), target_of(row), folder_of(row), fmt, skip_unchanged
+                    spark,
+                    source_of(row),
+                    target_of(row),
+                    folder_of(row),
+                    fmt,
+                    skip_unchanged,
+                    log.run,
                 )
             else:
                 replicate_path(
@@ -460,13 +485,16 @@ def run_clone_plan(
                     row.format or "parquet",
                     fmt,
                     skip_unchanged,
+                    log.run,
                 )
             status = SUCCESS
         except Exception as error:
             if fail_fast:
                 raise
             status = failure(error)
-        return record(row.catalog, row.schema, row.table, f"table_by_{row.kind}", status)
+        return record(row.catalog, row.schema, row.table, kind, status)
 
-    for status in run_each(copy, plan.toLocalIterator(prefetchPartitions=True), workers):
-        log.add(status)
+    for by in (BY_NAME, BY_PATH):
+        waiting = log.remaining(plan.filter(F.col("kind") == by), f"table_by_{by}", "table")
+        for status in run_each(copy, waiting.toLocalIterator(prefetchPartitions=True), workers):
+            log.add(status)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from continuity.schemas import STATUS_DDL
-from continuity.workspace import run_folder
+from continuity.sources.inventory import Inventory
+from continuity.workspace import run_folder, stored
 
 SUCCESS = "SUCCESS"
 
@@ -54,7 +55,25 @@ class StatusLog:
         if len(self._waiting) >= self._batch:
             self._flush()
 
-    def add_frame(self, statuses: DataFrame) -> None:
+    # A log of one start only: nothing was done before, and nothing is marked. See ``Journal``.
+    run: str | None = None
+
+    def begin(self, status: Status) -> None:
+        """Mark an object as begun."""
+
+    def remaining(self, plan: DataFrame, kind: str, name: str | None) -> DataFrame:
+        """The rows of a plan whose objects (``name``: their column) were not finished before."""
+        return plan
+
+    def once(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, worked out once for this run."""
+        return stored(df, name)
+
+    def inventory(self, side: str, listed: Inventory) -> Inventory:
+        """The inventory of a side this run goes by."""
+        return listed
+
+    def add_frame(self, statuses: DataFrame, name: str) -> None:
         """Statuses worked out in Spark; they never pass through the driver."""
         columns = [field.split()[0] for field in STATUS_DDL.split(",")]
         statuses.select(*columns).write.mode("append").parquet(self._folder)

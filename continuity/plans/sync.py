@@ -19,8 +19,9 @@ from continuity.operators.grants import (
 from continuity.operators.joins import keyed_join
 from continuity.operators.listing import copy_candidates, missing_schemas, securables
 from continuity.operators.volumes import registry_after, volume_upsert
-from continuity.plans.clone import BY_NAME, BY_PATH, clone_by_name, clone_by_path, duplicate_targets
+from continuity.plans.clone import clone_by_name, clone_by_path, duplicate_targets
 from continuity.plans.databases import create_schemas
+from continuity.plans.journal import Journal
 from continuity.plans.replicate import run_clone_plan
 from continuity.plans.status import StatusLog, record, stamped
 from continuity.plans.views import create_views, view_plan
@@ -51,6 +52,8 @@ class SyncOptions:
     workers: int = 8
     fail_fast: bool = False
     skip_unchanged: bool = False
+    # Folder of the run's journal. A run started again with it goes on where it was stopped.
+    journal: str | None = None
 
 
 @dataclass(frozen=True)
@@ -64,21 +67,33 @@ class SyncResult:
 def run_sync(
     spark: SparkSession, source: Inventory, target: Inventory, options: SyncOptions
 ) -> SyncResult:
+    log = Journal(spark, options.journal) if options.journal else StatusLog(spark)
+    return run_logged(spark, source, target, options, log)
+
+
+def run_logged(
+    spark: SparkSession,
+    source: Inventory,
+    target: Inventory,
+    options: SyncOptions,
+    log: StatusLog,
+) -> SyncResult:
+    """The run, with a log of the caller's."""
+    source, target = log.inventory("source", source), log.inventory("target", target)
     grants_known = source.grants is not None and target.grants is not None
     source, target = source.complete(spark), target.complete(spark)
     folder = options.folder.rstrip("/")
-    log = StatusLog(spark)
 
     def candidates(types: Sequence[str]) -> DataFrame:
         return copy_candidates(
             source.tables, source.catalogs, types, options.catalog_types, options.formats
         )
 
-    plans = stored(
+    plans = log.once(
+        "plan",
         clone_by_name(candidates(options.named_types), options.source_suffix).unionByName(
             clone_by_path(candidates(options.path_types), source.locations, target.locations)
         ),
-        "plan",
     )
     views = view_plan(source.tables)
     repeated = duplicate_targets(plans).take(3)
@@ -95,19 +110,18 @@ def run_sync(
         lambda row: f"{folder}/schemas/{row.catalog}/{row.schema}",
     )
 
-    for kind in (BY_NAME, BY_PATH):
-        run_clone_plan(
-            spark,
-            plans.filter(F.col("kind") == kind),
-            log,
-            source_of=lambda r: quote(options.source_database(r.catalog, r.schema), r.table),
-            target_of=lambda r: quote(options.target_database(r.catalog, r.schema), r.table),
-            folder_of=lambda r: f"{folder}/tables/{r.catalog}/{r.schema}/{r.table}",
-            fmt=options.fmt,
-            workers=options.workers,
-            fail_fast=options.fail_fast,
-            skip_unchanged=options.skip_unchanged,
-        )
+    run_clone_plan(
+        spark,
+        plans,
+        log,
+        source_of=lambda r: quote(options.source_database(r.catalog, r.schema), r.table),
+        target_of=lambda r: quote(options.target_database(r.catalog, r.schema), r.table),
+        folder_of=lambda r: f"{folder}/tables/{r.catalog}/{r.schema}/{r.table}",
+        fmt=options.fmt,
+        workers=options.workers,
+        fail_fast=options.fail_fast,
+        skip_unchanged=options.skip_unchanged,
+    )
 
     made = log.frame().filter(~F.col("status").startswith("FAIL"))
     schemas_now = target.schemas.select("catalog", "schema").unionByName(
@@ -119,7 +133,8 @@ def run_sync(
             upserted.select(
                 "catalog", "schema", F.col("name").alias("table"), F.lit("volume").alias("kind"), "status"
             )
-        )
+        ),
+        "volumes",
     )
 
     create_views(
@@ -168,7 +183,8 @@ def run_sync(
                 F.concat(F.lit("grants_"), F.lower("securable_type")).alias("kind"),
                 "status",
             )
-        )
+        ),
+        "grants",
     )
     return SyncResult(
         status=log.frame(),

@@ -241,6 +241,14 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM moved WHERE was), (SELECT count(*) FROM parts WHERE NOT stays)
         UNION ALL SELECT 3, 0, 0, (SELECT count(*) FROM parts WHERE stays), 0""",
     "replicate_external": "SELECT * FROM lineitem",
+    "view_order": """WITH v AS (
+          SELECT s_suppkey AS k, (s_suppkey - 1) % 5 AS p, (s_suppkey - 1) // 5 AS g FROM supplier),
+        looped AS (
+          SELECT *, g % 4 = 3 AND 5 * g + 3 IN (SELECT k FROM v) AS looped FROM v)
+        SELECT concat('v_', k) AS "view", CASE WHEN NOT looped THEN p END AS level,
+          CASE WHEN looped AND p < 3 THEN 'views that depend on each other'
+               WHEN looped THEN 'reads views that depend on each other' END AS problem
+        FROM looped""",
     "locate_differences": """WITH spoilt AS (
           SELECT * REPLACE (CASE WHEN o_orderkey % 97 = 5 THEN o_totalprice + 1 ELSE o_totalprice END
             AS o_totalprice) FROM orders WHERE o_orderkey % 101 <> 7
@@ -253,4 +261,8 @@ ORACLES: dict[str, str] = {
         max(o_totalprice) AS top_price, TRUE AS same FROM orders GROUP BY o_orderpriority""",
     "sync_status": _SYNC_STATUS,
     "sync_run": _sync_run(),
+    "sync_resumed": _sync_run()
+    + " ".join(
+        f" UNION ALL SELECT 'written', '{t}', 'held', count(*) FROM {t}" for t in _TABLES
+    ),
 }

@@ -22,10 +22,11 @@ from continuity.operators.volumes import registry_after, volume_upsert
 from continuity.plans.clone import clone_by_name, clone_by_path
 from continuity.plans.databases import create_schemas
 from continuity.plans.ingest import ingest_flights, ingest_flights_stream
+from continuity.plans.journal import Journal
 from continuity.plans.replicate import replicate_named, replicate_path, run_clone_plan
 from continuity.plans.status import StatusLog, outcome
-from continuity.plans.sync import SyncOptions, run_sync
-from continuity.plans.views import create_view, same_view, view_plan
+from continuity.plans.sync import SyncOptions, run_logged, run_sync
+from continuity.plans.views import create_view, same_view, view_edges, view_levels, view_plan
 from continuity.schemas import flight_schema
 from continuity.sinks import append
 from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
@@ -605,6 +606,27 @@ def locate_differences(spark, sf_dir):
     return differing_rows(orders, copy)
 
 
+@query
+def view_order(spark, sf_dir):
+    """Levels of views that read each other in chains of five, one per supplier; in every fourth
+    chain the first reads the third, if there is one."""
+    key, place = F.col("s_suppkey"), (F.col("s_suppkey") - 1) % 5
+    chain = F.floor((key - 1) / 5)
+    read = F.when(place > 0, key - 1).when(chain % 4 == 3, key + 2)
+    views = load(spark, sf_dir, "supplier").select(
+        F.lit("main").alias("catalog"),
+        F.lit("s").alias("schema"),
+        F.concat(F.lit("v_"), key).alias("view"),
+        F.when(read.isNull(), "SELECT * FROM base")
+        .otherwise(F.concat(F.lit("SELECT * FROM s.v_"), read.cast("string"), F.lit(" WHERE k > 0")))
+        .alias("view_definition"),
+    )
+    edges = view_edges(
+        spark, views, lambda r: quote(r.schema, r.view), lambda r: r.view_definition, lambda r: quote(r.schema)
+    )
+    return view_levels(edges).select(F.col("row.view").alias("view"), "level", "problem")
+
+
 @query
 def replicate_view(spark, sf_dir):
     """A view over a table and its replica over the table's copy, with a check of both."""
@@ -661,9 +683,9 @@ def _count(df, kind, name):
     )
 
 
-@query
-def sync_run(spark, sf_dir):
-    """A whole run over all test tables: every status, and what the target holds after."""
+def _sync_case(spark, sf_dir, run):
+    """A whole run over all test tables, done by ``run``: every status, and what the target holds
+    after; and the folder of the copies, with the target's name."""
     source, target = run_database(spark, "source"), run_database(spark, "target")
     for name in TEST_TABLES:
         _register(spark, sf_dir, source, name)
@@ -689,7 +711,8 @@ def sync_run(spark, sf_dir):
         # Listed, and nothing is granted yet.
         grants=granted.limit(0),
     )
-    result = run_sync(
+    folder = run_folder(spark, "replica")
+    result = run(
         spark,
         replace(
             live_inventory(spark, [source]), volumes=I.source_volumes(supplier), grants=granted
@@ -698,7 +721,7 @@ def sync_run(spark, sf_dir):
         SyncOptions(
             source_database=lambda catalog, schema: schema,
             target_database=lambda catalog, schema: target,
-            folder=run_folder(spark, "replica"),
+            folder=folder,
             named_types=("EXTERNAL",),
             path_types=(),
             view_definition=lambda row: row.view_definition.replace(source, target),
@@ -713,4 +736,47 @@ def sync_run(spark, sf_dir):
     statuses = result.status.filter("status is not null").groupBy(
         "kind", F.when(named, F.col("table")).otherwise("all").alias("object"), outcome().alias("status")
     ).agg(F.count(F.lit(1)).alias("n_rows"))
-    return statuses.unionByName(held.withColumn("status", F.lit("held")))
+    done = statuses.unionByName(held.withColumn("status", F.lit("held")))
+    return done, f"{folder}/tables/spark_catalog/{source}"
+
+
+@query
+def sync_run(spark, sf_dir):
+    """A whole run over all test tables: every status, and what the target holds after."""
+    return _sync_case(spark, sf_dir, run_sync)[0]
+
+
+class _Stopped(BaseException):
+    pass
+
+
+class _StoppingJournal(Journal):
+    """A journal whose run is stopped after some objects were finished."""
+
+    left = 4
+
+    def add(self, status):
+        super().add(status)
+        self.left -= 1
+        if self.left == 0:
+            raise _Stopped
+
+
+@query
+def sync_resumed(spark, sf_dir):
+    """The whole run, stopped again and again and gone on with from its journal. Every row of
+    every version folder is counted, so a table that was copied twice would show."""
+
+    def stopped(spark, ours, theirs, options):
+        folder = run_folder(spark, "journal")
+        while True:
+            try:
+                return run_logged(spark, ours, theirs, options, _StoppingJournal(spark, folder))
+            except _Stopped:
+                pass
+
+    done, copies = _sync_case(spark, sf_dir, stopped)
+    for name in TEST_TABLES:
+        written = spark.read.option("recursiveFileLookup", True).parquet(f"{copies}/{name}")
+        done = done.unionByName(_count(written, "written", name).withColumn("status", F.lit("held")))
+    return done
