@@ -242,9 +242,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 3, 0, 0, (SELECT count(*) FROM parts WHERE stays), 0""",
     "replicate_external": "SELECT * FROM lineitem",
     "view_order": """WITH v AS (
-          SELECT s_suppkey AS k, (s_suppkey - 1) % 5 AS p, (s_suppkey - 1) // 5 AS g FROM supplier),
+          SELECT s_suppkey AS k, s_suppkey % 5 AS p, s_suppkey // 5 AS g FROM supplier),
         looped AS (
-          SELECT *, g % 4 = 3 AND 5 * g + 3 IN (SELECT k FROM v) AS looped FROM v)
+          SELECT *, g % 4 = 3 AND 5 * g + 2 IN (SELECT k FROM v) AS looped FROM v)
         SELECT concat('v_', k) AS "view", CASE WHEN NOT looped THEN p END AS level,
           CASE WHEN looped AND p < 3 THEN 'views that depend on each other'
                WHEN looped THEN 'reads views that depend on each other' END AS problem

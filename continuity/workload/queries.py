@@ -610,8 +610,8 @@ def locate_differences(spark, sf_dir):
 def view_order(spark, sf_dir):
     """Levels of views that read each other in chains of five, one per supplier; in every fourth
     chain the first reads the third, if there is one."""
-    key, place = F.col("s_suppkey"), (F.col("s_suppkey") - 1) % 5
-    chain = F.floor((key - 1) / 5)
+    key, place = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    chain = F.floor(key / 5)
     read = F.when(place > 0, key - 1).when(chain % 4 == 3, key + 2)
     views = load(spark, sf_dir, "supplier").select(
         F.lit("main").alias("catalog"),
