@@ -20,6 +20,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from continuity.files import Files
 from continuity.plans.status import Status, StatusLog
 from continuity.schemas import STATUS_DDL
 from continuity.sources.inventory import Inventory
@@ -37,24 +38,18 @@ class Journal(StatusLog):
         self._spark = spark
         self._folder = folder.rstrip("/")
         self._retry_failed = retry_failed
-        self._events = f"{self._folder}/events"
-        self._files, self._path = self._filesystem()
-        self.resumed = self._files.exists(self._path(self._events))
-        self._files.mkdirs(self._path(self._events))
+        self._files = Files(spark, self._folder)
+        self.resumed = self._files.exists("events")
+        self._files.make_folder("events")
         named = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run"))
         self.run = self.once("run", named).first().run
 
-    def _filesystem(self):
-        path = self._spark._jvm.org.apache.hadoop.fs.Path
-        conf = self._spark._jsparkSession.sessionState().newHadoopConf()
-        return path(self._folder).getFileSystem(conf), path
-
     # ---- frames that are worked out once ----
 
     def once(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` as it was when the run first got here. What a stopped write left is replaced."""
         place = f"{self._folder}/{name}"
-        if not self._files.exists(self._path(f"{place}/_SUCCESS")):
+        if not self._files.exists(f"{name}/_SUCCESS"):
             df.write.mode("overwrite").parquet(place)
         return self._spark.read.schema(df.schema).parquet(place)
 
@@ -76,15 +71,8 @@ class Journal(StatusLog):
     # ---- events ----
 
     def _event(self, phase: str, status: Status) -> None:
-        name = f"{time.time_ns()}_{uuid.uuid4().hex}"
-        hidden = self._path(f"{self._events}/_{name}")
-        out = self._files.create(hidden)
-        try:
-            out.write(bytearray(json.dumps({"phase": phase, **status._asdict()}).encode()))
-        finally:
-            out.close()
-        if not self._files.rename(hidden, self._path(f"{self._events}/{name}.json")):
-            raise RuntimeError(f"cannot write the journal in {self._events}")
+        name = f"events/{time.time_ns()}_{uuid.uuid4().hex}.json"
+        self._files.write_new(name, json.dumps({"phase": phase, **status._asdict()}))
 
     def begin(self, status: Status) -> None:
         self._event(BEGIN, status)
@@ -97,7 +85,7 @@ class Journal(StatusLog):
         self.once(f"statuses/{name}", statuses.select(*columns))
 
     def _all_events(self) -> DataFrame:
-        return self._spark.read.schema(_EVENT_DDL).json(self._events)
+        return self._spark.read.schema(_EVENT_DDL).json(f"{self._folder}/events")
 
     def _ended(self) -> DataFrame:
         """The last end of every object."""
@@ -133,7 +121,7 @@ class Journal(StatusLog):
         columns = [field.split()[0] for field in STATUS_DDL.split(",")]
         found = self._ended().select(*columns)
         for name in ("volumes", "grants"):
-            place = f"{self._folder}/statuses/{name}"
-            if self._files.exists(self._path(f"{place}/_SUCCESS")):
+            if self._files.exists(f"statuses/{name}/_SUCCESS"):
+                place = f"{self._folder}/statuses/{name}"
                 found = found.unionByName(self._spark.read.schema(STATUS_DDL).parquet(place))
         return found

@@ -109,6 +109,10 @@ ORACLES: dict[str, str] = {
     "csv_permissive": _permissive(),
     "append_batch": """SELECT o_orderstatus, 2 * count(*) AS n_rows FROM orders
         GROUP BY o_orderstatus""",
+    "append_repeated": """SELECT o_orderstatus, count(*) AS n_rows,
+        count(DISTINCT o_orderkey) AS n_orders, count(*) AS n_told
+        FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus""",
+    "stream_repeated": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "append_contract": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "stream_ingest": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "stream_delay_type": f"""WITH {Q.FLIGHTS}

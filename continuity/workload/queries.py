@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from continuity.plans.status import StatusLog, outcome
 from continuity.plans.sync import SyncOptions, run_logged, run_sync
 from continuity.plans.views import create_view, same_view, view_edges, view_levels, view_plan
 from continuity.schemas import flight_schema
-from continuity.sinks import append
+from continuity.sinks import append, append_once, batch_ledger
+from continuity.sinks.ledger import create_table
 from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
 from continuity.workload import inputs as I
 from continuity.workload.inputs import load
@@ -210,6 +212,60 @@ def append_contract(spark, sf_dir):
     return spark.table(table)
 
 
+@query
+def append_repeated(spark, sf_dir):
+    """The orders of each status as a batch; each is stopped once half-way and given twice more."""
+    table = quote(run_database(spark, "append"), "orders")
+    orders = load(spark, sf_dir, "orders")
+    for status in ("F", "O", "P"):
+        batch = orders.filter(F.col("o_orderstatus") == status)
+        bad = F.when(F.col("o_orderkey") % 100 == 1, F.raise_error(F.lit("stopped")))
+        broken = batch.withColumn(
+            "o_orderpriority", F.coalesce(bad.cast("string"), F.col("o_orderpriority"))
+        )
+        try:
+            append_once(broken, table, "orders", status)
+        except PySparkException:
+            pass
+        for _ in range(2):
+            append_once(batch, table, "orders", status)
+    told = batch_ledger(spark, table).select(F.col("batch").alias("o_orderstatus"), "rows")
+    held = spark.table(table).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_orders")
+    )
+    return held.join(told, "o_orderstatus").withColumnRenamed("rows", "n_told")
+
+
+@query
+def stream_repeated(spark, sf_dir):
+    """Events through a stream whose first run dies after its batch was appended: the second run
+    is given the same batch again."""
+    folder = run_folder(spark, "events")
+    load(spark, sf_dir, "events").write.options(**EVENT_OPTIONS).csv(f"{folder}/files")
+    table = quote(run_database(spark, "stream"), "events")
+
+    def stream():
+        return read_stream(spark, f"{folder}/files", EVENT_DDL, **EVENT_OPTIONS)
+
+    create_table(stream(), table)
+
+    def dies(batch, number):
+        append_once(batch, table, "events", str(number))
+        raise RuntimeError("stopped after the batch was appended")
+
+    def take(batch, number):
+        append_once(batch, table, "events", str(number))
+
+    for work in (dies, take, take):
+        writer = stream().writeStream.foreachBatch(work).trigger(availableNow=True)
+        try:
+            writer.option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+        except StreamingQueryException:
+            pass
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 EVENT_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 # Microseconds are kept, and quotes inside a cell are doubled.
 EVENT_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"'}
