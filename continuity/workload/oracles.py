@@ -49,6 +49,29 @@ def _permissive() -> str:
       WHEN "IsDepDelayed" = 'YES' THEN 'UncategorizedDelay' END AS delay_type FROM cells"""
 
 
+def _odd_lines() -> str:
+    """The odd lines (shape, line) and, of the bad ones, the reason."""
+
+    def cell(name: str) -> str:
+        return {
+            "Year": "y", "UniqueCarrier": "s", "FlightNum": "k", "IsDepDelayed": "'YES'"
+        }.get(name, "'1'" if name in _INT_COLUMNS else "'NA'")
+
+    def line(names: tuple[str, ...] = _COLUMNS, **changed: str) -> str:
+        return "concat_ws(',', " + ", ".join(changed.get(n, cell(n)) for n in names) + ")"
+
+    header = "; ".join(f"{n}: ''{n}'' is no int" for n in _COLUMNS if n in _INT_COLUMNS)
+    return f"""odd AS (
+      SELECT o_orderkey % 6 AS shape, CAST(year(o_orderdate) AS VARCHAR) AS y,
+        CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s FROM orders),
+    lines AS (
+      SELECT shape, s, CASE shape WHEN 1 THEN {line(Year="'x1999'")} WHEN 2 THEN {line(_COLUMNS[:10])}
+        WHEN 3 THEN concat({line()}, ',surplus,surplus') WHEN 5 THEN '{",".join(_COLUMNS)}' END AS line,
+        CASE shape WHEN 1 THEN 'Year: ''x1999'' is no int' WHEN 2 THEN 'too few cells: 10 of 31'
+          WHEN 3 THEN 'too many cells: 33 of 31' WHEN 5 THEN '{header}' END AS reason
+      FROM odd)"""
+
+
 _SYNC_STATUS = """
 SELECT 'main' AS catalog, 'sales' AS schema, 'orders' AS "table", 'table_by_name' AS kind,
   'SUCCESS' AS status, count(*) AS n_rows FROM orders
@@ -107,6 +130,11 @@ ORACLES: dict[str, str] = {
     "csv_declared_scan": f"""WITH {Q.FLIGHTS}
         SELECT {", ".join(f'"{c}"' for c in _COLUMNS)} FROM flights""",
     "csv_permissive": _permissive(),
+    "csv_quarantine": f"""WITH {_odd_lines()}
+        SELECT line, reason, TRUE AS has_file FROM lines WHERE reason IS NOT NULL""",
+    "stream_quarantine": f"""WITH {_odd_lines()}
+        SELECT coalesce(regexp_extract(reason, '^[^:]*'), concat('good ', s)) AS kind,
+          count(*) AS n_lines FROM lines GROUP BY 1""",
     "append_batch": """SELECT o_orderstatus, 2 * count(*) AS n_rows FROM orders
         GROUP BY o_orderstatus""",
     "append_repeated": """SELECT o_orderstatus, count(*) AS n_rows,

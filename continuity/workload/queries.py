@@ -31,6 +31,7 @@ from continuity.plans.views import create_view, same_view, view_edges, view_leve
 from continuity.schemas import flight_schema
 from continuity.sinks import append, append_once, batch_ledger
 from continuity.sinks.ledger import create_table
+from continuity.sources.quarantine import append_split_stream, bad_lines, read_judged
 from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
 from continuity.workload import inputs as I
 from continuity.workload.inputs import load
@@ -153,9 +154,8 @@ def csv_declared_scan(spark, sf_dir):
     return read_batch(spark, _flight_files(spark, sf_dir))
 
 
-@query
-def csv_permissive(spark, sf_dir):
-    """Flight lines of orders with a bad, short, long, empty or header-like shape."""
+def _odd_lines(spark, sf_dir):
+    """Folder of flight lines of orders with a bad, short, long, empty or header-like shape."""
     key = F.col("o_orderkey")
     names = flight_schema().names
     cells = dict.fromkeys(names, F.lit("NA"))
@@ -184,11 +184,38 @@ def csv_permissive(spark, sf_dir):
     )
     folder = run_folder(spark, "lines")
     load(spark, sf_dir, "orders").select(lines.alias("value")).write.text(folder)
-    return delay_type(read_batch(spark, folder)).select(
+    return folder
+
+
+@query
+def csv_permissive(spark, sf_dir):
+    """What a plain read makes of odd lines."""
+    return delay_type(read_batch(spark, _odd_lines(spark, sf_dir))).select(
         "Year", "FlightNum", "UniqueCarrier", "WeatherDelay", "IsDepDelayed", "delay_type"
     )
 
 
+@query
+def csv_quarantine(spark, sf_dir):
+    """The bad ones of the odd lines, with what is wrong."""
+    judged = read_judged(spark, _odd_lines(spark, sf_dir))
+    return bad_lines(judged).select("line", "reason", F.col("source_file").isNotNull().alias("has_file"))
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """Odd lines through a stream: the good rows by carrier, and how many lines went elsewhere."""
+    database, folder = run_database(spark, "quarantine"), _odd_lines(spark, sf_dir)
+    tables = quote(database, "flights"), quote(database, "bad_lines")
+    checkpoint = run_folder(spark, "checkpoint")
+    for _ in range(2):
+        append_split_stream(spark, folder, *tables, checkpoint).awaitTermination()
+    good, bad = (spark.table(t) for t in tables)
+    kinds = bad.select(F.regexp_extract("reason", "^[^:]*", 0).alias("kind"))
+    rows = good.select(F.concat(F.lit("good "), "UniqueCarrier").alias("kind")).unionByName(kinds)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query
 def append_batch(spark, sf_dir):
     """Two appends of the orders: the second one adds the rows again."""
