@@ -7,7 +7,8 @@ characters LC and tags LT below it that are in links, the composite text density
 
 where NC = C - LC, Cb and LCb are those of the body, and a zero divisor counts as one: characters
 per tag, cut down where links prevail. The density sum of a node adds up its children's
-densities. The node with the largest sum holds the main text; the least density on the path
+densities; marks within a text (``b``, ``span``, ...) are no children, a paragraph that is bold as a
+whole is no container. The node with the largest sum holds the main text; the least density on the path
 from it to the body is the threshold, and every node that reaches it contributes the subtree of
 the largest sum below it. Where such a subtree lies in an ``article`` or ``main`` element, that
 whole element is taken, so that headings and short paragraphs stay; of ``article`` elements side
@@ -15,8 +16,10 @@ by side all are taken that are not mostly links.
 
 Elements that are not text of the page (scripts, styles, forms) and page furniture (menus,
 headers, footers, sidebars, notices, adverts, reader comments, by element, role, class or id)
-are left out before densities are taken, unless they hold the article themselves. Of a header
-inside an article the headings stay.
+are left out before densities are taken, unless they hold the article themselves: a class or id
+word drops no element with more than half of the text, and a form that holds an ``article`` or
+``main``, or most of the text in paragraphs, is read. Of a header inside an article the headings
+stay.
 
 Blocks are what block-level elements separate; character references are decoded, white space
 within a block becomes one space, blocks are joined by one line feed.
@@ -48,6 +51,11 @@ BLOCK = frozenset(
     "nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul "
     "caption".split()
 )
+# Marks within a text; they are no parts of the page.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp "
+    "small span strike strong sub sup time tt u var wbr".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Start tags that close an open element of these names, up to one of the names behind the bar.
 CLOSES = {
@@ -68,6 +76,8 @@ NEVER = frozenset(
     "head script style noscript template textarea select button input form svg math canvas "
     "object iframe audio video map datalist dialog noembed noframes xmp title".split()
 )
+# Of these, elements that may hold the page: some sites put all of it into one form.
+HOLDERS = frozenset("form dialog object".split())
 FURNITURE = frozenset("nav footer aside menu search".split())
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
@@ -94,9 +104,9 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
+# One attribute after the other, so that names and values inside of others are not taken for some.
 _ATTRIBUTE = re.compile(
-    r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z)",
-    re.IGNORECASE,
+    r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?|\"[^\"]*\"?|'[^']*'?"
 )
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -203,7 +213,10 @@ def _is_furniture(tag: str, attributes: str, most: bool = False) -> bool:
         return False
     words = READER_WORDS if most else FURNITURE_WORDS | READER_WORDS
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = html.unescape(value.strip("\"'"))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "role" and value.lower() in FURNITURE_ROLES:
@@ -222,25 +235,31 @@ def _is_furniture(tag: str, attributes: str, most: bool = False) -> bool:
 def _left_out(page: Page) -> list[bool]:
     """Which nodes are furniture or lie in it."""
     n = len(page.tag)
-    holds_main = [False] * n
-    for node in range(n - 1, 0, -1):
-        main = page.tag[node] in MAIN and not _is_furniture(page.tag[node], page.attributes[node])
-        if main or holds_main[node]:
-            holds_main[page.parent[node]] = True
     plain = [0] * n
     for node, _, text in page.text:
         plain[node] += len(text.strip())
+    holds_text = [False] * n
     for node in range(n - 1, 0, -1):
-        if page.tag[node] not in NEVER and page.tag[node] != "a":
+        tag = page.tag[node]
+        if (tag not in NEVER or tag in HOLDERS) and tag != "a":
             plain[page.parent[node]] += plain[node]
-    any_main = any(holds_main)
+            if holds_text[node] or (tag == "p" and plain[node]):
+                holds_text[page.parent[node]] = True
+    most = [2 * size > plain[0] for size in plain]
+    holds_main = [False] * n
+    for node in range(n - 1, 0, -1):
+        tag = page.tag[node]
+        main = tag in MAIN and not _is_furniture(tag, page.attributes[node], most[node])
+        if main or holds_main[node]:
+            holds_main[page.parent[node]] = True
     out, in_main = [False] * n, [False] * n
     header = [False] * n
     for node in range(1, n):
         up, tag = page.parent[node], page.tag[node]
         in_main[node] = in_main[up] or tag in MAIN
         header[node] = header[up]
-        if tag in NEVER:
+        holder = tag in HOLDERS and (holds_main[node] or (most[node] and holds_text[node]))
+        if tag in NEVER and not holder:
             out[node] = True
         elif header[up] and tag in HEADINGS:
             # A heading in the header of an article.
@@ -252,57 +271,74 @@ def _left_out(page: Page) -> list[bool]:
         elif tag == "header" and in_main[up]:
             out[node] = header[node] = True
         else:
-            most = not any_main and plain[node] > plain[0] / 2
-            out[node] = out[up] or _is_furniture(tag, page.attributes[node], most)
+            out[node] = out[up] or _is_furniture(tag, page.attributes[node], most[node])
     return out
 
 
+class Measured:
+    """Densities and their sums by node, and the decoded text (node, block, text) they are of."""
+
+    def __init__(self, page: Page, out: list[bool]) -> None:
+        n = len(page.tag)
+        self.chars, self.links = [0] * n, [0] * n
+        self.density, self.total = [0.0] * n, [0.0] * n
+        self.decoded: list[tuple[int, int, str]] = []
+        self.body = 0
+        self._read(page, out)
+
+    def _read(self, page: Page, out: list[bool]) -> None:
+        n, chars, links = len(page.tag), self.chars, self.links
+        tags, link_tags = [0] * n, [0] * n
+        in_link = [False] * n
+        for node in range(1, n):
+            in_link[node] = in_link[page.parent[node]] or page.tag[node] == "a"
+        for node, block, text in page.text:
+            if out[node]:
+                continue
+            text = html.unescape(text) if "&" in text else text
+            self.decoded.append((node, block, text))
+            size = len(text.strip())
+            chars[node] += size
+            if in_link[node]:
+                links[node] += size
+        for node in range(n - 1, 0, -1):
+            if out[node]:
+                continue
+            up = page.parent[node]
+            chars[up] += chars[node]
+            links[up] += links[node]
+            tags[up] += tags[node] + 1
+            link_tags[up] += link_tags[node] + (page.tag[node] == "a")
+        body = next((k for k in range(n) if page.tag[k] == "body"), 0)
+        self.body = body if chars[body] else 0
+        if not chars[self.body]:
+            return
+        share = links[self.body] / chars[self.body]
+        # The innermost part of the page around each node.
+        above = [0] * n
+        for node in range(1, n):
+            up = page.parent[node]
+            above[node] = above[up] if page.tag[up] in INLINE else up
+        for node in range(n - 1, -1, -1):
+            if out[node]:
+                continue
+            self.density[node] = _density(chars[node], tags[node], links[node], link_tags[node], share)
+            if page.tag[node] not in INLINE and node:
+                self.total[above[node]] += self.density[node]
+
+
 def main_text(source: str | None) -> str:
     """The main text of one page."""
     if not source:
         return ""
     page = Page(source)
-    n = len(page.tag)
     out = _left_out(page)
-    chars, links = [0] * n, [0] * n
-    tags, link_tags = [0] * n, [0] * n
-    in_link = [False] * n
-    for node in range(1, n):
-        in_link[node] = in_link[page.parent[node]] or page.tag[node] == "a"
-    decoded = []
-    for node, block, text in page.text:
-        if out[node]:
-            continue
-        text = html.unescape(text) if "&" in text else text
-        decoded.append((node, block, text))
-        size = len(text.strip())
-        chars[node] += size
-        if in_link[node]:
-            links[node] += size
-    for node in range(n - 1, 0, -1):
-        if out[node]:
-            continue
-        up = page.parent[node]
-        chars[up] += chars[node]
-        links[up] += links[node]
-        tags[up] += tags[node] + 1
-        link_tags[up] += link_tags[node] + (page.tag[node] == "a")
-    body = next((k for k in range(n) if page.tag[k] == "body"), 0)
-    if not chars[body]:
-        body = 0
-    if not chars[body]:
+    found = Measured(page, out)
+    if not found.chars[found.body]:
         return ""
-    share = links[body] / chars[body]
-    density, total = [0.0] * n, [0.0] * n
-    for node in range(n - 1, -1, -1):
-        if out[node]:
-            continue
-        density[node] = _density(chars[node], tags[node], links[node], link_tags[node], share)
-        if node:
-            total[page.parent[node]] += density[node]
-    chosen = _content(page, out, chars, links, density, total, body)
+    chosen = _content(page, out, found)
     blocks: dict[int, list[str]] = {}
-    for node, block, text in decoded:
+    for node, block, text in found.decoded:
         if chosen[node]:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
@@ -319,22 +355,15 @@ def _density(chars: int, tags: int, links: int, link_tags: int, share: float) ->
     return chars / max(1, tags) * max(0.0, math.log(max(ratio, 1.0)) / math.log(base))
 
 
-def _content(
-    page: Page,
-    out: list[bool],
-    chars: list[int],
-    links: list[int],
-    density: list[float],
-    total: list[float],
-    body: int,
-) -> list[bool]:
+def _content(page: Page, out: list[bool], found: Measured) -> list[bool]:
     """Which nodes belong to the main text."""
-    n = len(page.tag)
+    n, body = len(page.tag), found.body
+    chars, links, density, total = found.chars, found.links, found.density, found.total
     within = [False] * n
     within[body] = True
     for node in range(body + 1, n):
         within[node] = within[page.parent[node]] and not out[node]
-    candidates = [k for k in range(n) if within[k] and k >= body]
+    candidates = [k for k in range(body, n) if within[k] and page.tag[k] not in INLINE]
     best = max(candidates, key=lambda k: (total[k], -k))
     if total[best] <= 0:
         best = body
