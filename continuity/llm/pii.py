@@ -1,6 +1,9 @@
 """Information-theoretic sanitisation.
 
-Personal data of four plain kinds (email, ip, card, phone) is found by pattern; these are the
+Personal data of four plain kinds (email, ip, card, phone) is found by pattern. Secrets (keys,
+tokens, passwords) are found by what they are: a value that something is set to (``name = value``,
+``name: "value"``) whose characters are too many and too mixed to be a word or a name, told by their
+entropy and by how often neighbours change between digits and letters. These are the
 protected entities, each value by itself and each kind as a whole. Other words may reveal them:
 what a word tells about an entity is the pointwise mutual information of the two, estimated
 from how often they stand together in the corpus. With
@@ -27,6 +30,7 @@ no terms.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -56,7 +60,15 @@ _DIGITS = re.compile(r"[0-9]")
 # Terms are words of letters.
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+SECRET = "secret"
+# A value that is set to: after a sign, perhaps quoted.
+_ASSIGNED = re.compile(r"[=:][\x20\t]{0,3}[\"'`]?([A-Za-z0-9+_-][A-Za-z0-9+/_-]{15,}={0,2})")
+_CHANGE = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+_NAMED = re.compile(r"[A-Za-z0-9_\])][\"'`]?[\x20\t]{0,3}\Z")
+
+LABELS = {
+    "email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", SECRET: "[SECRET]",
+}
 Span = tuple[str, int, int]
 
 
@@ -69,6 +81,10 @@ class Disclosure:
     # Share of an entity's information that a term may tell.
     generalise: float = 0.90
     remove: float = 0.97
+    # A secret has so many bits by its own characters, and a change between digit and letter once
+    # in so many characters. Measured on planted values (``tests/llm/test_pii.py``).
+    secret_bits: float = 48.0
+    secret_change: int = 14
 
 
 DEFAULT_DISCLOSURE = Disclosure()
@@ -120,9 +136,37 @@ def base_spans(text: str | None) -> list[Span]:
     return found
 
 
+def _is_secret(value: str, rules: Disclosure) -> bool:
+    counts = Counter(value)
+    n = len(value)
+    bits = -sum(c * math.log2(c / n) for c in counts.values())
+    if bits < rules.secret_bits:
+        return False
+    changes = len(_CHANGE.findall(value))
+    return changes > 2 and changes * rules.secret_change >= n
+
+
+def secret_spans(text: str | None, rules: Disclosure = DEFAULT_DISCLOSURE) -> list[Span]:
+    """Values that are secrets, in order."""
+    if not text:
+        return []
+    return [
+        (SECRET, m.start(1), m.end(1))
+        for m in _ASSIGNED.finditer(text)
+        if _NAMED.search(text, max(0, m.start() - 5), m.start()) and _is_secret(m[1], rules)
+    ]
+
+
+def entity_spans(text: str | None, rules: Disclosure = DEFAULT_DISCLOSURE) -> list[Span]:
+    """All protected entities: base spans, then secrets."""
+    return base_spans(text) + secret_spans(text, rules)
+
+
 def _value(kind: str, text: str) -> str:
     """An entity's value, however it is written."""
-    return text.lower() if kind == "email" else text if kind == "ip" else re.sub("[^0-9]", "", text)
+    if kind == "email":
+        return text.lower()
+    return text if kind in ("ip", SECRET) else re.sub("[^0-9]", "", text)
 
 
 def term_hash(term: str) -> int:
@@ -156,7 +200,7 @@ def _mentions(
     for batch in batches:
         counts: Counter = Counter()
         for text in _texts(batch):
-            spans = base_spans(text)
+            spans = entity_spans(text, rules)
             if not spans:
                 continue
             near: dict[str, dict[int, tuple[str, int]]] = {}
@@ -215,13 +259,15 @@ def _bisect(words: list, start: int) -> int:
     return low
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _term_counts(
+    batches: Iterator[pa.RecordBatch], bits: np.ndarray, rules: Disclosure
+) -> Iterator[pa.RecordBatch]:
     """Per batch, how often each possible candidate occurs outside spans; null: all words."""
     mask = len(bits) * 8 - 1
     for batch in batches:
         counts: Counter = Counter()
         for text in _texts(batch):
-            spans = base_spans(text)
+            spans = entity_spans(text, rules)
             if spans:
                 counts.update(m[0].lower() for m in _outside(_TERM.finditer(text), spans))
             elif text:
@@ -241,7 +287,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
 def disclosing_terms(
     df: DataFrame, text: str = "text", rules: Disclosure = DEFAULT_DISCLOSURE
 ) -> DataFrame:
-    """(term, kind, action) of the terms that reveal an entity, each with its worst case."""
+    """(term, kind, action, share) of the terms that reveal an entity, each with its worst case."""
     spark = df.sparkSession
     texts = df.select(column(text).alias("text")).filter(F.col("text").isNotNull())
     near = texts.mapInArrow(
@@ -261,7 +307,7 @@ def disclosing_terms(
         bit_filter(candidates.select("term").distinct().select(_hashed(F.col("term")).alias("h")), "h")
     )
     counted = stored(
-        texts.mapInArrow(lambda it: _term_counts(it, bits.value), "term string, n bigint")
+        texts.mapInArrow(lambda it: _term_counts(it, bits.value, rules), "term string, n bigint")
         .groupBy("term")
         .agg(F.sum("n").alias("n_term")),
         "terms",
@@ -289,19 +335,22 @@ def disclosing_terms(
             "term",
             F.col("worst.kind").alias("kind"),
             F.when(F.col("worst.share") >= rules.remove, "remove").otherwise("generalise").alias("action"),
+            F.col("worst.share").alias("share"),
         )
     )
 
 
-def _found(batches: Iterator[pd.DataFrame], bits: np.ndarray) -> Iterator[pd.DataFrame]:
-    """The base spans of each text, and its words that may be disclosing terms."""
+def _found(
+    batches: Iterator[pd.DataFrame], bits: np.ndarray, rules: Disclosure
+) -> Iterator[pd.DataFrame]:
+    """The entities of each text, and its words that may be disclosing terms."""
     mask = len(bits) * 8 - 1
     some = bool(bits.any())
     known: dict[str, bool] = {}
     for batch in (b.iloc[k : k + 512] for b in batches for k in range(0, len(b), 512)):
         spans, terms = [], []
         for text in batch["text"]:
-            base = base_spans(text)
+            base = entity_spans(text, rules)
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
             words = []
             if some and text:
@@ -326,7 +375,7 @@ _TOLD = "array<struct<kind:string,start:int,end:int,about:string>>"
 def find_spans(
     df: DataFrame, text: str = "text", rules: Disclosure = DEFAULT_DISCLOSURE
 ) -> DataFrame:
-    """(doc_key, spans) of every different text: the base spans, then those of disclosing terms
+    """(doc_key, spans) of every different text: the base spans, secrets, then disclosing terms
     of kind ``generalise`` or ``remove`` with the kind of data they tell of in ``about``.
     ``doc_key`` is the digest of the text."""
     spark = df.sparkSession
@@ -336,7 +385,7 @@ def find_spans(
     keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text")
     found = stored(
         keyed.mapInPandas(
-            lambda it: _found(it, bits.value),
+            lambda it: _found(it, bits.value, rules),
             f"doc_key string, spans {_SPANS}, terms array<struct<term:string,start:int,end:int>>",
         ),
         "found",

@@ -89,3 +89,127 @@ def test_query_takes_a_table_with_a_column_named_like_its_spans(spark, tmp_path)
     df = spark.createDataFrame([(1, "call +49 30 1234567 now", "x")], "doc_id int, text string, PII string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.doc_id, r.n_phone) for r in queries.op3_pii(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
+def planted_secrets(rng):
+    """Values as services make them, set in the usual ways."""
+    import base64
+    import string
+
+    kind = rng.randrange(4)
+    if kind == 0:
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))
+    elif kind == 1:
+        value = base64.b64encode(rng.randbytes(rng.randint(15, 48))).decode()
+    elif kind == 2:
+        value = rng.choice(["sk_live_", "ghp_", "AKIA", ""]) + "".join(
+            rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(20, 40))
+        )
+    else:
+        value = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+    form = rng.choice(['token = "{}"', "API_KEY={}", "password: {}", "'key': '{}'", '"secret" : "{}"', "x-auth-token: {}"])
+    return form.format(value), value
+
+
+NO_SECRETS = [
+    "see https://www.example.org/some/very/long/path/to/a/page2 now",
+    "time: 2024-01-01T12:30:45 and version = 1.2.3-beta4",
+    "name = the_quick_brown_fox_number_1 and class: someVeryLongIdentifierName2",
+    "note: internationalisation and counterrevolutionaries2",
+    "total = 123456789012345678901234567890",
+    "a ratio of 3:1 = three", "x = yyyyyyyyyyyyyyyyyyyyyyyyyyy1", "= " + "ab1" * 3, "title: " + "word " * 20,
+]
+
+
+def test_secrets_are_found_by_measure():
+    rng = random.Random(9)
+    found = 0
+    for _ in range(2000):
+        text, value = planted_secrets(rng)
+        text = f"some words before {text} and after"
+        spans = pii.secret_spans(text)
+        at = text.index(value)
+        # A value may be found but for what its alphabet has no sign for.
+        found += any(s <= at + 3 and e >= at + len(value) - 3 for _, s, e in spans)
+    assert found >= 0.97 * 2000
+    for text in NO_SECRETS:
+        assert pii.secret_spans(text) == [], text
+    for k in range(300):
+        assert pii.secret_spans(prose(k, 80).replace(" ", " = ")) == []
+    assert pii.secret_spans(None) == pii.secret_spans("") == []
+    assert len(pii.secret_spans("k=" + "a1B" * 50_000)) == 1
+
+
+def test_secrets_go_and_what_reveals_them(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(8):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        rows.append((k, f"{prose(800 + k, 30)} w{k}x zugangswort = \"{value}\" v{k}y {prose(820 + k, 30)}"))
+    rows += [(100 + k, prose(840 + k, 80)) for k in range(30)]
+    df = documents(spark, rows)
+    terms = {r.term: (r.kind, r.action) for r in pii.disclosing_terms(df).collect()}
+    assert terms["zugangswort"] == ("secret", "remove")
+    spans = {r.doc_id: [s.kind for s in r.found] for r in pii.with_spans(df, out="found").collect()}
+    assert all(spans[k] == ["secret", "remove"] for k in range(8)) and not any(spans[100 + k] for k in range(30))
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert all("[SECRET]" in clean[k] and "zugangswort" not in clean[k] for k in range(8))
+
+
+def literal_shares(texts, rules):
+    """Shares of all candidate terms from the definitions, place by place."""
+    import math
+    from collections import Counter, defaultdict
+
+    n_term, n_entity, n_both, contexts = Counter(), Counter(), Counter(), defaultdict(set)
+    for text in texts:
+        spans = pii.entity_spans(text)
+        words = [
+            m for m in re.finditer(r"[^\W\d_]{3,}", text)
+            if not any(s < m.end() and m.start() < e for _, s, e in spans)
+        ]
+        n_term.update(m[0].lower() for m in words)
+        near = defaultdict(dict)
+        for kind, start, end in spans:
+            line = [m for m in words if "\n" not in text[min(m.start(), start) : max(m.start(), start)]]
+            before = [m for m in line if m.start() < start][-rules.window :]
+            after = [m for m in line if m.start() >= start][: rules.window]
+            context = " ".join(m[0].lower() for m in before + after)
+            for entity in (kind, f"{kind}:{pii._value(kind, text[start:end])}"):
+                for m in before + after:
+                    near[entity].setdefault(m.start(), (m[0].lower(), context))
+        for entity, places in near.items():
+            for term, context in places.values():
+                n_both[entity, term] += 1
+                n_entity[entity] += 1
+                contexts[entity, term].add(context)
+    total, worst = sum(n_term.values()), {}
+    for (entity, term), n in n_both.items():
+        if len(contexts[entity, term]) < rules.min_contexts:
+            continue
+        share = math.log2(total * n / (n_term[term] * n_entity[entity])) / math.log2(total / n_entity[entity])
+        if share >= rules.generalise:
+            worst[term] = max(worst.get(term, 0), share)
+    return worst
+
+
+def test_shares_equal_the_definition(spark):
+    rng = random.Random(11)
+    entities = ["joe@example.org", "ann@mail.test", "10.1.2.3", 'token = "ae93e105146691ae697923a219be4df655c4f1c7"']
+    clues = ["zorblax", "quibble", "mostly", "wend", "prattle"]
+    texts = []
+    for k in range(60):
+        words = prose(k, 30).split()
+        for _ in range(rng.randint(0, 3)):
+            which = rng.randrange(len(entities))
+            clue = clues[which] if rng.random() < 0.9 else rng.choice(clues)
+            words.insert(rng.randrange(len(words)), f"{clue} {entities[which]}{rng.choice([' ', chr(10)])}")
+        if rng.random() < 0.2:
+            words.append(rng.choice(clues))
+        texts.append(" ".join(words))
+    rules = pii.Disclosure(window=4, min_contexts=2, generalise=0.5, remove=0.8)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.term: r.share for r in pii.disclosing_terms(df, rules=rules).collect()}
+    expected = literal_shares(texts, rules)
+    assert got.keys() == expected.keys() and len(got) >= 4
+    assert all(abs(got[t] - expected[t]) < 1e-9 for t in got)
