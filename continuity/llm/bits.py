@@ -1,7 +1,7 @@
-"""A filter of fixed size for a set of hashes of any size.
+"""A filter of bounded size for a set of hashes of any size.
 
 The set's table stays distributed; what reaches the driver is a bit map of ``2**log2_bits``
-bits, however many hashes there are. A hash of the set always passes. Others pass with a
+bits: sixteen for each hash that was counted, within bounds (2 MB and 32 MB). A hash of the set always passes. Others pass with a
 chance of (number of hashes) / (number of bits), so whatever passes is joined with the table.
 """
 
@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 from continuity.llm.columns import column
 
-LOG2_BITS = 24
+LEAST_LOG2_BITS, MOST_LOG2_BITS = 24, 28
 
 
-def bit_filter(df: DataFrame, hashed: str, log2_bits: int = LOG2_BITS) -> np.ndarray:
+def bits_for(hashes: int) -> int:
+    """Logarithm of the bits that keep others out, with one chance in sixteen."""
+    return min(MOST_LOG2_BITS, max(LEAST_LOG2_BITS, (16 * hashes - 1).bit_length()))
+
+
+def bit_filter(df: DataFrame, hashed: str, log2_bits: int | None = None) -> np.ndarray:
     """The bit map, as bytes, of the low bits of the signed 64-bit column ``hashed``."""
+    if log2_bits is None:
+        log2_bits = bits_for(df.count())
     low = F.col(hashed).bitwiseAND(F.lit((1 << log2_bits) - 1))
     word = F.shiftright(low, 6).cast("int")
     bit = F.call_function(
@@ -44,7 +51,7 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def split_by_keys(
-    df: DataFrame, key: str, keys: DataFrame, log2_bits: int = LOG2_BITS
+    df: DataFrame, key: str, keys: DataFrame, log2_bits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose ``key`` may be among ``keys`` (same column name), and the rest,
     whose key is surely not. Joins with ``keys`` then move the first part only."""

@@ -12,13 +12,13 @@ overlap of every length and is tested by exhaustion, not by sampling. Other mask
 lose overlaps; ``most_missed`` tells.
 
 Items of up to 15 words overlap also as a whole, when ``equal_percent`` of all their words stand
-on the diagonal, at their edges or not. Items of fewer than ``exact_below`` words must be found
-whole, without a differing word. Items with fewer than ``min_words`` words are no evidence and are
-not searched.
+on the diagonal, at their edges or not. Items of fewer than ``whole_below`` words say little and
+must be found whole, every word of them; their seed is the whole item, and documents are hashed in
+its length. No item is too short to be searched.
 
-How it runs: benchmark hashes stay a table. Two bit maps of fixed size (``bits``) let a task that
+How it runs: benchmark hashes stay a table. Two bit maps of bounded size (``bits``) let a task that
 reads documents throw away places that surely hit nothing; what passes is joined with the
-table. Pairs of document and item, with the diagonal, are then distinct rows; only their
+table. Pairs of document and item, with all their diagonals, are then one row each; only their
 documents are read again for the comparison, whose cost is one item's length for each diagonal.
 
 Words are compared in lower case (A-Z) and without leading or trailing marks.
@@ -57,16 +57,22 @@ class Search:
     masks: tuple[str, ...] = (
         "1111011", "11110011", "11011101", "10101111", "110010111", "1110100011",
     )
-    # Shortest item that is searched, and the words of a stretch that are an overlap.
-    min_words: int = 8
+    # The words of a stretch that are an overlap.
     overlap_words: int = 13
     # Percent of the words of a stretch that must be equal.
     equal_percent: int = 80
     # Items of fewer words must be found whole, without a differing word.
-    exact_below: int = 10
+    whole_below: int = 8
 
     def percent(self, item_words: int) -> int:
-        return self.equal_percent if item_words >= self.exact_below else 100
+        return self.equal_percent if item_words >= self.whole_below else 100
+
+    def seeds(self, short: tuple[int, ...]) -> list[tuple[int, str]]:
+        """Salts and masks for documents, ``short``: lengths of items that are searched whole."""
+        return [*enumerate(self.masks), *((1000 + n, "1" * n) for n in short)]
+
+    def seeds_of_item(self, n_words: int) -> list[tuple[int, str]]:
+        return self.seeds((n_words,))[-1:] if n_words < self.whole_below else self.seeds(())
 
 
 DEFAULT_SEARCH = Search()
@@ -137,15 +143,23 @@ def _item_rows(batches: Iterator[pd.DataFrame], search: Search) -> Iterator[pd.D
         made = []
         for key, text in zip(batch["item_key"], batch["text"], strict=True):
             hashed = text_hashes(text, known)
-            if len(hashed) < search.min_words:
+            if not len(hashed):
                 continue
-            for salt, mask in enumerate(search.masks):
+            whole = len(hashed) if len(hashed) < search.whole_below else 0
+            for salt, mask in search.seeds_of_item(len(hashed)):
                 h = seed_hashes(hashed, mask, salt)
                 made.append(
-                    pd.DataFrame({"item_key": key, "item_at": np.arange(len(h)), "h": h.view(np.int64)})
+                    pd.DataFrame(
+                        {
+                            "item_key": key,
+                            "item_at": np.arange(len(h)),
+                            "h": h.view(np.int64),
+                            "whole": whole,
+                        }
+                    )
                 )
         yield pd.concat(made) if made else pd.DataFrame(
-            {"item_key": [], "item_at": [], "h": []}
+            {"item_key": [], "item_at": [], "h": [], "whole": []}
         )
 
 
@@ -168,7 +182,9 @@ def _groups(
 
 
 def _hits(
-    batches: Iterator[pa.RecordBatch], search: Search, bits: tuple[np.ndarray, np.ndarray]
+    batches: Iterator[pa.RecordBatch],
+    seeds: list[tuple[int, str]],
+    bits: tuple[np.ndarray, np.ndarray],
 ) -> Iterator[pa.RecordBatch]:
     """Places of documents that may hit: (doc_key, at, h)."""
     low, high = bits
@@ -178,7 +194,7 @@ def _hits(
         for names, texts in _groups(batch, known):
             joined = np.concatenate(texts)
             ends = np.cumsum([len(t) for t in texts])
-            for salt, mask in enumerate(search.masks):
+            for salt, mask in seeds:
                 h = seed_hashes(joined, mask, salt)
                 at = np.flatnonzero(passes(low, h))
                 at = at[passes(high, h[at] >> np.uint64(32))]
@@ -223,19 +239,23 @@ def best_stretch(equal: np.ndarray, search: Search, item_words: int) -> tuple[in
 
 
 def _verify(batches: Iterator[pd.DataFrame], search: Search) -> Iterator[pd.DataFrame]:
+    """The longest stretch of each pair of document and item over all its diagonals; of equally
+    good ones the first."""
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
             document, item = words_of_text(row.text), words_of_text(row.item_text)
-            first = max(0, -row.diagonal)
-            last = min(len(item), len(document) - row.diagonal)
-            equal = np.array(
-                [item[k] == document[k + row.diagonal] for k in range(first, last)], dtype=bool
-            )
-            start, length, same = best_stretch(equal, search, len(item))
-            if length:
-                at = start + first + row.diagonal
-                rows.append((row.doc_key, row.item_key, at, length, same, len(item)))
+            best = (0, 0, 0)
+            for diagonal in sorted(row.diagonals):
+                first = max(0, -diagonal)
+                last = min(len(item), len(document) - diagonal)
+                equal = np.array(
+                    [item[k] == document[k + diagonal] for k in range(first, last)], dtype=bool
+                )
+                start, length, same = best_stretch(equal, search, len(item))
+                best = max(best, (length, same, -(start + first + int(diagonal))))
+            if best[0]:
+                rows.append((row.doc_key, row.item_key, -best[2], best[0], best[1], len(item)))
         yield pd.DataFrame(
             rows, columns=["doc_key", "item_key", "start_word", "n_words", "n_equal", "item_words"]
         )
@@ -261,10 +281,13 @@ def overlaps(
     texts = items.groupBy("item_key").agg(F.first("item_text").alias("item_text"))
     seeds = stored(
         texts.select("item_key", F.col("item_text").alias("text")).mapInPandas(
-            lambda it: _item_rows(it, search), "item_key string, item_at int, h bigint"
+            lambda it: _item_rows(it, search), "item_key string, item_at int, h bigint, whole int"
         ),
         "seeds",
     )
+    # Lengths of items that are searched whole, fewer than ``whole_below``.
+    short = sorted(r.whole for r in seeds.filter("whole > 0").select("whole").distinct().collect())
+    searched = search.seeds(tuple(short))
     bits = spark.sparkContext.broadcast(
         (
             bit_filter(seeds, "h"),
@@ -276,12 +299,13 @@ def overlaps(
         "doc_key", F.md5(F.col("text").cast("binary"))
     )
     hits = keyed.select("doc_key", "text").mapInArrow(
-        lambda it: _hits(it, search, bits.value), "doc_key string, at int, h bigint"
+        lambda it: _hits(it, searched, bits.value), "doc_key string, at int, h bigint"
     )
     candidates = stored(
         keyed_join(stored(hits, "hits"), seeds, ["h"])
         .select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"))
-        .distinct(),
+        .groupBy("doc_key", "item_key")
+        .agg(F.collect_set("diagonal").alias("diagonals")),
         "candidates",
     )
     # Only texts that may be wanted are moved.
@@ -293,23 +317,16 @@ def overlaps(
         .agg(F.first("text").alias("text"))
     )
     side_by_side = candidates.join(found_texts, "doc_key").join(texts, "item_key")
-    verified = side_by_side.select(
-        "doc_key", "item_key", "diagonal", "text", "item_text"
-    ).mapInPandas(
-        lambda it: _verify(it, search),
-        "doc_key string, item_key string, start_word int, n_words int, n_equal int, item_words int",
-    )
     longest = stored(
-        verified.groupBy("doc_key", "item_key").agg(
-            F.max(F.struct("n_words", "n_equal", (-F.col("start_word")).alias("from"), "item_words")).alias("m")
+        side_by_side.select("doc_key", "item_key", "diagonals", "text", "item_text").mapInPandas(
+            lambda it: _verify(it, search),
+            "doc_key string, item_key string, start_word int, n_words int, n_equal int, item_words int",
         ),
         "overlaps",
     )
     rows = keyed_join(keyed.select("doc_id", "doc_key"), longest, ["doc_key"], "inner")
     return rows.join(items.select("item_id", "item_key"), "item_key").select(
-        "doc_id", "doc_key", "item_id", (-F.col("m.from")).alias("start_word"),
-        F.col("m.n_words").alias("n_words"), F.col("m.n_equal").alias("n_equal"),
-        F.col("m.item_words").alias("item_words"),
+        "doc_id", "doc_key", "item_id", "start_word", "n_words", "n_equal", "item_words"
     )
 
 

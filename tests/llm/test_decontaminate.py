@@ -37,16 +37,22 @@ def test_planted_overlaps_are_found_and_nothing_else(spark):
         (15, prose(46, 200)),
         (16, item[6]),
         (17, "too short"),
+        (18, prose(47, 30) + " Too, short! " + prose(48, 30)),
+        (19, "too very short"),
+        (20, prose(49, 30) + " nine plain nouns make up this other short item"),
         (10, prose(41, 100) + " " + item[0] + " " + prose(42, 50)),
     ]
     df = documents(spark).unionByName(documents(spark, rows))
     got = D.overlaps(df, items(spark)).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (10, 1), (11, 1), (12, 2), (13, 3), (16, 1)]
+    # One of nine words may differ, two may not; an item of two words must be found whole.
+    assert sorted((r.doc_id, r.item_id) for r in got) == [
+        (10, 1), (10, 1), (11, 1), (12, 2), (13, 3), (14, 3), (16, 1), (17, 4), (18, 4)
+    ]
     first = next(r for r in got if r.doc_id == 10)
     assert (first.start_word, first.n_words, first.n_equal) == (100, 40, 40)
     kept = D.without_overlaps(df, items(spark))
     assert kept.columns == df.columns
-    assert kept.count() == df.count() - 6
+    assert kept.count() == df.count() - 9
 
 
 def test_best_stretch_equals_brute_force():
@@ -147,5 +153,41 @@ def test_short_runs_and_short_items_with_replaced_words_are_found(spark):
 
 def test_masks_lose_no_short_item_with_replaced_words():
     search = D.DEFAULT_SEARCH
-    for n in range(search.min_words, 16):
+    for n in range(search.whole_below, 16):
         assert D.most_missed(search, n, True) > n * (100 - search.percent(n)) // 100
+
+
+def literal_overlap(document, item, search):
+    """Whether the two overlap, by laying them side by side in every way."""
+    import numpy as np
+
+    a, b = D.words_of_text(document), D.words_of_text(item)
+    for diagonal in range(-len(b) + 1, len(a)):
+        ks = range(max(0, -diagonal), min(len(b), len(a) - diagonal))
+        if D.best_stretch(np.array([b[k] == a[k + diagonal] for k in ks], dtype=bool), search, len(b))[1]:
+            return True
+    return False
+
+
+def test_items_of_every_length_against_brute_force(spark):
+    """Whole, and with so many words replaced, from one word to sixty."""
+    rng = random.Random(12)
+    search = D.DEFAULT_SEARCH
+    rows, table = [], []
+    for n in range(1, 61):
+        item = prose(1000 + n, n).replace("\n", " ")
+        table.append((n, item))
+        for replaced_words in (0, 1, n // 5, n // 5 + 1):
+            words = item.split()
+            for at in rng.sample(range(n), min(replaced_words, n)):
+                words[at] = f"other{at}"
+            rows.append((len(rows), f"{prose(3000 + len(rows), 15)} {' '.join(words)} {prose(6000 + len(rows), 15)}"))
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(documents(spark, rows), items(spark, table)).collect()}
+    expected = {(d, n) for d, text in rows for n, item in table if literal_overlap(text, item, search)}
+    assert got == expected and len(expected) > 150
+
+
+def test_an_item_that_stands_everywhere(spark):
+    rows = [(k, "the " * 3000 + prose(k, 20)) for k in range(6)]
+    got = D.overlaps(documents(spark, rows), items(spark, [(1, "the"), (2, "the the")])).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word) for r in got) == [(k, i, 0) for k in range(6) for i in (1, 2)]
