@@ -20,16 +20,17 @@ document; texts that share an id are told apart by ``text_hash``. Null ids come
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from continuity.llm.bits import bit_filter, passes
 from continuity.llm.columns import column
 from continuity.workspace import stored
 
@@ -95,8 +96,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], cuts: Cuts) -> Iterator[pa.Re
     gear = _gear()
     # A few hundred texts at a time keep the lists of their chunks small.
     for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-        ids, hashes, begins, ends, words, high, low = [], [], [], [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows, begins, ends, words, high, low = [], [], [], [], [], []
+        for row, text in enumerate(batch.column(2).to_pylist()):
             raw = text.encode("utf-8", "replace")
             data = np.frombuffer(raw, dtype=np.uint8)
             stops = cut_points(data, gear, cuts)
@@ -112,17 +113,17 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], cuts: Cuts) -> Iterator[pa.Re
                 digest = xxhash.xxh3_128_digest(raw[s:e])
                 high.append(digest[:8])
                 low.append(digest[8:])
-            ids += [doc_id] * len(stops)
-            hashes += [zlib.crc32(raw) - (1 << 31)] * len(stops)
+            rows.append(np.full(len(stops), row))
             begins.append(begun[starts])
             ends.append(begun[stops])
             words.append(word[stops] - word[starts])
         none = [np.zeros(0, np.int32)]
+        chosen = pa.array(np.concatenate(rows or none))
         number = lambda parts: np.frombuffer(b"".join(parts), dtype="<i8")
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
-                pa.array(hashes, pa.int32()),
+                batch.column(0).take(chosen),
+                batch.column(1).take(chosen),
                 pa.array(np.concatenate(begins or none), pa.int32()),
                 pa.array(np.concatenate(ends or none), pa.int32()),
                 pa.array(np.concatenate(words or none), pa.int32()),
@@ -138,10 +139,13 @@ def chunks(
 ) -> DataFrame:
     """Every chunk: doc_id, text_hash, start and end in characters, the words that start in it,
     and its digest in two halves."""
-    texts = df.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text"))
+    texts = df.select(
+        column(doc_id).alias("doc_id"), F.xxhash64(column(text)).alias("text_hash"), column(text).alias("text")
+    )
+    key = texts.schema["doc_id"].dataType.simpleString()
     return texts.filter(F.col("text").isNotNull()).mapInArrow(
         lambda it: _chunk_rows(it, cuts),
-        "doc_id bigint, text_hash int, start int, end int, words int, high bigint, low bigint",
+        f"doc_id {key}, text_hash bigint, start int, end int, words int, high bigint, low bigint",
     )
 
 
@@ -150,15 +154,28 @@ def repeated_passages(
 ) -> DataFrame:
     """One row per repeated passage that is not the first of its kind: doc_id, text_hash, start
     and end in characters, n_words, n_chunks, and the ids where its chunks stood first."""
-    every = chunks(df, doc_id, text, cuts)
-    again = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeats = stored(every.join(again.select("high", "low"), ["high", "low"]), "repeats")
+    every = stored(chunks(df, doc_id, text, cuts), "chunks")
     place = F.struct("doc_id", "text_hash", "start")
-    # Written, so that both sides of the join are plain shuffles, of which Spark can split a
-    # digest with very many places.
-    firsts = stored(repeats.groupBy("high", "low").agg(F.min(place).alias("first")), "firsts")
+    # Each repeated digest with its first place: combined on the map side, so a digest with very
+    # many places is one row per task.
+    firsts = stored(
+        every.groupBy("high", "low")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        .filter("n > 1")
+        .select("high", "low", "first"),
+        "firsts",
+    )
+    bits = df.sparkSession.sparkContext.broadcast(bit_filter(firsts, "high"))
+
+    @F.pandas_udf("boolean")
+    def maybe(high: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, high.to_numpy()))
+
+    # Both sides are written tables, and only chunks that may be repeated are moved: Spark can
+    # split a digest with very many places.
     later = (
-        repeats.join(firsts, ["high", "low"])
+        every.filter(maybe("high"))
+        .join(firsts, ["high", "low"])
         .filter(~place.eqNullSafe(F.col("first")))
         .select("doc_id", "text_hash", "start", "end", "words", F.col("first.doc_id").alias("source"))
     )
@@ -190,7 +207,7 @@ def without_repeats(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
     texts = df.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
-    hashed = texts.withColumn("text_hash", (F.crc32(F.col("text").cast("binary")) - (1 << 31)).cast("int"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     same = hashed["doc_id"].eqNullSafe(spans["doc_id"]) & (hashed["text_hash"] == spans["text_hash"])
     joined = hashed.join(spans, same, "left").select(hashed["doc_id"], hashed["text"], "spans")
     length = F.char_length("text")

@@ -67,3 +67,65 @@ def test_every_case_has_a_result(spark):
     df = documents(spark)
     assert C.without_repeats(df).count() == df.count()
     assert C.repeated_passages(no_documents(spark)).count() == 0
+
+
+def literal_passages(rows, cuts=C.DEFAULT_CUTS):
+    """Chunk by chunk: the first place of each, and runs of those that stood elsewhere before."""
+    pieces = {}
+    for key, text, h in rows:
+        ends = C.cut_points(data(text), GEAR, cuts) if text else []
+        raw, at, found = (text or "").encode(), 0, []
+        for a, b in zip([0, *ends], ends, strict=False):
+            chunk = raw[a:b].decode()
+            before = raw[:a].decode()
+            begun = sum(not c.isspace() and (k == 0 and (not before or before[-1] in " \t\n\v\f\r") or k > 0 and chunk[k - 1] in " \t\n\v\f\r") for k, c in enumerate(chunk))
+            found.append((at, at + len(chunk), begun, chunk))
+            at += len(chunk)
+        pieces[(key is not None, key, h)] = found
+    seen = {}
+    for place, found in pieces.items():
+        for start, _, _, chunk in found:
+            seen.setdefault(chunk, []).append((*place, start))
+    made = set()
+    for place, found in pieces.items():
+        run = []
+        for start, end, n, chunk in [*found, (-1, -1, 0, None)]:
+            first = min(seen[chunk]) if chunk is not None else None
+            if chunk is not None and first != (*place, start):
+                run.append((start, end, n, first[1]))
+                continue
+            if sum(r[2] for r in run) >= cuts.min_words:
+                sources = sorted({r[3] for r in run if r[3] is not None})
+                made.add((place[1], run[0][0], run[-1][1], sum(r[2] for r in run), len(run), tuple(sources)))
+            run = []
+    return made
+
+
+def test_passages_equal_the_definition(spark):
+    import random
+
+    rng = random.Random(7)
+    shared = [prose(k, rng.randint(30, 120)) for k in range(5)]
+    rows = []
+    for k in range(40):
+        parts = [prose(300 + k, rng.randint(10, 60))]
+        parts += [rng.choice(shared) for _ in range(rng.randint(0, 3))] + ["漢字 é " * rng.randint(0, 30)]
+        rng.shuffle(parts)
+        rows.append((k, "\n".join(parts)))
+    rows += [(None, shared[0] + " x"), (41, ""), (42, None), (43, "same same " * 200), (44, "same same " * 200), rows[3]]
+    df = documents(spark, rows)
+    hashes = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").distinct().collect()
+    expected = literal_passages([(r.doc_id, r.text, r.h) for r in hashes if r.text is not None])
+    got = {
+        (r.doc_id, r.start, r.end, r.n_words, r.n_chunks, tuple(r.source_ids))
+        for r in C.repeated_passages(df).collect()
+    }
+    assert got == expected and len(expected) > 20
+
+
+def test_ids_of_any_type(spark):
+    shared = prose(5, 90)
+    rows = [("b", prose(1, 40) + " " + shared), ("a", shared), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [(r.doc_id, r.source_ids) for r in C.repeated_passages(df).collect()] == [("b", ["a"])]
+    assert C.without_repeats(df).count() == 3
