@@ -266,7 +266,7 @@ ORACLES: dict[str, str] = {
           FULL JOIN (SELECT DISTINCT o_year, o_orderstatus FROM after_change) a
             ON a.o_year = b.o_year AND a.o_orderstatus = b.o_orderstatus GROUP BY ALL),
         moved AS (SELECT * FROM parts WHERE stays AND (NOT was OR (y = 1997 AND s = 'F')))
-        SELECT 1 AS run, (SELECT count(*) FROM before_change) AS n_rows,
+        SELECT CAST(1 AS BIGINT) AS run, (SELECT count(*) FROM before_change) AS n_rows,
           (SELECT count(*) FROM parts WHERE was) AS n_written, 0 AS n_kept, 0 AS n_dropped
         UNION ALL SELECT 2, (SELECT count(*) FROM after_change JOIN moved ON o_year = y AND o_orderstatus = s),
           (SELECT count(*) FROM moved), (SELECT count(*) FROM parts WHERE was AND stays) -
@@ -277,7 +277,7 @@ ORACLES: dict[str, str] = {
           SELECT s_suppkey AS k, s_suppkey % 5 AS p, s_suppkey // 5 AS g FROM supplier),
         looped AS (
           SELECT *, g % 4 = 3 AND 5 * g + 2 IN (SELECT k FROM v) AS looped FROM v)
-        SELECT concat('v_', k) AS "view", CASE WHEN NOT looped THEN p END AS level,
+        SELECT concat('v_', k) AS "view", CASE WHEN NOT looped THEN CAST(p AS INTEGER) END AS level,
           CASE WHEN looped AND p < 3 THEN 'views that depend on each other'
                WHEN looped THEN 'reads views that depend on each other' END AS problem
         FROM looped""",
