@@ -36,6 +36,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     sync.add_argument("--output", required=True, help="folder for status, grants and volumes")
     sync.add_argument("--workers", type=int, default=8)
     sync.add_argument("--direct-grants", action="store_true")
+    sync.add_argument("--least-grants", action="store_true")
     sync.add_argument("--skip-unchanged", action="store_true")
     sync.add_argument("--fail-fast", action="store_true")
     sync.add_argument("--journal", help="folder of this run's journal; start again with it to go on")
@@ -60,6 +61,7 @@ def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
         folder=args.folder,
         workers=args.workers,
         effective=not args.direct_grants,
+        least=args.least_grants,
         skip_unchanged=args.skip_unchanged,
         fail_fast=args.fail_fast,
         journal=args.journal,

@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from continuity.operators.joins import DEFAULT_LIMITS, JoinLimits, keyed_join
+from continuity.workspace import stored
 
 SECURABLE = ["securable_type", "full_name"]
 PRINCIPAL = [*SECURABLE, "principal"]
 GRANT = [*PRINCIPAL, "privilege"]
 
 ADD, REMOVE, SAME = "add", "remove", "same"
+DIRECT, INHERITED, REFUSED = "direct", "inherited", "refused"
+
+_GIVEN = "given"
 
 
 def _flagged(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,6 +181,20 @@ def grants_after(
     return marked.filter(kept).select(*GRANT)
 
 
+def _ancestors() -> Column:
+    """The containers above a securable, nearest first, as (kind, name)."""
+    in_catalog = F.struct(F.lit("CATALOG").alias("kind"), F.col("catalog").alias("name"))
+    in_schema = F.struct(
+        F.lit("SCHEMA").alias("kind"), F.concat_ws(".", "catalog", "schema").alias("name")
+    )
+    none = F.array().cast("array<struct<kind:string,name:string>>")
+    return (
+        F.when(F.col("securable_type") == "CATALOG", none)
+        .when(F.col("securable_type") == "SCHEMA", F.array(in_catalog))
+        .otherwise(F.array(in_schema, in_catalog))
+    )
+
+
 def effective_grants(
     securables: DataFrame, direct: DataFrame, limits: JoinLimits = DEFAULT_LIMITS
 ) -> DataFrame:
@@ -195,16 +213,9 @@ def effective_grants(
         spread_by=["principal", "privilege"],
         limits=limits,
     )
-    in_catalog = F.struct(F.lit("CATALOG").alias("kind"), F.col("catalog").alias("name"))
-    in_schema = F.struct(
-        F.lit("SCHEMA").alias("kind"), F.concat_ws(".", "catalog", "schema").alias("name")
-    )
-    ancestors = F.when(F.col("securable_type") == "SCHEMA", F.array(in_catalog)).otherwise(
-        F.array(in_schema, in_catalog)
-    )
     chained = (
         securables.filter(F.col("securable_type") != "CATALOG")
-        .select(*SECURABLE, F.explode(ancestors).alias("up"))
+        .select(*SECURABLE, F.explode(_ancestors()).alias("up"))
         .select(*SECURABLE, F.col("up.kind").alias("kind"), F.col("up.name").alias("name"))
     )
     handed_down = (
@@ -221,3 +232,127 @@ def effective_grants(
         chained, handed_down, ["kind", "name"], "inner", spread_by=["full_name"], limits=limits
     ).select(*GRANT)
     return own.unionByName(inherited).distinct()
+
+
+def _given_by(df: DataFrame) -> DataFrame:
+    """``df`` with what is given to whom as one key. Nulls within a struct are equal, so a null
+    principal is a principal like others."""
+    return df.withColumn(_GIVEN, F.struct("principal", "privilege"))
+
+
+def _places(securables: DataFrame) -> DataFrame:
+    """Each listed securable once, with its catalog and schema."""
+    return securables.groupBy(*SECURABLE).agg(
+        F.min("catalog").alias("catalog"), F.min("schema").alias("schema")
+    )
+
+
+def grant_placement(
+    securables: DataFrame, wanted: DataFrame, limits: JoinLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """Where each wanted effective grant has to be given: ``placement`` and ``n_surplus``.
+
+    - ``direct``: it must be given on this object, no container hands it down;
+    - ``inherited``: a grant placed on a container above hands it down;
+    - ``refused``: given here it would also reach ``n_surplus`` listed objects that are not to
+      have it. (Wanted sets that are themselves effective grants have none of these.) Objects
+      below a refused one are placed by themselves.
+
+    The direct rows are the smallest set of grants on listed objects whose effective grants are
+    all wanted rows but the refused ones, and there is only one such set: whatever hands a row
+    down is itself a wanted row above it, so a row with none above must be given as it is, and
+    the rows with none above give all others. Refused rows cannot be had without more than is
+    wanted, whatever else is given.
+
+    Grants on objects that are not listed, and rows without a privilege, give no row; equal rows
+    count once. A null principal is a principal like others. Containers that are not listed
+    cannot be granted on, so they hand nothing down.
+
+    Rows are counted per container with combining on the map side, so a container with a large
+    share of the objects is no hot key; the joins salt hot ones.
+    """
+    places = _places(securables)
+    listed = stored(
+        _given_by(
+            keyed_join(
+                _real(wanted).select(*GRANT).distinct(),
+                places,
+                SECURABLE,
+                "inner",
+                spread_by=["principal", "privilege"],
+                keys_of=wanted,
+                limits=limits,
+            ).select(*GRANT, _ancestors().alias("up"))
+        ),
+        "wanted_grants",
+    )
+    own = listed.filter(F.col("securable_type").isin("CATALOG", "SCHEMA")).select(
+        F.col("securable_type").alias("kind"), F.col("full_name").alias("name"), _GIVEN
+    )
+    sizes = (
+        places.select(F.explode(_ancestors()).alias("up"))
+        .groupBy(F.col("up.kind").alias("kind"), F.col("up.name").alias("name"))
+        .agg(F.count(F.lit(1)).alias("n_below"))
+    )
+    reached = (
+        listed.select(F.explode("up").alias("up"), _GIVEN)
+        .groupBy(F.col("up.kind").alias("kind"), F.col("up.name").alias("name"), _GIVEN)
+        .agg(F.count(F.lit(1)).alias("n_reached"))
+    )
+    sized = keyed_join(own, sizes, ["kind", "name"], "left", spread_by=[_GIVEN], limits=limits)
+    surplus = F.coalesce("n_below", F.lit(0)) - F.coalesce("n_reached", F.lit(0))
+    containers = stored(
+        sized.join(reached, ["kind", "name", _GIVEN], "left").select(
+            "kind", "name", _GIVEN, surplus.cast("bigint").alias("n_surplus")
+        ),
+        "container_grants",
+    )
+    hands_down = containers.filter("n_surplus = 0").select("kind", "name", _GIVEN)
+
+    nothing = F.lit(0).cast("bigint").alias("n_surplus")
+    # Rows below a container that hands the same grant down, once however many do.
+    above = keyed_join(
+        listed.select(*GRANT, _GIVEN, F.explode("up").alias("up")).select(
+            *GRANT, _GIVEN, F.col("up.kind").alias("kind"), F.col("up.name").alias("name")
+        ),
+        hands_down,
+        ["kind", "name", _GIVEN],
+        "left_semi",
+        spread_by=["full_name"],
+        limits=limits,
+    ).select(*SECURABLE, _GIVEN, F.lit(True).alias("handed_down"), nothing)
+    over = containers.filter("n_surplus > 0").select(
+        F.col("kind").alias("securable_type"),
+        F.col("name").alias("full_name"),
+        _GIVEN,
+        F.lit(False).alias("handed_down"),
+        "n_surplus",
+    )
+    marks = (
+        listed.select(*SECURABLE, _GIVEN, F.lit(False).alias("handed_down"), nothing)
+        .unionByName(above)
+        .unionByName(over)
+        .groupBy(*SECURABLE, _GIVEN)
+        .agg(F.max("handed_down").alias("handed_down"), F.max("n_surplus").alias("n_surplus"))
+    )
+    placement = (
+        F.when(F.col("n_surplus") > 0, REFUSED)
+        .when(F.col("handed_down"), INHERITED)
+        .otherwise(DIRECT)
+    )
+    return marks.select(
+        *SECURABLE,
+        F.col(_GIVEN)["principal"].alias("principal"),
+        F.col(_GIVEN)["privilege"].alias("privilege"),
+        placement.alias("placement"),
+        "n_surplus",
+    )
+
+
+def least_grants(
+    securables: DataFrame, wanted: DataFrame, limits: JoinLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """The smallest set of direct grants that gives the wanted effective ones and no others
+    (``grant_placement`` says what cannot be had so)."""
+    placed = grant_placement(securables, wanted, limits)
+    return placed.filter(F.col("placement") == DIRECT).select(*GRANT)

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from continuity.functions.names import quote
 from continuity.operators.grants import (
+    DIRECT,
+    GRANT,
+    REFUSED,
     effective_grants,
     grant_changes,
     grant_diff,
+    grant_placement,
     grant_status,
     grants_after,
 )
@@ -48,6 +52,9 @@ class SyncOptions:
     source_suffix: str = "_share"
     view_definition: Callable[[Row], str] = lambda row: row.view_definition
     effective: bool = True
+    # Give the effective grants by the smallest set of direct ones, so that what is inherited in
+    # the source is inherited in the target. The run's grants are then direct ones.
+    least: bool = False
     fmt: str | None = None
     workers: int = 8
     fail_fast: bool = False
@@ -79,6 +86,8 @@ def run_logged(
     log: StatusLog,
 ) -> SyncResult:
     """The run, with a log of the caller's."""
+    if options.least and not options.effective:
+        raise ValueError("least grants are worked out from effective ones")
     source, target = log.inventory("source", source), log.inventory("target", target)
     grants_known = source.grants is not None and target.grants is not None
     source, target = source.complete(spark), target.complete(spark)
@@ -171,9 +180,34 @@ def run_logged(
     if options.effective:
         have = stored(effective_grants(theirs, have), "target_grants")
         want = stored(effective_grants(ours, want), "source_grants")
-    diff = grant_diff(want, have, (ours, theirs))
-    statuses = grant_status(grant_diff(want, have), ours, theirs)
+    after = grants_after(want, have, (ours, theirs))
+    refused = None
+    if options.least:
+        # Objects that only the target has count too: nothing may reach them through a container.
+        placed = stored(grant_placement(theirs, after), "grant_placement")
+        after = placed.filter(F.col("placement") == DIRECT).select(*GRANT)
+        refused = placed.filter(F.col("placement") == REFUSED)
+        have = keyed_join(
+            target.grants, theirs.select("securable_type", "full_name").distinct(),
+            ["securable_type", "full_name"], "left_semi", spread_by=["principal", "privilege"],
+        )
+        diff = every = grant_diff(after, have)
+    else:
+        diff, every = grant_diff(want, have, (ours, theirs)), grant_diff(want, have)
+    statuses = grant_status(every, ours, theirs)
     named_status = statuses.join(ours, ["securable_type", "full_name"])
+    if refused is not None:
+        kept_back = refused.select(
+            "securable_type",
+            "full_name",
+            F.format_string(
+                "REFUSED: %s for %s would reach %d more objects", "privilege", "principal", "n_surplus"
+            ).alias("status"),
+        )
+        places = theirs.select("securable_type", "full_name", "catalog", "schema").distinct()
+        named_status = named_status.unionByName(
+            kept_back.join(places, ["securable_type", "full_name"])
+        )
     log.add_frame(
         stamped(
             named_status.select(
@@ -190,9 +224,7 @@ def run_logged(
         status=log.frame(),
         volumes=volumes,
         grant_changes=grant_changes(diff),
-        grants=grants_after(want, have, (ours, theirs)).unionByName(unlisted)
-        if options.effective
-        else grants_after(want, have, (ours, theirs)),
+        grants=after.unionByName(unlisted.select(*GRANT)) if options.effective else after,
     )
 
 

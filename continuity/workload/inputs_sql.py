@@ -189,3 +189,22 @@ effective AS (
   UNION
   SELECT 'TABLE', concat(t.catalog, '.', t.schema, '.', t.name), g.principal, g.privilege
   FROM user_inv t JOIN cat_grants g USING (catalog))"""
+
+LATER_ORDERS = """later AS (
+  SELECT * REPLACE (CASE WHEN o_orderkey % 89 = 4 THEN o_totalprice + 1 ELSE o_totalprice END
+    AS o_totalprice) FROM orders WHERE o_orderkey % 101 <> 7
+  UNION ALL
+  SELECT * REPLACE (-o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 103 = 3)"""
+
+# Containers and what is listed below them.
+BELOW = """objects AS (
+  SELECT 'CATALOG' AS securable_type, catalog AS full_name, catalog, NULL AS schema FROM cats
+  UNION ALL
+  SELECT 'SCHEMA', concat(catalog, '.', schema), catalog, schema FROM sch
+  UNION ALL
+  SELECT 'TABLE', concat(catalog, '.', schema, '.', name), catalog, schema FROM user_inv),
+below AS (
+  SELECT c.securable_type AS kind, c.full_name AS container, o.securable_type, o.full_name
+  FROM objects c JOIN objects o ON o.catalog = c.catalog
+  WHERE (c.securable_type = 'CATALOG' AND o.securable_type <> 'CATALOG')
+    OR (c.securable_type = 'SCHEMA' AND o.securable_type = 'TABLE' AND o.schema = c.schema))"""

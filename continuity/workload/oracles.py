@@ -255,6 +255,47 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT * FROM tgt WHERE full_name NOT IN (SELECT full_name FROM both_sec)""",
     "effective_grants": f"WITH {Q.EFFECTIVE} SELECT * FROM effective",
+    "least_grants": f"""WITH {Q.EFFECTIVE}, {Q.BELOW}
+        SELECT * FROM effective e
+        WHERE NOT EXISTS (
+          SELECT 1 FROM below b JOIN effective c
+            ON c.securable_type = b.kind AND c.full_name = b.container
+          WHERE b.securable_type = e.securable_type AND b.full_name = e.full_name
+            AND c.principal = e.principal AND c.privilege = e.privilege)""",
+    "grant_placement": f"""WITH {Q.EFFECTIVE}, {Q.BELOW},
+        wanted AS (
+          SELECT * FROM effective WHERE CASE WHEN securable_type = 'TABLE' AND privilege = 'USE'
+            THEN CAST(string_split(full_name, '_')[-1] AS BIGINT) % 40 <> 1 ELSE true END),
+        sized AS (
+          SELECT w.securable_type, w.full_name, w.principal, w.privilege,
+            count(*) FILTER (WHERE b.full_name IS NOT NULL AND x.full_name IS NULL) AS n_surplus
+          FROM wanted w
+          LEFT JOIN below b ON b.kind = w.securable_type AND b.container = w.full_name
+          LEFT JOIN wanted x ON x.securable_type = b.securable_type
+            AND x.full_name = b.full_name AND x.principal = w.principal
+            AND x.privilege = w.privilege
+          GROUP BY ALL)
+        SELECT s.*, CASE WHEN n_surplus > 0 THEN 'refused'
+          WHEN EXISTS (
+            SELECT 1 FROM below b JOIN sized c
+              ON c.securable_type = b.kind AND c.full_name = b.container
+            WHERE b.securable_type = s.securable_type AND b.full_name = s.full_name
+              AND c.principal = s.principal AND c.privilege = s.privilege AND c.n_surplus = 0)
+          THEN 'inherited' ELSE 'direct' END AS placement
+        FROM sized s""",
+    "row_changes_between": f"""WITH {Q.LATER_ORDERS},
+        went AS (SELECT * FROM orders EXCEPT ALL SELECT * FROM later),
+        came AS (SELECT * FROM later EXCEPT ALL SELECT * FROM orders)
+        SELECT *, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM came) THEN 'update_before'
+          ELSE 'delete' END AS change, count(*) AS copies FROM went GROUP BY ALL
+        UNION ALL
+        SELECT *, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM went) THEN 'update_after'
+          ELSE 'insert' END AS change, count(*) AS copies FROM came GROUP BY ALL""",
+    "row_changes_applied": f"""WITH {Q.LATER_ORDERS},
+        went AS (SELECT * FROM orders EXCEPT ALL SELECT * FROM later),
+        came AS (SELECT * FROM later EXCEPT ALL SELECT * FROM orders)
+        (SELECT * FROM orders WHERE o_orderstatus <> 'P' EXCEPT ALL SELECT * FROM went)
+        UNION ALL SELECT * FROM came""",
     "replicate_table": "SELECT * FROM orders",
     "replicate_partitioned": "SELECT * FROM orders",
     "replicate_changed": f"WITH {Q.CHANGED_ORDERS} SELECT * FROM after_change",

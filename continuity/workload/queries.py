@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from continuity.functions import audit_columns, delay_type, qualified_name, quote
 from continuity.operators import grants as G
 from continuity.operators import listing as L
+from continuity.operators.changes import apply_changes, row_changes
 from continuity.operators.difference import differing_rows
 from continuity.operators.locations import remap_locations
 from continuity.operators.sampling import first_rows, top_n
@@ -587,8 +588,32 @@ def grants_after(spark, sf_dir):
 @query
 def effective_grants(spark, sf_dir):
     part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
-    objects = L.securables(I.catalogs(part), I.source_schemas(part), I.tables(part))
-    return G.effective_grants(objects, I.direct_grants(part, lineitem))
+    return G.effective_grants(_objects(part), I.direct_grants(part, lineitem))
+
+
+def _objects(part):
+    return L.securables(I.catalogs(part), I.source_schemas(part), I.tables(part))
+
+
+@query
+def least_grants(spark, sf_dir):
+    """The smallest set of direct grants with the effective grants of the inventory."""
+    part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
+    objects = _objects(part)
+    return G.least_grants(objects, G.effective_grants(objects, I.direct_grants(part, lineitem)))
+
+
+@query
+def grant_placement(spark, sf_dir):
+    """Where effective grants have to be given when some tables are not to have what their
+    schema hands down."""
+    part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
+    objects = _objects(part)
+    effective = G.effective_grants(objects, I.direct_grants(part, lineitem))
+    key = F.substring_index("full_name", "_", -1).cast("bigint")
+    table = (F.col("securable_type") == "TABLE") & (F.col("privilege") == "USE")
+    kept = effective.filter(~F.when(table, key % 40 == 1).otherwise(False))
+    return G.grant_placement(objects, kept)
 
 
 # ---- copies ------------------------------------------------------------------------------
@@ -689,6 +714,31 @@ def locate_differences(spark, sf_dir):
     return differing_rows(orders, copy)
 
 
+def _order_versions(spark, sf_dir):
+    """The orders and a later version: some changed, some gone, some under a new key."""
+    orders = load(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    price = F.when(key % 89 == 4, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = orders.filter(key % 101 != 7).withColumn("o_totalprice", price)
+    new = orders.filter(key % 103 == 3).withColumn("o_orderkey", -key)
+    return orders, stored(kept.unionByName(new), "later_version")
+
+
+@query
+def row_changes_between(spark, sf_dir):
+    """Inserts, deletes and updates of orders between two versions, by order key."""
+    before, after = _order_versions(spark, sf_dir)
+    return row_changes(before, after, ["o_orderkey"])
+
+
+@query
+def row_changes_applied(spark, sf_dir):
+    """A third copy, which lacks the orders of one status, after the changes."""
+    before, after = _order_versions(spark, sf_dir)
+    changes = stored(row_changes(before, after, ["o_orderkey"]), "changes")
+    return apply_changes(before.filter("o_orderstatus <> 'P'"), changes)
+
+
 @query
 def view_order(spark, sf_dir):
     """Levels of views that read each other in chains of five, one per supplier; in every fourth

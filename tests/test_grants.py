@@ -170,3 +170,75 @@ def test_effective_grants(spark, limits):
             ("VOLUME", "c.s.v", "bob", "READ"),
         ]
     }
+
+
+def _closure(objects, direct):
+    """Effective grants of a set of securables, by looking up."""
+    found = set()
+    for kind, name in objects:
+        parts = name.split(".")
+        above = [("CATALOG", parts[0])] + ([("SCHEMA", ".".join(parts[:2]))] if len(parts) > 2 else [])
+        if (kind, name) in direct or (kind != "CATALOG" and any(a in direct for a in above)):
+            found.add((kind, name))
+    return frozenset(found)
+
+
+@pytest.mark.parametrize(
+    ("limits", "unlisted"),
+    [(JoinLimits(), set()), (SALTED, {("SCHEMA", "c.s")}), (JoinLimits(), {("CATALOG", "c")})],
+    ids=["auto", "salted, schema not listed", "catalog not listed"],
+)
+def test_least_grants_are_the_smallest(spark, limits, unlisted):
+    """Against every subset of a small tree: wanted sets of any kind, one per principal."""
+    tree = [
+        ("CATALOG", "c"), ("CATALOG", "d"), ("SCHEMA", "c.s"), ("SCHEMA", "c.r"), ("SCHEMA", "c.empty"),
+        ("TABLE", "c.s.t"), ("VOLUME", "c.s.v"), ("TABLE", "c.r.t"),
+    ]
+    objects = [o for o in tree if o not in unlisted]
+    listed = spark.createDataFrame(
+        [(k, n, n.split(".")[0], n.split(".")[1] if "." in n else None) for k, n in objects] * 2,
+        SECURABLES + ", catalog string, schema string",
+    )
+    subsets = [
+        frozenset(o for i, o in enumerate(objects) if bits >> i & 1) for bits in range(1 << len(objects))
+    ]
+    closed = {s: _closure(objects, s) for s in subsets}
+    rng = random.Random(7)
+    wanted = rng.sample(subsets, 20) + [closed[s] for s in rng.sample(subsets, 20)] + [subsets[-1]]
+    who = [None if i == 0 else f"p{i}" for i in range(len(wanted))]
+    cells = [(*o, p, "USE") for p, w in zip(who, wanted, strict=True) for o in w] * 2
+    cells += [("TABLE", "c.s.unknown", "p1", "USE"), ("TABLE", "c.s.t", "p1", None)]
+    given = spark.createDataFrame(cells, GRANTS_DDL)
+    placed = G.grant_placement(listed, given, limits).collect()
+    least = defaultdict(set)
+    for r in G.least_grants(listed, given, limits).collect():
+        least[r.principal].add((r.securable_type, r.full_name))
+    for p, w in zip(who, wanted, strict=True):
+        safe = [s for s in subsets if closed[s] <= w]
+        most = max((closed[s] for s in safe), key=len)
+        smallest = min(len(s) for s in safe if closed[s] == most)
+        assert closed[frozenset(least[p])] == most and len(least[p]) == smallest
+        mine = {(r.securable_type, r.full_name): r for r in placed if r.principal == p}
+        assert set(mine) == set(w)
+        assert {o for o, r in mine.items() if r.placement == G.REFUSED} == w - most
+        assert {o for o, r in mine.items() if r.placement == G.DIRECT} == least[p]
+        for o, r in mine.items():
+            below = closed[frozenset([o])]
+            assert r.n_surplus == len(below - w)
+
+
+def test_least_grants_undo_the_closure(spark):
+    listed = spark.createDataFrame(
+        [("CATALOG", "c", "c", None), ("SCHEMA", "c.s", "c", "s"), ("TABLE", "c.s.t", "c", "s")],
+        SECURABLES + ", catalog string, schema string",
+    )
+    direct = spark.createDataFrame(
+        [("CATALOG", "c", "admin", "ALL"), ("TABLE", "c.s.t", "admin", "ALL"), ("TABLE", "c.s.t", "bob", "SELECT")],
+        GRANTS_DDL,
+    )
+    full = G.effective_grants(listed, direct)
+    least = G.least_grants(listed, full)
+    assert rows(least) == {("CATALOG", "c", "admin", "ALL"): 1, ("TABLE", "c.s.t", "bob", "SELECT"): 1}
+    assert rows(G.effective_grants(listed, least)) == rows(full)
+    assert G.least_grants(listed, full.limit(0)).count() == 0
+    assert "CartesianProduct" not in plan(least) and "BatchEvalPython" not in plan(least)

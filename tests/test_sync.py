@@ -124,6 +124,24 @@ def test_direct_grants_can_be_compared(spark, estate):
     assert held == {("bob", "SELECT"): 1}
 
 
+def test_inherited_grants_stay_inherited(spark, estate):
+    *_, ours, theirs, options = estate
+    options = replace(options, least=True, path_types=())
+    # An object that only the target has is below the schema that ``team`` is to use.
+    more = theirs.tables.unionByName(
+        spark.createDataFrame([("main", "s", "own", "MANAGED", "parquet", None, None, "me")], TABLES_DDL)
+    )
+    for tables, schema_grant in ((theirs.tables, True), (more, False)):
+        result = run_sync(spark, ours, replace(theirs, tables=tables), options)
+        held = rows(result.grants.filter("principal = 'team'").select("securable_type", "full_name"))
+        assert (held.get(("SCHEMA", "main.s"), 0) == 1) == schema_grant
+        refused = result.status.filter("status LIKE 'REFUSED: USE for team would reach 1 more%'")
+        assert refused.count() == (0 if schema_grant else 1)
+        assert (held == {("SCHEMA", "main.s"): 1}) == schema_grant
+    with pytest.raises(ValueError, match="effective"):
+        run_sync(spark, ours, theirs, replace(options, effective=False))
+
+
 def test_failing_fast(spark, estate):
     *_, ours, theirs, options = estate
     with pytest.raises((RuntimeError, AnalysisException)):
