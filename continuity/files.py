@@ -25,6 +25,10 @@ class Files:
         path = self._hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
         return self._files.makeQualified(path)
 
+    def address(self) -> str:
+        """The folder as Spark writes it in front of its files' names."""
+        return self._path("").toString()
+
     def exists(self, name: str = "") -> bool:
         return self._files.exists(self._path(name))
 

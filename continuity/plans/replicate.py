@@ -29,9 +29,10 @@ from continuity.plans.partitions import (
     source_parts,
     written_parts,
 )
-from continuity.plans.status import SUCCESS, Status, StatusLog, failure, record, run_each
+from continuity.plans.status import SUCCESS, Status, StatusLog, failure, record
 from continuity.sources.inventory import describe_table
 from continuity.sources.tables import path_partitions, read_named, read_path
+from continuity.threads import run_each
 from continuity.workspace import run_id, stored
 
 # Table properties of a published copy: the kind of its source, its source's files, and where

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from continuity.functions.digest import same_digest
 from continuity.functions.names import qualified_name
 from continuity.operators.listing import user_tables
-from continuity.plans.status import SUCCESS, Status, StatusLog, failure, record, run_each
+from continuity.plans.status import SUCCESS, Status, StatusLog, failure, record
+from continuity.threads import run_each
 from continuity.workspace import run_folder, stored
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from continuity import schemas as S
 from continuity.functions.names import quote
+from continuity.threads import run_each
 from continuity.workspace import run_folder
 
 _DDL = {
@@ -82,28 +83,33 @@ def _properties(text: str | None) -> dict[str, str] | None:
 
 
 def _listed_tables(
-    spark: SparkSession, catalog: str, databases: Iterable[str]
+    spark: SparkSession, catalog: str, databases: Iterable[str], workers: int
 ) -> Iterator[tuple[str | None, ...]]:
-    for database in databases:
-        for listed in spark.sql(f"SHOW TABLES IN {quote(database)}").toLocalIterator():
-            if listed.isTemporary:
-                continue
-            facts = describe_table(spark, quote(database, listed.tableName))
-            yield (
-                catalog,
-                database,
-                listed.tableName,
-                facts["type"],
-                facts.get("provider"),
-                facts.get("location"),
-                facts.get("view_original_text") or facts.get("view_text"),
-                facts.get("owner"),
-            )
-
-
-def _write_rows(
+    def names() -> Iterator[tuple[str, str]]:
+        for database in databases:
+            for listed in spark.sql(f"SHOW TABLES IN {quote(database)}").toLocalIterator():
+                if not listed.isTemporary:
+                    yield database, listed.tableName
+
+    def facts(name: tuple[str, str]) -> tuple[str | None, ...]:
+        found = describe_table(spark, quote(*name))
+        return (
+            catalog,
+            *name,
+            found["type"],
+            found.get("provider"),
+            found.get("location"),
+            found.get("view_original_text") or found.get("view_text"),
+            found.get("owner"),
+        )
+
+    return run_each(facts, names(), workers)
+
+
+def write_rows(
     spark: SparkSession, rows: Iterable[tuple], ddl: str, folder: str, batch: int
 ) -> DataFrame:
+    """Rows that the driver makes, ``batch`` of them in its memory at a time."""
     source = iter(rows)
     spark.createDataFrame([], ddl).write.mode("append").parquet(folder)
     while chunk := list(islice(source, batch)):
@@ -116,9 +122,11 @@ def live_inventory(
     databases: Iterable[str],
     catalog: str = "spark_catalog",
     batch: int = 1000,
+    workers: int = 8,
 ) -> Inventory:
-    """List the session catalog. The catalog answers on the driver only, so the listing is
-    written to the shared folder every ``batch`` rows and read back as a DataFrame."""
+    """List the session catalog. The catalog answers on the driver only, ``workers`` tables at a
+    time; the listing is written to the shared folder every ``batch`` rows and read back as a
+    DataFrame. ``sources.pages`` reads exported listings without asking the catalog."""
     folder = run_folder(spark, "inventory")
     databases = list(databases)
     described = []
@@ -130,9 +138,9 @@ def live_inventory(
         described.append(
             (catalog, database, facts.get("Comment") or None, _properties(facts.get("Properties")))
         )
-    tables = _listed_tables(spark, catalog, databases)
+    tables = _listed_tables(spark, catalog, databases, workers)
     return Inventory(
         catalogs=spark.createDataFrame([(catalog, "MANAGED_CATALOG")], S.CATALOGS_DDL),
-        schemas=_write_rows(spark, described, S.SCHEMAS_DDL, f"{folder}/schemas", batch),
-        tables=_write_rows(spark, tables, S.TABLES_DDL, f"{folder}/tables", batch),
+        schemas=write_rows(spark, described, S.SCHEMAS_DDL, f"{folder}/schemas", batch),
+        tables=write_rows(spark, tables, S.TABLES_DDL, f"{folder}/tables", batch),
     )

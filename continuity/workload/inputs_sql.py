@@ -208,3 +208,14 @@ below AS (
   FROM objects c JOIN objects o ON o.catalog = c.catalog
   WHERE (c.securable_type = 'CATALOG' AND o.securable_type <> 'CATALOG')
     OR (c.securable_type = 'SCHEMA' AND o.securable_type = 'TABLE' AND o.schema = c.schema))"""
+
+# Pages of the table listing, with the tokens of the page before and of the next one.
+PAGES = """numbered AS (
+  SELECT DISTINCT schema AS catalog, owner AS schema, CAST(substr(name, 3) AS BIGINT) // 5 AS page
+  FROM inv),
+tokens AS (
+  SELECT catalog, schema, page, CASE WHEN row_number() OVER w > 1 THEN page END AS token,
+    lead(page) OVER w AS next_it
+  FROM numbered WINDOW w AS (PARTITION BY catalog, schema ORDER BY page)),
+pages AS (
+  SELECT *, lag(token) OVER (PARTITION BY catalog, schema ORDER BY page) AS before_it FROM tokens)"""

@@ -255,6 +255,19 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT * FROM tgt WHERE full_name NOT IN (SELECT full_name FROM both_sec)""",
     "effective_grants": f"WITH {Q.EFFECTIVE} SELECT * FROM effective",
+    "retention": f"WITH {Q.CHANGED_ORDERS} SELECT * FROM after_change",
+    "listing_pages": f"""WITH {Q.TABLES}
+        SELECT * REPLACE (schema AS catalog, owner AS schema) FROM inv""",
+    "listing_gaps_found": f"""WITH {Q.TABLES}, {Q.PAGES}
+        SELECT catalog, schema, 'missing page' AS problem, CAST(token AS VARCHAR) AS page_token
+        FROM pages WHERE token IS NOT NULL AND token % 5 = 2
+          AND (before_it IS NULL OR before_it % 5 <> 2)
+        UNION ALL
+        SELECT catalog, schema, 'page that none names', CAST(token AS VARCHAR)
+        FROM pages WHERE token % 5 <> 2 AND before_it % 5 = 2
+        UNION ALL
+        SELECT catalog, schema, 'no last page', NULL
+        FROM pages WHERE next_it IS NULL AND token % 5 = 2""",
     "least_grants": f"""WITH {Q.EFFECTIVE}, {Q.BELOW}
         SELECT * FROM effective e
         WHERE NOT EXISTS (

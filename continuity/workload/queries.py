@@ -6,11 +6,12 @@ it reads back.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.errors import PySparkException, StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuity.functions import audit_columns, delay_type, qualified_name, quote
@@ -26,12 +27,14 @@ from continuity.plans.databases import create_schemas
 from continuity.plans.ingest import ingest_flights, ingest_flights_stream
 from continuity.plans.journal import Journal
 from continuity.plans.replicate import replicate_named, replicate_path, run_clone_plan
+from continuity.plans.retention import remove_unused
 from continuity.plans.status import StatusLog, outcome
 from continuity.plans.sync import SyncOptions, run_logged, run_sync
 from continuity.plans.views import create_view, same_view, view_edges, view_levels, view_plan
 from continuity.schemas import flight_schema
 from continuity.sinks import append, append_once, batch_ledger
 from continuity.sinks.ledger import create_table
+from continuity.sources.pages import complete_listing, listing_gaps, read_pages
 from continuity.sources.quarantine import append_split_stream, bad_lines, read_judged
 from continuity.sources import live_inventory, read_batch, read_inventory, read_stream
 from continuity.workload import inputs as I
@@ -674,20 +677,20 @@ def _changing_orders(spark, sf_dir):
     for added in (raised, moved):
         added.select(columns).write.mode("append").insertInto(source)
     copies += [copy(), copy()]
-    return target, copies
+    return target, copies, folder
 
 
 @query
 def replicate_changed(spark, sf_dir):
     """What a copy by changed partitions holds after its source changed."""
-    target, _ = _changing_orders(spark, sf_dir)
+    target, *_ = _changing_orders(spark, sf_dir)
     return spark.table(target)
 
 
 @query
 def replicate_changed_work(spark, sf_dir):
     """Rows and partitions that each of the three copies moved, kept and dropped."""
-    _, copies = _changing_orders(spark, sf_dir)
+    _, copies, _ = _changing_orders(spark, sf_dir)
     rows = [(run, c.rows, c.written, c.kept, c.dropped) for run, c in enumerate(copies, start=1)]
     return spark.createDataFrame(
         rows, "run bigint, n_rows bigint, n_written bigint, n_kept bigint, n_dropped bigint"
@@ -714,6 +717,59 @@ def locate_differences(spark, sf_dir):
     return differing_rows(orders, copy)
 
 
+@query
+def retention(spark, sf_dir):
+    """A copy whose partitions lie in two versions, after everything unused was removed."""
+    target, _, folder = _changing_orders(spark, sf_dir)
+    database = target.split("`")[1]
+    remove_unused(spark, folder, [database], datetime.timedelta(0), dry_run=False)
+    spark.catalog.refreshTable(target)
+    return spark.table(target)
+
+
+def _listing_pages(spark, sf_dir, part="tables"):
+    """The tables, by schema and owner, as listing pages of at most five, written and read again.
+    A page's token is its number; the listing of a schema begins with the page without one."""
+    parts = load(spark, sf_dir, "part")
+    place = ["catalog", "schema"]
+    listed = I.tables(parts).withColumns(
+        {
+            "catalog": F.col("schema"),
+            "schema": F.col("owner"),
+            "page": F.floor(F.substring("name", 3, 20).cast("bigint") / 5),
+        }
+    )
+    item = F.struct(*[c for c in listed.columns if c not in (*place, "page")])
+    pages = listed.groupBy(*place, "page").agg(F.collect_list(item).alias("items"))
+    order = Window.partitionBy(*place).orderBy("page")
+    first = F.row_number().over(order) == 1
+    written = pages.select(
+        *place,
+        F.when(~first, F.col("page").cast("string")).alias("page_token"),
+        F.lead(F.col("page").cast("string")).over(order).alias("next_page_token"),
+        "items",
+    )
+    folder = run_folder(spark, "listing")
+    written.repartition("catalog").write.partitionBy("catalog").json(f"{folder}/{part}")
+    return read_pages(spark, folder, part)
+
+
+@query
+def listing_pages(spark, sf_dir):
+    """The table inventory from its listing pages, some of them fetched twice."""
+    pages = _listing_pages(spark, sf_dir)
+    again = pages.filter("page_token LIKE '%1'")
+    found, _ = complete_listing(pages.unionByName(again))
+    return found
+
+
+@query
+def listing_gaps_found(spark, sf_dir):
+    """What is wrong when pages are lost."""
+    pages = _listing_pages(spark, sf_dir)
+    return listing_gaps(pages.filter("page_token IS NULL OR page_token % 5 <> 2"))
+
+
 def _order_versions(spark, sf_dir):
     """The orders and a later version: some changed, some gone, some under a new key."""
     orders = load(spark, sf_dir, "orders")

@@ -5,8 +5,9 @@ import pytest
 from continuity.functions import same_digest
 from continuity.functions.digest import digest
 from continuity.plans import replicate as R
-from continuity.plans.status import StatusLog, failure, outcome, record, run_each
+from continuity.plans.status import StatusLog, failure, outcome, record
 from continuity.sources.inventory import describe_table
+from continuity.threads import run_each
 from continuity.workspace import run_database, run_folder
 from tests.helpers import rows
 
