@@ -12,9 +12,14 @@ within the radius then meet in at least one tile. (A larger radius sends further
 halved and rounded up.) Within a tile all pairs are compared with numpy: exclusive-or, bit
 count.
 
+No task holds a large tile: the tiles are counted first (one row per fingerprint, spread to the
+neighbours after counting), and one with more than ``TILE_ROWS`` rows is dealt into blocks, whose
+pairs are compared one by one. Rows come to a task sorted by what they are compared with, and
+are compared as they come, some ``_AT_ONCE`` at a time.
+
 Copies share one fingerprint and are folded into one row before anything is compared. A task
-keeps the links of its tiles in a union-find and hands on only a spanning forest: at most one
-row per fingerprint it read, however dense the links are. The components are then found by
+keeps the links of the rows it compares at a time in a union-find and hands on only a spanning
+forest: at most one row per fingerprint it read, however dense the links are. The components are then found by
 joins (``components``).
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero, which
@@ -36,6 +41,7 @@ from pyspark.sql import functions as F
 
 from continuity.llm.columns import column, free_name
 from continuity.llm.components import component_labels
+from continuity.operators.joins import keyed_join
 from continuity.workspace import stored
 
 SEED = 42
@@ -43,6 +49,12 @@ SEED = 42
 _BLOCK = 2048
 # Largest group that is compared by shifting the sorted rows against themselves.
 _SHIFTS = 32
+# A tile with more rows is dealt into blocks of about this many.
+TILE_ROWS = 1 << 17
+# Rows that a task compares and links at a time, more where one pair of blocks has more.
+_AT_ONCE = 1 << 20
+# Bits of a block's number.
+_BITS = 20
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -133,27 +145,74 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tupl
                 yield i[apart] + a, j[apart] + b
 
 
-def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of the tiles in one partition, reduced to a spanning forest."""
-    keys, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-        fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-    key, fp = np.concatenate(keys), np.concatenate(fps)
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order]
+def close_across(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple]:
+    """Index arrays (i, j) of all pairs of one of ``left`` and one of ``right`` within the radius."""
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    for a in range(0, len(left), _BLOCK):
+        rows = left[a : a + _BLOCK, None]
+        for b in range(0, len(right), _BLOCK):
+            apart = np.bitwise_count(rows ^ right[None, b : b + _BLOCK])
+            i, j = np.nonzero(apart <= radius)
+            yield i + a, j + b
+
+
+def _runs(tile: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Where the rows of each tile and pair of blocks begin, in rows sorted by these."""
+    pair = part >> _BITS
+    changed = (tile[1:] != tile[:-1]) | (pair[1:] != pair[:-1])
+    return np.flatnonzero(np.r_[len(tile) > 0, changed])
+
+
+def _linked(tile: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Links of whole tiles and pairs of blocks, reduced to a spanning forest."""
     nodes, ids = np.unique(fp, return_inverse=True)
     parent = np.arange(len(nodes))
-    for i, j in close_pairs(key, fp, radius):
-        _unite(parent, ids[i], ids[j])
+    first = _runs(tile, part)
+    sizes = np.diff(np.r_[first, len(fp)])
+    low, high = part >> (2 * _BITS), (part >> _BITS) & ((1 << _BITS) - 1)
+    key = np.repeat(np.arange(len(first)), sizes)
+    alone = np.flatnonzero(low == high)
+    for i, j in close_pairs(key[alone], fp[alone], radius):
+        _unite(parent, ids[alone[i]], ids[alone[j]])
+    for start, size in zip(first, sizes, strict=True):
+        if low[start] == high[start]:
+            continue
+        run = np.arange(start, start + size)
+        own = part[run] & ((1 << _BITS) - 1)
+        left, right = run[own == low[start]], run[own == high[start]]
+        for i, j in close_across(fp[left], fp[right], radius):
+            _unite(parent, ids[left[i]], ids[right[j]])
     parent = _roots(parent)
     linked = np.flatnonzero(parent != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [pa.array(nodes[parent[linked]], pa.int64()), pa.array(nodes[linked], pa.int64())],
         names=["a", "b"],
     )
 
 
+def _forest(
+    batches: Iterator[pa.RecordBatch], radius: int, at_once: int = _AT_ONCE
+) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links of rows (tile, part, fp) sorted by tile and pair of blocks."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n, wait = 0, at_once
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        n += batch.num_rows
+        if n < wait:
+            continue
+        tile, part, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        # The last pair of blocks may go on in the next batch.
+        cut = int(_runs(tile, part)[-1])
+        if cut:
+            yield _linked(tile[:cut], part[:cut], fp[:cut], radius)
+        held, n = [(tile[cut:], part[cut:], fp[cut:])], n - cut
+        wait = max(at_once, 2 * n)
+    if n:
+        tile, part, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        yield _linked(tile, part, fp, radius)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         above = parent[parent]
@@ -180,13 +239,50 @@ def _climb(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         at = above
 
 
-def links(fingerprints: DataFrame, fp: str = "fp", radius: int = 2) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints, per task."""
-    distinct = fingerprints.select(column(fp).alias("fp")).distinct()
+def _large_tiles(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(tile, blocks) of the tiles that more than ``tile_rows`` fingerprints are sent to."""
+    own = distinct.mapInArrow(lambda it: _tile_rows(it, 0), "tile bigint, fp bigint")
+    counted = own.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    moves = F.array(*[F.lit(int(m)).cast("bigint") for m in _moves(radius)])
+    sent = counted.select(F.explode(moves).alias("move"), "tile", "n")
+    sizes = sent.groupBy((F.col("tile") + F.col("move")).alias("tile")).agg(F.sum("n").alias("n"))
+    large = sizes.filter(F.col("n") > tile_rows)
+    return stored(
+        large.select("tile", F.ceil(F.col("n") / tile_rows).cast("bigint").alias("blocks")), "tiles"
+    )
+
+
+def _dealt(sent: DataFrame, large: DataFrame) -> DataFrame:
+    """(tile, part, fp): rows of large tiles once for each pair of blocks theirs is in; ``part``
+    holds the pair and the row's own block, 0 for tiles that stay whole."""
+    joined = keyed_join(sent, large, ["tile"], "left", spread_by=["fp"])
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    packed = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda k: F.shiftleft(F.least(k, own), 2 * _BITS)
+        + F.shiftleft(F.greatest(k, own), _BITS)
+        + own,
+    )
+    whole = F.array(F.lit(0).cast("bigint"))
+    parts = F.when(F.col("blocks").isNull(), whole).otherwise(packed)
+    return joined.select("tile", F.explode(parts).alias("part"), "fp")
+
+
+def links(
+    fingerprints: DataFrame, fp: str = "fp", radius: int = 2, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """(a, b) of links between distinct fingerprints that join what all links join: a spanning
+    forest of what a task compared at a time."""
+    distinct = stored(fingerprints.select(column(fp).alias("fp")).distinct(), "fingerprints")
+    large = _large_tiles(distinct, radius, tile_rows)
     sent = distinct.mapInArrow(lambda it: _tile_rows(it, radius), "tile bigint, fp bigint")
+    dealt = _dealt(sent, large)
     partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(partitions, "tile").mapInArrow(
-        lambda it: _forest(it, radius), "a bigint, b bigint"
+    pair = F.shiftright("part", _BITS)
+    return (
+        dealt.repartition(partitions, "tile", pair)
+        .sortWithinPartitions("tile", pair)
+        .mapInArrow(lambda it: _forest(it, radius), "a bigint, b bigint")
     )
 
 

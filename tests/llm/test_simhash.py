@@ -80,6 +80,61 @@ def test_large_tiles_are_compared_in_blocks(monkeypatch):
     assert got == {(a, b) for a in range(50) for b in range(a + 1, 50) if (a ^ b).bit_count() <= 1}
 
 
+def test_tiles_are_dealt_into_blocks_and_compared_as_they_come(spark):
+    rng = np.random.default_rng(9)
+    # Many fingerprints with the same counts in every byte, some a bit apart, some two.
+    base = np.array([int("".join(f"{1 << int(b):08b}" for b in rng.integers(0, 8, 8)), 2) for _ in range(300)], dtype=np.uint64)
+    flipped = base[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    prints = np.unique(np.concatenate([base, flipped])).tolist()
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp bigint")
+    label = components(prints, 2)
+    want = {frozenset(p for p, c in zip(prints, label, strict=True) if c == one) for one in set(label)}
+    signed = lambda p: int(np.uint64(p).astype(np.int64))
+    for tile_rows in (7, 1 << 17):
+        large = simhash._large_tiles(df, 2, tile_rows)
+        assert (large.count() > 1) == (tile_rows == 7)
+        got = {r.node: r.label for r in component_labels(simhash.links(df, radius=2, tile_rows=tile_rows)).collect()}
+        found = {}
+        for p in prints:
+            found.setdefault(got.get(signed(p), signed(p)), set()).add(p)
+        assert {frozenset(v) for v in found.values()} == want
+    sent = df.mapInArrow(lambda it: simhash._tile_rows(it, 2), "tile bigint, fp bigint")
+    dealt = simhash._dealt(sent, simhash._large_tiles(df, 2, 7)).toPandas()
+    dealt["pair"] = dealt.part // (1 << simhash._BITS)
+    assert dealt.groupby(["tile", "pair"]).size().max() < 60 < sent.groupBy("tile").count().agg({"count": "max"}).first()[0]
+
+
+def test_forests_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.integers(0, 4096, 900))
+    tile = np.sort(rng.integers(0, 6, len(fp)))
+    zero = np.zeros(len(fp), np.int64)
+
+    def forest(size, at_once):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in (tile, zero, fp)], names=["tile", "part", "fp"])
+            for k in range(0, len(fp), size)
+        ]
+        out = list(simhash._forest(iter(batches), 2, at_once))
+        pairs = {(a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist(), strict=True)}
+        return len(out), {frozenset(g) for g in _groups(pairs)}
+
+    chunks, many = forest(13, 50)
+    one, whole = forest(10_000, 1 << 20)
+    assert (one, chunks > 2) == (1, True) and many == whole and whole
+    assert list(simhash._forest(iter([]), 2)) == []
+
+
+def _groups(pairs):
+    groups = []
+    for a, b in pairs:
+        near = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in near] + [{a, b}.union(*near)]
+    return groups
+
+
 def test_one_row_of_each_component_stays(spark):
     df = documents(spark)
     stays = simhash.one_per_component(df)
