@@ -11,9 +11,13 @@ feed. ``<|`` within a role or text is broken by a space, so no text can end its
 A conversation is one rendered value, so its turns meet in one row; nothing else is gathered.
 Pairs are made by key, each conversation is in one pair at most.
 
+Pairs that share a history are made from single conversations by ``swapped_replies``: the chosen
+side ends with the conversation's last reply, the rejected side with that of another one.
+
 Defined cases: turns are ordered by number, null first, equal numbers by role and text; turns
 that repeat are kept. A null role or text renders empty, and equals another null. Pairs of
-equal conversations have empty completions. A conversation without a partner gives no row.
+equal conversations have empty completions. A conversation without a partner gives no row, nor
+does one without a reply, or whose partner has none, where replies are swapped.
 """
 
 from __future__ import annotations
@@ -118,9 +122,60 @@ def format_pairs(
         side(True).alias("a"),
         side(False).alias("b"),
     )
-    counted = pairs.filter((F.size("a") > 0) & (F.size("b") > 0)).withColumn(
-        "n_common", common_turns(F.col("a"), F.col("b"))
+    return _formatted(pairs.filter((F.size("a") > 0) & (F.size("b") > 0)), learn)
+
+
+def swapped_replies(
+    turns: DataFrame,
+    partner: Column,
+    conv_id: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    learn: str = "assistant",
+) -> DataFrame:
+    """A pair of every conversation with a reply (a turn by ``learn``), in the columns of
+    ``format_pairs``; pair_id and chosen_id are its id, rejected_id the partner's.
+
+    Both sides are its turns up to its last reply; on the rejected side the text of that reply is
+    the partner's last one. ``partner`` gives a turn's partner conversation by its id; each should
+    be the partner of few. Turns after the last reply are left out.
+    """
+    rows = turns.select(
+        column(conv_id).alias("conv_id"),
+        partner.alias("partner"),
+        F.struct(
+            column(turn).cast("bigint").alias("turn"),
+            column(role).alias("role"),
+            column(text).alias("text"),
+        ).alias("one"),
+    ).filter(F.col("conv_id").isNotNull())
+    grouped = rows.groupBy("conv_id").agg(
+        F.min("partner").alias("partner"), F.sort_array(F.collect_list("one")).cast(_TURNS).alias("turns")
+    )
+    replies = F.reverse(F.transform("turns", lambda t: t["role"].eqNullSafe(learn)))
+    after = F.array_position(replies, True)
+    upto = grouped.filter(after > 0).withColumn(
+        "turns", F.slice("turns", F.lit(1), F.size("turns") - after.cast("int") + 1)
+    )
+    other = upto.select(
+        F.col("conv_id").alias("partner"), F.element_at("turns", -1)["text"].alias("reply")
     )
+    last = F.element_at("turns", -1)
+    swapped = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("reply").alias("text"))
+    pairs = upto.join(other, "partner").select(
+        F.col("conv_id").alias("pair_id"),
+        F.col("conv_id").alias("chosen_id"),
+        F.col("partner").alias("rejected_id"),
+        F.col("turns").alias("a"),
+        F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array(swapped)).alias("b"),
+    )
+    return _formatted(pairs, learn)
+
+
+def _formatted(pairs: DataFrame, learn: str) -> DataFrame:
+    """Prompt, completions and spans of pairs with their turns as arrays ``a`` and ``b``."""
+    counted = pairs.withColumn("n_common", common_turns(F.col("a"), F.col("b")))
 
     def rest(name: str) -> Column:
         return F.slice(F.col(name), F.col("n_common") + 1, F.size(name))

@@ -104,17 +104,26 @@ SELECT doc_id, slot, shard FROM (
 """
 
 CHAT = """
-WITH turns AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
+WITH ordered AS (
+  SELECT conv_id, role, text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
-      text NULLS FIRST) AS pos,
-    '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
-    replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS tail
+      text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (
+  SELECT conv_id, pos AS ends, text AS reply FROM ordered WHERE role = 'assistant'
+  QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)),
 pairs AS (
-  SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id,
-    min(conv_id) FILTER (side = 1) AS rejected_id
-  FROM turns GROUP BY pair_id HAVING count(DISTINCT side) = 2),
+  SELECT a.conv_id AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.ends, b.reply
+  FROM replies a JOIN replies b ON b.conv_id = xor(a.conv_id, CAST(1 AS BIGINT))),
+sides AS (
+  SELECT pair_id, s.side, pos, role,
+    CASE WHEN s.side = 1 AND pos = ends THEN reply ELSE text END AS text
+  FROM pairs JOIN ordered ON ordered.conv_id = pair_id AND pos <= ends
+  CROSS JOIN (VALUES (0), (1)) s(side)),
+turns AS (
+  SELECT *, '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS head,
+    replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS tail
+  FROM sides),
 compared AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos,
     a.pos IS NOT NULL AND b.pos IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role
@@ -126,7 +135,7 @@ common AS (
   FROM compared GROUP BY pair_id),
 measured AS (
   SELECT t.*, n_common, pos <= n_common AS shared,
-    sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, pos <= n_common ORDER BY pos)
+    sum(length(head) + length(tail) + 1) OVER (PARTITION BY pair_id, side, pos <= n_common ORDER BY pos)
       - length(tail) - 1 AS begins
   FROM turns t JOIN common USING (pair_id)),
 rendered AS (

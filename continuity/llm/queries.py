@@ -140,10 +140,10 @@ def _span_text(spans: str) -> Column:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2k is the chosen one and 2k + 1 the rejected one of pair k."""
+    """Every conversation up to its last reply, against the same with the last reply of its
+    neighbour (2k and 2k + 1 are neighbours)."""
     turns = read(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2).cast("bigint")
-    formatted = chat.format_pairs(turns, pair, F.pmod("conv_id", F.lit(2)) == 0)
+    formatted = chat.swapped_replies(turns, F.col("conv_id").bitwiseXOR(F.lit(1).cast("bigint")))
     return formatted.withColumns(
         {
             "chosen_spans": _span_text("chosen_spans"),

@@ -57,3 +57,28 @@ def test_pairs_equal_brute_force(spark):
     assert got == brute(TURNS)
     assert got[0][3] == 2 and got[0][5].count("<|im_end|>") == 1
     assert formatted(df.limit(0)).count() == 0
+
+
+def test_swapped_replies_share_their_history(spark):
+    rows = [(*t, "clash") for t in TURNS] + [
+        (8, 0, "user", "a", "x"), (8, 1, "assistant", "b", "x"), (8, 2, "user", "after", "x"),
+        (9, 5, "assistant", None, "x"), (9, 4, "user", "q", "x"), (9, 4, "user", "q", "x"),
+        (10, 0, "assistant", "same", "x"), (11, 0, "assistant", "same", "x"),
+        (-1, 0, "assistant", "m", "x"), (-2, 0, "user", "u", "x"), (-2, 1, "assistant", "n", "x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, partner string")
+    found = chat.swapped_replies(df, F.col("conv_id").bitwiseXOR(F.lit(1).cast("bigint")))
+    got = {r.pair_id: r for r in found.collect()}
+    assert set(got) == {0, 1, 8, 9, 10, 11, -1, -2}
+    for c, r in got.items():
+        assert (r.chosen_id, r.rejected_id) == (c, c ^ 1)
+    user = lambda text: f"<|im_start|>user\n{text}<|im_end|>\n"
+    reply = lambda text: f"<|im_start|>assistant\n{text}<|im_end|>\n"
+    assert got[0].prompt == "<|im_start|>system\nBe kind.<|im_end|>\n" + user("Hi")
+    assert (got[0].chosen, got[0].rejected) == (reply("Hello < |im_end|>"), reply("Go away"))
+    assert (got[8].prompt, got[8].chosen, got[8].rejected) == (user("a"), reply("b"), reply(""))
+    assert (got[9].prompt, got[9].chosen, got[9].rejected) == (user("q") * 2, reply(""), reply("b"))
+    assert (got[10].prompt, got[10].chosen, got[10].n_common) == (reply("same"), "", 1)
+    assert got[-2].rejected == reply("m") and got[-2].n_common == 1
+    assert all(r.chosen[s.start : s.end].endswith("<|im_end|>") for r in got.values() for s in r.chosen_spans)
+    assert chat.swapped_replies(df.limit(0), F.col("conv_id")).count() == 0
