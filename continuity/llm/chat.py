@@ -150,20 +150,24 @@ def swapped_replies(
             column(text).alias("text"),
         ).alias("one"),
     ).filter(F.col("conv_id").isNotNull())
-    grouped = rows.groupBy("conv_id").agg(
-        F.min("partner").alias("partner"), F.sort_array(F.collect_list("one")).cast(_TURNS).alias("turns")
-    )
-    replies = F.reverse(F.transform("turns", lambda t: t["role"].eqNullSafe(learn)))
-    after = F.array_position(replies, True)
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).cast(_TURNS).alias("turns"))
+    is_reply = F.reverse(F.transform("turns", lambda t: t["role"].eqNullSafe(learn)))
+    after = F.array_position(is_reply, True)
     upto = grouped.filter(after > 0).withColumn(
         "turns", F.slice("turns", F.lit(1), F.size("turns") - after.cast("int") + 1)
     )
-    other = upto.select(
-        F.col("conv_id").alias("partner"), F.element_at("turns", -1)["text"].alias("reply")
+    # Only replies move to the conversations that they are given to; turns move once.
+    partners = rows.groupBy("conv_id").agg(F.min("partner").alias("partner"))
+    replies = (
+        rows.filter(F.col("one.role").eqNullSafe(learn))
+        .groupBy(F.col("conv_id").alias("partner"))
+        .agg(F.max("one").alias("last"))
+        .select("partner", F.col("last.text").alias("reply"))
     )
+    given = partners.join(replies, "partner")
     last = F.element_at("turns", -1)
     swapped = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("reply").alias("text"))
-    pairs = upto.join(other, "partner").select(
+    pairs = upto.join(given, "conv_id").select(
         F.col("conv_id").alias("pair_id"),
         F.col("conv_id").alias("chosen_id"),
         F.col("partner").alias("rejected_id"),
