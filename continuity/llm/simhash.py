@@ -275,9 +275,11 @@ def links(
     forest of what a task compared at a time."""
     distinct = stored(fingerprints.select(column(fp).alias("fp")).distinct(), "fingerprints")
     large = _large_tiles(distinct, radius, tile_rows)
-    sent = distinct.mapInArrow(lambda it: _tile_rows(it, radius), "tile bigint, fp bigint")
-    dealt = _dealt(sent, large)
     partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A file of fingerprints is small, what is sent to the tiles is 17 times as many rows.
+    spread = distinct.repartition(partitions, "fp")
+    sent = spread.mapInArrow(lambda it: _tile_rows(it, radius), "tile bigint, fp bigint")
+    dealt = _dealt(sent, large)
     pair = F.shiftright("part", _BITS)
     return (
         dealt.repartition(partitions, "tile", pair)
