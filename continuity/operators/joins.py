@@ -1,13 +1,14 @@
 """Equi-joins of a large side with a lookup side, safe against hot keys.
 
-Three ways, tried in this order:
+Two ways, tried in this order:
 
-1. the optimizer's own estimate of the lookup side is below Spark's broadcast threshold: a
-   plain join, Spark broadcasts it by itself;
-2. the lookup side was measured (rows and bytes, one aggregate) and fits: broadcast hint;
-3. otherwise a shuffled join. Keys that hold a large share of the big side are found with a
+1. the lookup side was measured (rows and bytes, one aggregate) and fits: broadcast hint;
+2. otherwise a shuffled join. Keys that hold a large share of the big side are found with a
    sketch and only their rows are salted, on the lookup side they are repeated once per salt.
 
+The optimizer's estimate broadcasts nothing: it starts from the sizes of compressed files, and
+a few MB of them can be GB of rows, all of which would pass through the driver.
+
 The sketch decides only where rows go. The result is the same whatever it says.
 """
 
@@ -57,9 +58,9 @@ def input_bytes(df: DataFrame) -> int:
     return sum(size for size in sizes if size < _UNKNOWN)
 
 
-def _spark_threshold(df: DataFrame) -> int:
-    session = df.sparkSession._jsparkSession
-    return int(session.sessionState().conf().autoBroadcastJoinThreshold())
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark is not to broadcast by its estimate."""
+    return df.hint("merge")
 
 
 def fits_broadcast(
@@ -117,13 +118,11 @@ def keyed_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
-    if estimated_bytes(lookup) <= min(_spark_threshold(lookup), limits.broadcast_bytes):
-        return big.join(lookup, on, how)
     if fits_broadcast(lookup, limits, big):
         return big.join(F.broadcast(lookup), on, how)
     hot, salts = hot_keys(big if keys_of is None else keys_of, on, limits)
     if not hot:
-        return big.join(lookup, on, how)
+        return big.join(shuffled(lookup), on, how)
     is_hot = F.xxhash64(*on).isin(hot)
     spread = list(spread_by) or [c for c in big.columns if c not in on]
     salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
@@ -132,4 +131,4 @@ def keyed_join(
     )
     salted = big.withColumn(_SALT, salt.cast("int"))
     repeated = lookup.withColumn(_SALT, F.explode(every_salt))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+    return salted.join(shuffled(repeated), [*on, _SALT], how).drop(_SALT)

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from continuity.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, keyed_join
+from continuity.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, keyed_join, shuffled
 
 NO_LOCATION = "no location"
 NO_TARGET_LOCATION = "no target location"
@@ -36,7 +36,7 @@ def location_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     named = source.filter(~F.col("url").rlike(_EMPTY))
     unique = named.groupBy(_bare(F.col("url")).alias("url")).agg(F.min("name").alias("name"))
     targets = target.groupBy("name").agg(F.min(_bare(F.col("url"))).alias("target_url"))
-    return unique.join(targets, "name", "left").select("name", "url", "target_url")
+    return unique.join(shuffled(targets), "name", "left").select("name", "url", "target_url")
 
 
 def remap_locations(

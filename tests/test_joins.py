@@ -80,6 +80,19 @@ def test_input_bytes_do_not_multiply(spark):
     assert fits_broadcast(part, JoinLimits(measure_bytes=1), joined)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_an_estimate_broadcasts_nothing(spark, tmp_path, how):
+    # 20,000 rows in a small file: below Spark's threshold, but more rows than are allowed.
+    spark.range(20000).selectExpr("id as k", "'same' as w").write.parquet(str(tmp_path / "lookup"))
+    lookup = spark.read.parquet(str(tmp_path / "lookup"))
+    big = spark.range(0, 40000, 3).selectExpr("id as k", "concat('v', id) as v")
+    assert estimated_bytes(lookup) < 1 << 20
+    joined = keyed_join(big, lookup, ["k"], how, limits=MEASURED)
+    assert "Broadcast" not in plan(joined)
+    assert rows(joined) == rows(big.join(lookup, ["k"], how))
+    assert "BroadcastHashJoin" in plan(keyed_join(big, lookup.limit(1000), ["k"], how, limits=MEASURED))
+
+
 def test_unknown_join_type(sides):
     with pytest.raises(ValueError):
         keyed_join(*sides, ["k"], "full_outer")

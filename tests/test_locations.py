@@ -91,6 +91,18 @@ def test_few_locations_do_not_shuffle_the_tables(spark):
     assert text.index("BroadcastExchange") < text.index("Exchange hashpartitioning")
 
 
+def test_many_locations_are_not_broadcast(spark, tmp_path):
+    """However small their files are: an estimate of the optimizer does not send them around."""
+    spark.range(3000).selectExpr("concat('l', id) as name", "concat('src://r/', id) as url").write.parquet(
+        str(tmp_path / "places")
+    )
+    places = spark.read.parquet(str(tmp_path / "places"))
+    tables = places.selectExpr("name", "concat(url, '/t') as storage_location")
+    moved = remap_locations(tables, places, places, limits=JoinLimits(broadcast_rows=1000))
+    assert "Broadcast" not in plan(moved)
+    assert moved.filter("problem is null and target_location = storage_location").count() == 3000
+
+
 def test_pairs(spark):
     source = spark.createDataFrame(SOURCE, "name string, url string")
     target = spark.createDataFrame(TARGET, "name string, url string")
