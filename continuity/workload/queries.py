@@ -139,15 +139,18 @@ def flight_schema_profile(spark, sf_dir):
 
 
 _FLIGHT_FILES: dict[tuple[str, str], str] = {}
+# Fixed value: a packed file cannot be split, so that many tasks find work there are many.
+_LINES_PER_FILE = 100_000
 
 
 def _flight_files(spark, sf_dir):
-    """Folder with all line items as header-less flight files, written once per session:
+    """Folder with all line items as header-less flight files, packed, written once per session:
     the input of the file queries, not their work."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FLIGHT_FILES:
         folder = run_folder(spark, "flights")
-        I.flights(load(spark, sf_dir, "lineitem")).write.csv(folder)
+        files = I.flights(load(spark, sf_dir, "lineitem"))
+        files.write.option("maxRecordsPerFile", _LINES_PER_FILE).csv(folder, compression="gzip")
         _FLIGHT_FILES[key] = folder
     return _FLIGHT_FILES[key]
 

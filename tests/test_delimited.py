@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from continuity.schemas import flight_schema
 from continuity.sinks import append
 from continuity.sources import read_batch, read_stream
 from continuity.streaming import append_stream
+from continuity.workload import queries
+from continuity.workload.inputs import flights, load
 from continuity.workspace import run_database
 from tests.helpers import rows
 
@@ -157,3 +161,21 @@ def test_append_keeps_partitioning(spark):
     for _ in range(2):
         append(df, table, partition_by=("b",))
     assert rows(spark.table(table).filter(F.col("b") == "x")) == {(1, "x"): 2}
+
+
+def test_flight_files_are_packed_and_many(spark, tmp_path, monkeypatch):
+    items = spark.range(0, 1000, 1, 1).selectExpr(
+        "id as l_orderkey", "id % 50 as l_partkey", "id % 9 as l_suppkey", "cast(id % 7 as int) as l_linenumber",
+        "cast(id % 50 as double) as l_quantity", "cast(id as double) as l_extendedprice",
+        "id % 10 / 100D as l_discount", "id % 3 / 100D as l_tax", "if(id % 5 = 0, null, 'R') as l_returnflag",
+        "if(id % 2 = 0, 'F', 'O') as l_linestatus",
+        "timestamp'1995-01-01' + make_dt_interval(cast(id as int)) as l_shipdate",
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "_LINES_PER_FILE", 300)
+    folder = Path(queries._flight_files(spark, str(tmp_path)).removeprefix("file:"))
+    files = sorted(folder.glob("part-*"))
+    assert len(files) == 4 and all(f.name.endswith(".csv.gz") for f in files)
+    whole = flights(load(spark, str(tmp_path), "lineitem"))
+    assert rows(read_batch(spark, str(folder))) == rows(whole)
+    assert sum(f.stat().st_size for f in files) * 2 < sum(len(",".join(map(str, r))) for r in whole.collect())
