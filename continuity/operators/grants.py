@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from continuity.operators.joins import DEFAULT_LIMITS, JoinLimits, keyed_join
+from continuity.operators.joins import DEFAULT_LIMITS, JoinLimits, keyed_join, shuffled
 from continuity.workspace import stored
 
 SECURABLE = ["securable_type", "full_name"]
@@ -268,76 +268,86 @@ def grant_placement(
     count once. A null principal is a principal like others. Containers that are not listed
     cannot be granted on, so they hand nothing down.
 
-    Rows are counted per container with combining on the map side, so a container with a large
-    share of the objects is no hot key; the joins salt hot ones.
+    ``wanted`` is computed once. Rows are counted per container with combining on the map side,
+    so a container with a large share of the objects is no hot key; the joins salt hot ones.
     """
+    is_container = F.col("securable_type").isin("CATALOG", "SCHEMA")
     places = _places(securables)
+    given = stored(_real(wanted).select(*GRANT).distinct(), "wanted_grants")
     listed = stored(
         _given_by(
             keyed_join(
-                _real(wanted).select(*GRANT).distinct(),
+                given,
                 places,
                 SECURABLE,
                 "inner",
                 spread_by=["principal", "privilege"],
-                keys_of=wanted,
                 limits=limits,
-            ).select(*GRANT, _ancestors().alias("up"))
+            )
+        ).select(
+            *SECURABLE,
+            _GIVEN,
+            F.when(~is_container, F.concat_ws(".", "catalog", "schema")).alias("in_schema"),
+            F.when(F.col("securable_type") != "CATALOG", F.col("catalog")).alias("in_catalog"),
         ),
-        "wanted_grants",
+        "listed_grants",
     )
-    own = listed.filter(F.col("securable_type").isin("CATALOG", "SCHEMA")).select(
-        F.col("securable_type").alias("kind"), F.col("full_name").alias("name"), _GIVEN
+    own = listed.filter(is_container).select(
+        F.col("securable_type").alias("kind"),
+        F.col("full_name").alias("name"),
+        _GIVEN,
+        "in_schema",
+        "in_catalog",
     )
     sizes = (
         places.select(F.explode(_ancestors()).alias("up"))
         .groupBy(F.col("up.kind").alias("kind"), F.col("up.name").alias("name"))
         .agg(F.count(F.lit(1)).alias("n_below"))
     )
+    # Of the rows below a container only those count that it has itself.
     reached = (
-        listed.select(F.explode("up").alias("up"), _GIVEN)
-        .groupBy(F.col("up.kind").alias("kind"), F.col("up.name").alias("name"), _GIVEN)
+        keyed_join(
+            listed.select(
+                "full_name",
+                _GIVEN,
+                F.stack(
+                    F.lit(2), F.lit("SCHEMA"), "in_schema", F.lit("CATALOG"), "in_catalog"
+                ).alias("kind", "name"),
+            ).filter(F.col("name").isNotNull()),
+            own.select("kind", "name", _GIVEN),
+            ["kind", "name", _GIVEN],
+            "left_semi",
+            spread_by=["full_name"],
+            limits=limits,
+        )
+        .groupBy("kind", "name", _GIVEN)
         .agg(F.count(F.lit(1)).alias("n_reached"))
     )
     sized = keyed_join(own, sizes, ["kind", "name"], "left", spread_by=[_GIVEN], limits=limits)
     surplus = F.coalesce("n_below", F.lit(0)) - F.coalesce("n_reached", F.lit(0))
     containers = stored(
-        sized.join(reached, ["kind", "name", _GIVEN], "left").select(
-            "kind", "name", _GIVEN, surplus.cast("bigint").alias("n_surplus")
+        sized.join(shuffled(reached), ["kind", "name", _GIVEN], "left").select(
+            *own.columns, surplus.cast("bigint").alias("n_surplus")
         ),
         "container_grants",
     )
-    hands_down = containers.filter("n_surplus = 0").select("kind", "name", _GIVEN)
-
-    nothing = F.lit(0).cast("bigint").alias("n_surplus")
-    # Rows below a container that hands the same grant down, once however many do.
-    above = keyed_join(
-        listed.select(*GRANT, _GIVEN, F.explode("up").alias("up")).select(
-            *GRANT, _GIVEN, F.col("up.kind").alias("kind"), F.col("up.name").alias("name")
-        ),
-        hands_down,
-        ["kind", "name", _GIVEN],
-        "left_semi",
-        spread_by=["full_name"],
-        limits=limits,
-    ).select(*SECURABLE, _GIVEN, F.lit(True).alias("handed_down"), nothing)
-    over = containers.filter("n_surplus > 0").select(
-        F.col("kind").alias("securable_type"),
-        F.col("name").alias("full_name"),
-        _GIVEN,
-        F.lit(False).alias("handed_down"),
-        "n_surplus",
-    )
     marks = (
-        listed.select(*SECURABLE, _GIVEN, F.lit(False).alias("handed_down"), nothing)
-        .unionByName(above)
-        .unionByName(over)
-        .groupBy(*SECURABLE, _GIVEN)
-        .agg(F.max("handed_down").alias("handed_down"), F.max("n_surplus").alias("n_surplus"))
+        listed.filter(~is_container)
+        .withColumn("n_surplus", F.lit(0).cast("bigint"))
+        .unionByName(
+            containers.withColumnsRenamed({"kind": "securable_type", "name": "full_name"})
+        )
     )
+    for kind, name in (("SCHEMA", "in_schema"), ("CATALOG", "in_catalog")):
+        hands_down = containers.filter((F.col("kind") == kind) & (F.col("n_surplus") == 0)).select(
+            F.col("name").alias(name), _GIVEN, F.lit(True).alias(f"from_{kind}")
+        )
+        marks = keyed_join(
+            marks, hands_down, [name, _GIVEN], "left", spread_by=["full_name"], limits=limits
+        )
     placement = (
         F.when(F.col("n_surplus") > 0, REFUSED)
-        .when(F.col("handed_down"), INHERITED)
+        .when(F.coalesce("from_SCHEMA", "from_CATALOG"), INHERITED)
         .otherwise(DIRECT)
     )
     return marks.select(

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from continuity.operators import grants as G
 from continuity.operators.joins import JoinLimits
@@ -242,3 +243,26 @@ def test_least_grants_undo_the_closure(spark):
     assert rows(G.effective_grants(listed, least)) == rows(full)
     assert G.least_grants(listed, full.limit(0)).count() == 0
     assert "CartesianProduct" not in plan(least) and "BatchEvalPython" not in plan(least)
+
+
+def test_wanted_grants_are_made_once(spark):
+    """Although the join with the securables looks for hot keys first."""
+    listed = spark.createDataFrame(
+        [("CATALOG", "c", "c", None), ("SCHEMA", "c.s", "c", "s")]
+        + [("TABLE", f"c.s.t{i}", "c", "s") for i in range(200)],
+        SECURABLES + ", catalog string, schema string",
+    )
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        made.add(1)
+        return name
+
+    wanted = listed.filter("full_name != 'c'").select(
+        "securable_type", counted.asNondeterministic()("full_name").alias("full_name"),
+        F.lit("p").alias("principal"), F.lit("USE").alias("privilege"),
+    )
+    least = G.least_grants(listed, wanted, SALTED)
+    assert made.value == 201
+    assert rows(least) == {("SCHEMA", "c.s", "p", "USE"): 1}
