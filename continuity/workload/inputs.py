@@ -201,13 +201,23 @@ def direct_grants(part: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.lit("USE").alias("privilege"),
     ).distinct()
     names = part.select(
-        _text("t_", "p_partkey").alias("full_name"),
-        F.concat(_catalog(), F.lit("."), _schema(), F.lit("."), _text("t_", "p_partkey")).alias("dotted"),
+        F.col("p_partkey").alias("part"),
+        F.concat(_catalog(), F.lit("."), _schema(), F.lit("."), _text("t_", "p_partkey")).alias("full_name"),
+    )
+    # The grants of ``source_grants``; their names are made up after the numbers were moved.
+    given = lineitem.filter(F.col("l_linenumber") % 3 != 2).select(
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supplier"),
+        F.concat("l_returnflag", "l_linestatus").alias("privilege"),
     )
-    given = source_grants(lineitem)
     own = keyed_join(
-        given.distinct(), names, ["full_name"], spread_by=["principal", "privilege"], keys_of=given
-    ).select("securable_type", F.col("dotted").alias("full_name"), "principal", "privilege")
+        given.distinct(), names, ["part"], spread_by=["supplier", "privilege"], keys_of=given
+    ).select(
+        F.lit("TABLE").alias("securable_type"),
+        "full_name",
+        _text("u_", "supplier").alias("principal"),
+        "privilege",
+    )
     return cats.unionByName(schemas).unionByName(own)
 
 

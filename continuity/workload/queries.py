@@ -593,8 +593,14 @@ def grants_after(spark, sf_dir):
 
 @query
 def effective_grants(spark, sf_dir):
+    return _effective(spark, sf_dir)[1]
+
+
+def _effective(spark, sf_dir):
+    """The objects and their effective grants; the direct ones are made up once."""
     part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
-    return G.effective_grants(_objects(part), I.direct_grants(part, lineitem))
+    objects, direct = _objects(part), stored(I.direct_grants(part, lineitem), "direct_grants")
+    return objects, G.effective_grants(objects, direct)
 
 
 def _objects(part):
@@ -604,18 +610,14 @@ def _objects(part):
 @query
 def least_grants(spark, sf_dir):
     """The smallest set of direct grants with the effective grants of the inventory."""
-    part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
-    objects = _objects(part)
-    return G.least_grants(objects, G.effective_grants(objects, I.direct_grants(part, lineitem)))
+    return G.least_grants(*_effective(spark, sf_dir))
 
 
 @query
 def grant_placement(spark, sf_dir):
     """Where effective grants have to be given when some tables are not to have what their
     schema hands down."""
-    part, lineitem = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
-    objects = _objects(part)
-    effective = G.effective_grants(objects, I.direct_grants(part, lineitem))
+    objects, effective = _effective(spark, sf_dir)
     key = F.substring_index("full_name", "_", -1).cast("bigint")
     table = (F.col("securable_type") == "TABLE") & (F.col("privilege") == "USE")
     kept = effective.filter(~F.when(table, key % 40 == 1).otherwise(False))
