@@ -1,20 +1,26 @@
 """A filter of bounded size for a set of hashes of any size.
 
 The set's table stays distributed; what reaches the driver is a bit map of ``2**log2_bits``
-bits: sixteen for each hash that was counted, within bounds (2 MB and 32 MB). A hash of the set always passes. Others pass with a
+bits: sixteen for each hash that was counted, within bounds (2 MB and 32 MB). Tasks make its
+blocks, the driver only places them. A hash of the set always passes. Others pass with a
 chance of (number of hashes) / (number of bits), so whatever passes is joined with the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuity.llm.columns import column
 
 LEAST_LOG2_BITS, MOST_LOG2_BITS = 24, 28
+# Words of 64 bits that reach the driver as one row of 64 KB.
+_BLOCK_WORDS = 1 << 13
 
 
 def bits_for(hashes: int) -> int:
@@ -22,6 +28,22 @@ def bits_for(hashes: int) -> int:
     return min(MOST_LOG2_BITS, max(LEAST_LOG2_BITS, (16 * hashes - 1).bit_length()))
 
 
+def _packed(
+    batches: Iterator[pa.RecordBatch], words: int, of_block: int
+) -> Iterator[pa.RecordBatch]:
+    """The blocks, of ``of_block`` words each, that the batches have words of."""
+    made, seen = np.zeros(words, dtype=np.int64), np.zeros(words // of_block, dtype=bool)
+    for batch in batches:
+        word = batch.column(0).to_numpy()
+        made[word] = batch.column(1).to_numpy()
+        seen[word // of_block] = True
+    for block in np.flatnonzero(seen).tolist():
+        bits = made[block * of_block : (block + 1) * of_block].tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"]
+        )
+
+
 def bit_filter(df: DataFrame, hashed: str, log2_bits: int | None = None) -> np.ndarray:
     """The bit map, as bytes, of the low bits of the signed 64-bit column ``hashed``."""
     if log2_bits is None:
@@ -31,15 +53,21 @@ def bit_filter(df: DataFrame, hashed: str, log2_bits: int | None = None) -> np.n
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int")
     )
-    # At most 2**(log2_bits - 6) rows of two numbers come out of this aggregate.
-    words = (
+    # At most 2**(log2_bits - 6) words come out of this aggregate: millions of rows, each many
+    # times the size of its bits on the driver. They are put together in tasks.
+    words = 1 << (log2_bits - 6)
+    of_block = min(_BLOCK_WORDS, words)
+    blocks = (
         df.filter(F.col(hashed).isNotNull())
         .groupBy(word.alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
-        .toPandas()
+        .repartition(F.shiftright("word", of_block.bit_length() - 1))
+        .mapInArrow(lambda it: _packed(it, words, of_block), "block int, bits binary")
     )
-    made = np.zeros(1 << (log2_bits - 6), dtype=np.int64)
-    made[words["word"].to_numpy()] = words["bits"].to_numpy()
+    made = np.zeros(words, dtype=np.int64)
+    for row in blocks.collect():
+        start = row["block"] * of_block
+        made[start : start + of_block] |= np.frombuffer(row["bits"], dtype=np.int64)
     return made.view(np.uint8)
 
 
